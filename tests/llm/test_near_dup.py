@@ -50,18 +50,26 @@ def test_brute_force_with_chains_and_edge_cases(spark):
 
 
 def test_blocks_of_unresolved_buckets(spark):
-    """Every likely pair of different components is found once, whatever the block size."""
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**32, near_dup.HASHES, dtype=np.uint64).astype(np.uint32)
-    sigs = [(i, bytearray(base.tobytes())) for i in range(9)]
-    sigs = spark.createDataFrame(sigs, "doc_id long, sig binary")
-    members = spark.createDataFrame([(7, i, i % 3) for i in range(9)], "bucket long, doc_id long, component long")
-    least = near_dup.least_matches(0.75, 1e-6)
-    want = sorted((a, b) for a in range(9) for b in range(a + 1, 9) if a % 3 != b % 3)
-    for block in (2, 3, 100):
-        assert sorted(tuple(r) for r in near_dup.unresolved_pairs(members, sigs, least, block).collect()) == want
+    """Whatever the block size, the links found join what all pairs would join, and are a forest in each task."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for d in range(40):
+        some = list(words)
+        for _ in range(rng.randrange(12)):
+            some[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append((d, " ".join(some)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sketch = near_dup.sketches(docs)
+    members = spark.createDataFrame([(band, band, d, d) for d in range(40) for band in range(near_dup.BANDS)], "bucket long, band int, doc_id long, label long")
+    want = {d: c for d, _, c, _ in brute(texts)}
+    for block in (500, 3000, 10**6):
+        links = near_dup.unresolved_links(members, sketch, docs, near_dup.least_matches(0.75, 1e-6), 75, block).collect()
+        up = {d: d for d in range(40)}
+        for _ in range(40):
+            for a, b in links:
+                up[a] = up[b] = min(up[a], up[b])
+        assert up == want
 
 
 def test_posterior_limits():

@@ -11,11 +11,13 @@ documents are linked when 100 * |A & B| >= 75 * |A | B|. The steps:
    Signatures are compared 16 values at a time: under a uniform prior the posterior probability that the similarity
    is 0.75 or more is a binomial tail, and a pair goes when it falls below ``miss``. Survivors are verified exactly
    on their full sets, with the texts joined to the pairs (each text is shuffled once for each pair it is in).
-4. Connected components of the links, by alternating large-star and small-star steps on a written edge table.
-5. Buckets that still hold several components are unresolved: a link may run between members other than the
-   smallest. Members are dealt into blocks of bounded size; each pair of blocks compares signatures of members of
-   different components within one task and emits the pairs that pass step 3's test and haven't been verified.
-   Pairs within one component can't change the result and are skipped, and no pair of different components is.
+4. Each linked class takes the least label within a few links. A bucket whose members have one label is settled.
+   In the others a link may run between members other than the smallest, so their members are dealt into blocks of
+   bounded weight, and one task has each pair of blocks of a bucket with their texts. It compares members of different
+   labels, drops pairs by step 3's test, leaves a pair to the first bucket that it shares, and verifies the rest
+   exactly, most similar first; a link joins two labels within the task, and later pairs within one label are skipped.
+   So what leaves a task is a forest of links, less than one a member, whatever the number of pairs.
+5. Connected components of the labels, by alternating large-star and small-star steps on a written edge table.
 
 Edge cases. Null text, empty text or white space only: an empty set, n_shingles 0, its own component. Fewer than
 five words: the whole sequence is one shingle. Repeated texts: one class, linked. Repeated doc_ids are taken as rows
@@ -38,8 +40,8 @@ from tracewell.llm.shared import Scratch, WordHashes, broadcast_if_small, mix, t
 
 SHINGLE, BANDS, ROWS, STEP = 5, 32, 4, 16
 HASHES = BANDS * ROWS
-#: Members of a block in step 5; a task holds two blocks of signatures at a time, about 2 MB.
-BLOCK = 2048
+#: Shingles of a block in step 4; a task holds two blocks at a time, about 16 MB of sets and as much text.
+BLOCK = 1_000_000
 _rng = np.random.default_rng(20240611)
 _MULT = (_rng.integers(1, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -161,62 +163,98 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def hop_labels(links: DataFrame) -> DataFrame:
+    """(doc_id, label) of every linked document: the least id within four links or so, by two rounds of jumping."""
+    both = links.union(links.select("b", "a"))
+    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc_id"), F.least("a", "m").alias("label"))
+    for _ in range(2):
+        of = label.select(F.col("doc_id").alias("label"), F.col("label").alias("next"))
+        label = label.join(of, "label").select("doc_id", F.col("next").alias("label"))
+    return label
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, component) of every node of an edge table (a, b): the smallest node that it reaches.
+    """(label, component) of every node of an edge table (a, b): the smallest node that it reaches.
 
     Alternates large-star and small-star until no edge changes, so the rounds grow with the logarithm of the nodes.
     A star's centre is one key with many rows: the minimum is taken before the shuffle, and the join that follows
     is one that adaptive execution may split.
     """
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = scratch.table(ordered)
+    files = lambda n: n // 1_000_000 + 1
+    now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = state(now)
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
-        then = scratch.table(small)
+        small = small.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select("e.*")
+        then = scratch.table(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(files(seen[0])))
         scratch.drop(now)
         now, before, seen = then, seen, state(then)
         if seen == before:
             break
-    nodes = now.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
-    return nodes.union(now.select(F.col("b").alias("doc_id"), F.col("b").alias("component")).distinct())
-
-
-def unresolved_pairs(members: DataFrame, sigs: DataFrame, least: dict[int, int], block: int = BLOCK) -> DataFrame:
-    """Likely pairs of members (bucket, doc_id, component) of one bucket but of different components.
-
-    A bucket of n members is dealt into ceil(n / block) blocks; each member goes to every pair of blocks that has its
-    own, and one task compares one pair of blocks.
+    nodes = now.select(F.col("a").alias("label"), F.col("b").alias("component"))
+    return nodes.union(now.select(F.col("b").alias("label"), F.col("b").alias("component")).distinct())
+
+
+def _forest(own: np.ndarray, i: int, j: int, band: int, ids: np.ndarray, labels: np.ndarray, sigs: np.ndarray, texts: list[bytes], least: dict[int, int], percent: int) -> list[tuple[int, int]]:
+    """Links between blocks i and j (or within i) that join different labels, each joining two that were apart."""
+    hashes, sets, up = WordHashes(), {}, {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def members(x: int) -> np.ndarray:
+        if x not in sets:
+            sets[x] = shingle_set(_words(texts[x]), hashes)
+        return sets[x]
+
+    bands, links = sigs.reshape(-1, BANDS, ROWS), []
+    left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(own)),) * 2
+    for x in left.tolist():
+        y = right[labels[right] != labels[x]]
+        y = y[y > x] if i == j else y
+        if not len(y):
+            continue
+        y = y[_survive(np.broadcast_to(sigs[x], (len(y), HASHES)), sigs[y], least)]
+        y = y[(bands[y] == bands[x]).all(axis=2).argmax(axis=1) == band]
+        for z in y[np.argsort(-(sigs[y] == sigs[x]).sum(axis=1), kind="stable")].tolist():
+            p, q = root(int(labels[x])), root(int(labels[z]))
+            if p != q:
+                a, b = members(x), members(z)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    up[p] = q
+                    links.append((int(ids[x]), int(ids[z])))
+    return links
+
+
+def unresolved_links(members: DataFrame, sketch: DataFrame, texts: DataFrame, least: dict[int, int], percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join the labels of the members (bucket, band, doc_id, label) of each bucket with several.
+
+    A bucket of s shingles is dealt into ceil(s / block) blocks; each member goes to every pair of blocks that has its
+    own, and one task has one pair of blocks.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    sizes = sizes.where("lo <> hi").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = members.join(sketch.select("doc_id", "n_shingles", "sig"), "doc_id")
+    sizes = rows.groupBy("bucket").agg(F.sum("n_shingles").alias("s"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    sizes = sizes.where("lo <> hi").select("bucket", F.ceil(F.col("s") / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "doc_id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.join(sigs.select("doc_id", "sig"), "doc_id")
+    dealt = dealt.select("bucket", "band", "doc_id", "label", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(texts, "doc_id")
 
     def compare(key, t):
-        i, j = key[1].as_py(), key[2].as_py()
-        own, ids = t.column("own").to_numpy(), t.column("doc_id").to_numpy()
-        parts, sig = t.column("component").to_numpy(), _signatures(t.column("sig"))
-        left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(own)),) * 2
-        a, b = [], []
-        for x in left:
-            y = right[(parts[right] != parts[x]) & ((ids[right] > ids[x]) | (i != j))]
-            if len(y):
-                y = y[_survive(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], least)]
-                a.append(np.full(len(y), ids[x]))
-                b.append(ids[y])
-        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        t = t.sort_by("doc_id")
+        column = lambda c: t.column(c).to_numpy()
+        links = _forest(column("own"), key[1].as_py(), key[2].as_py(), t.column("band")[0].as_py(), column("doc_id"), column("label"), _signatures(t.column("sig")), text_bytes(t.column("text")), least, percent)
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, miss: float = 1e-6) -> DataFrame:
@@ -227,33 +265,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark, percent = docs.sparkSession, round(similarity * 100)
     scratch, least = Scratch(spark, "near-dup"), least_matches(percent / 100, miss)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = scratch.table(sketches(texts))
+    sketch = scratch.table(sketches(docs, id_col, text_col))
     classes = scratch.table(sketch.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
-    sigs = scratch.table(sketch.join(classes, [sketch.key == classes.key, sketch.doc_id == classes.rep], "left_semi").select("doc_id", "sig"))
+    firsts = sketch.join(classes, [sketch.key == classes.key, sketch.doc_id == classes.rep], "left_semi").select("doc_id", "n_shingles", "sig")
+    firsts = scratch.table(firsts.dropDuplicates(["doc_id"]))
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("sig").substr(k * (ROWS * 4) + 1, F.lit(ROWS * 4))))
-    bands = sigs.select("doc_id", F.explode(band).alias("bucket"))
+    bands = firsts.select("doc_id", F.posexplode(band).alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
     members = scratch.table(bands.join(shared, "bucket"))
-    pairs = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-
-    def exactly(some: DataFrame) -> DataFrame:
-        some = scratch.table(some)
-        ids = scratch.table(some.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        involved = texts.join(broadcast_if_small(ids, 16 * ids.count()), "doc_id", "left_semi")
-        return scratch.table(verified(some, involved, percent))
-
-    links = exactly(likely(pairs, sigs, least))
-    parts = scratch.table(components(links, scratch))
-    with_part = lambda m: m.select("bucket", "doc_id").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rest = exactly(unresolved_pairs(with_part(members), sigs, least))
-    if rest.take(1):
-        parts = scratch.table(components(links.union(rest), scratch))
+    pairs = scratch.table(likely(members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), firsts, least))
+    ids = scratch.table(members.select("doc_id").distinct())
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(broadcast_if_small(ids, 16 * ids.count()), "doc_id", "left_semi")
+    links = scratch.table(verified(pairs, texts, percent))
+    labels = scratch.table(hop_labels(links))
+    open_members = members.select("bucket", "band", "doc_id").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    more = scratch.table(unresolved_links(open_members, firsts, texts, least, percent))
+
+    of = labels.select(F.col("doc_id").alias("b"), F.col("label").alias("label_b"))
+    joined = links.union(more).join(of, "b", "left").join(of.toDF("a", "label_a"), "a", "left")
+    apart = scratch.table(joined.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a <> b").distinct())
+    known = labels.union(more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(labels, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("label")))
+    found = components(apart, scratch) if apart.take(1) else None
+    parts = known.withColumnRenamed("label", "component") if found is None else known.join(found, "label", "left").select("doc_id", F.coalesce("component", "label").alias("component"))
 
     whole = sketch.select("doc_id", "n_shingles", "key").groupBy("doc_id").agg(F.min(F.struct("n_shingles", "key")).alias("s")).select("doc_id", "s.*")
     reps = classes.join(parts.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = whole.join(reps, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     result = scratch.table(out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
-    scratch.drop(sketch, classes, sigs, members)
+    scratch.drop(sketch, classes, firsts, members)
     return result

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import near_dup, substring_dup
+from tracewell.llm import chat, langid, media, mixing, near_dup, packing, quality, substring_dup, token_counts, url_filter
+from tracewell.llm.shared import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,6 +37,120 @@ FROM g JOIN r USING (doc_id) GROUP BY g.doc_id
 """
 
 
+def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = media.store_texts(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    pages = media.tiff_pages(files, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
+    return pages.select(
+        "doc_id", "n_bytes", F.length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "page", "compression", "error",
+    )
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = langid.with_holdout(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    model = langid.learn(docs.where("NOT held_out"))
+    return langid.predict(docs, model, "doc_id", "held_out")
+
+
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(read(spark, sf_dir, "documents"))
+
+
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, text AS raw FROM documents),
+w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS bare,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+t AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1), range(0, 3) k(k) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, length(bare) AS word_chars, length(regexp_replace(bare, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM w),
+l AS (SELECT doc_id, host, md5(text) AS id, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+  FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+h AS (SELECT host, count(DISTINCT md5(raw)) AS texts FROM d GROUP BY host),
+f AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT id) AS n FROM l GROUP BY ALL) JOIN h USING (host) WHERE n > {quality.LEAST_DOCS} AND n > CAST({quality.SHARE} AS DOUBLE) * texts),
+g AS (SELECT doc_id, sum(words)::BIGINT AS n FROM l JOIN f USING (host, line) GROUP BY doc_id),
+b AS (SELECT m.*, coalesce(r.n, 0) AS n_repeat_words, coalesce(g.n, 0) AS n_removed_words, n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words AS base_failed FROM m LEFT JOIN r USING (doc_id) LEFT JOIN g USING (doc_id))
+SELECT *, NOT base_failed AND 100 * (n_words - n_removed_words) >= {quality.KEPT_PERCENT} * n_words AS kept FROM b
+"""
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.read_back(chat.formatted(turns.union(more)))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return url_filter.judged(read(spark, sf_dir, "pages").select("page_id", "url"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _level(name: str, keys: str, source: str) -> str:
+    """SQL of one level's shrinkage; ``source`` has n, bad and m."""
+    return f"""{name}_in AS MATERIALIZED ({source}),
+{name}_rho AS (SELECT CASE WHEN sum(n) > count(*) THEN least(greatest((coalesce(sum(pow(bad - n * m, 2) / n / greatest(m * (1 - m), 1e-9)), 0) - count(*)) / (sum(n) - count(*)), 1e-4), 0.99) ELSE 1e-4 END AS rho FROM {name}_in WHERE n > 0),
+{name} AS MATERIALIZED (SELECT {keys}, s * m + bad AS a, s * (1 - m) + n - bad AS b FROM (SELECT *, 1 / (rho / (1 - rho) + 1 / k) AS s FROM {name}_in, {name}_rho))"""
+
+
+_TWO = ", ".join(f"'{x}'" for x in url_filter.TWO_LABEL_SUFFIXES)
+_RULES = ", ".join(str(x) for x in url_filter.RULES)
+OP6_SQL = rf"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+o AS (SELECT doc_id AS page_id, CAST(toxic = 1 OR quality = 0 AS BIGINT) AS bad FROM labels WHERE (toxic = 1 OR quality = 0) IS NOT NULL),
+hh AS (SELECT host, count(o.page_id) AS n, coalesce(sum(bad), 0) AS bad FROM u LEFT JOIN o USING (page_id) GROUP BY host),
+h2 AS (SELECT *, string_split(host, '.') AS p FROM hh),
+h3 AS (SELECT host, n, bad, array_to_string(p[-2:], '.') AS two, array_to_string(p[-3:], '.') AS three, p[-1] AS one FROM h2),
+h AS (SELECT host, n, bad, CASE WHEN two IN ({_TWO}) THEN two ELSE one END AS suffix, CASE WHEN two IN ({_TWO}) THEN three ELSE two END AS domain FROM h3),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
+t AS (SELECT (coalesce(sum(bad), 0) + {url_filter.PRIOR} * 0.5) / (coalesce(sum(n), 0) + {url_filter.PRIOR}) AS m, coalesce(sum(n), 0) + {url_filter.PRIOR} AS k FROM d),
+{_level("ls", "suffix", "SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m, any_value(k) AS k FROM d, t GROUP BY suffix")},
+{_level("ld", "domain", "SELECT domain, n, bad, a / (a + b) AS m, a + b AS k FROM d JOIN ls USING (suffix)")},
+{_level("lh", "host", "SELECT host, n, bad, a / (a + b) AS m, a + b AS k FROM h JOIN ld USING (domain)")},
+v AS (SELECT host, a / (a + b) - {url_filter.Z} * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > {url_filter.LIMIT} AS worse FROM lh),
+x(rh, rp, verdict) AS (VALUES {_RULES}),
+f AS (SELECT page_id, rh || rp AS rule, verdict FROM u JOIN x ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, rh || rp DESC) = 1)
+SELECT u.page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN worse THEN 'block' ELSE 'allow' END) AS verdict FROM u JOIN v USING (host) LEFT JOIN f USING (page_id)
+"""
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.calibrated(read(spark, sf_dir, "documents"))
+    return out.withColumn("probability", F.round("probability", 9))
+
+
+def _raking_sql() -> str:
+    steps, now = [], "c0"
+    for d, power in mixing.TEMPER.items():
+        steps.append(f"t_{d} AS MATERIALIZED (SELECT {d}, t / sum(t) OVER () AS target FROM (SELECT {d}, pow(sum(tokens)::DOUBLE, {power}) AS t FROM cells GROUP BY {d}))")
+    steps.append("c0 AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS weight FROM cells)")
+    for i in range(mixing.SWEEPS):
+        for d in mixing.TEMPER:
+            then = f"c{i}_{d}"
+            steps.append(f"{then} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, tokens, CASE WHEN held > 0 THEN weight * target / held ELSE weight END AS weight FROM {now} c JOIN (SELECT {d}, sum(tokens * weight) AS held FROM {now} GROUP BY {d}) USING ({d}) JOIN t_{d} USING ({d}))")
+            now = then
+    steps.append(f"rates AS (SELECT source, lang, topic, least(1.0, weight / (SELECT max(weight) FROM {now} WHERE tokens > 0)) AS probability FROM {now})")
+    return ",\n".join(steps)
+
+
+OP7_SQL = rf"""
+WITH r AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n_tokens,
+    CASE WHEN contains(text, '@') THEN 'contact' WHEN regexp_matches(text, '(?i)licen[sc]e|rights reserved') THEN 'legal' WHEN length(text) >= 4000 THEN 'long' WHEN length(text) >= 800 THEN 'medium' ELSE 'short' END AS topic
+  FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents)),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM r GROUP BY ALL),
+{_raking_sql()}
+SELECT doc_id, source, lang, topic, n_tokens, round(probability, 9) AS probability,
+  ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13))::BIGINT / {float(2**52)} < probability AS kept
+FROM r JOIN rates USING (source, lang, topic)
+"""
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "token-counts")
+    return token_counts.limits(scratch.table(token_counts.length_histogram(token_counts.encoded_lengths(read(spark, sf_dir, "documents")))))
+
+
 def op9_substring_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -55,9 +170,15 @@ FROM w LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(read(spark, sf_dir, "documents"))
+    return packing.pack(Scratch(spark, "packing").table(packing.digests(pieces)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dup": op1_near_dup, "op9_substring_dup": op9_substring_dup}
+    made = (op1_near_dup, op2_tiff, op3_language_id, op4_line_quality, op5_chat, op6_url_filter, op7_mixing, op8_token_counts, op9_substring_dup, op10_packing)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dup": OP1_SQL, "op9_substring_dup": OP9_SQL}
+    return {"op1_near_dup": OP1_SQL, "op4_line_quality": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_mixing": OP7_SQL, "op9_substring_dup": OP9_SQL}
