@@ -56,7 +56,7 @@ def raked(rows: DataFrame, scratch: Scratch, temper: dict[str, float] = TEMPER,
     for d, power in temper.items():
         shares = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("t"))
         total = shares.agg(F.sum("t").alias("all"))
-        targets[d] = scratch.table(shares.join(F.broadcast(total)).select(d, (F.col("t") / F.col("all")).alias("target")))  # one row
+        targets[d] = scratch.table(shares.join(F.broadcast(total)).select(d, F.coalesce(F.try_divide("t", "all"), F.lit(0.0)).alias("target")))  # one row
     now = scratch.table(cells.withColumn("weight", F.lit(1.0)))
     for _ in range(sweeps):
         then = now
