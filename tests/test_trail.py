@@ -166,7 +166,7 @@ def test_compare(spark, trail, model, first):
 def test_erase(spark, trail, model, first):
     """Runs last: an evaluation subject and a training subject are erased."""
     rows = trail.read("features.credit_applications")
-    picked = [rows.where(F.col("split") == s).first().subject_id for s in ("train", "eval")]
+    picked = [rows.where("split = 'train' AND ingest_batch_id = 'b1'").first().subject_id, trail.read("features.eval_holdout").first().subject_id]
     gone = spark.createDataFrame([(s,) for s in picked], "subject_id string")
     assert erasure.residue(trail, "features.credit_applications", gone).count() == 2
     before = rows.count()
