@@ -456,12 +456,94 @@ def drained_decisions(spark, sf_dir):
 
 DRAINED_DECISIONS = "SELECT event_id::VARCHAR AS prediction_id, user_id::VARCHAR AS subject_id, CASE WHEN value >= 0.5 THEN 'approve' ELSE 'deny' END AS decision, round(value, 6) AS score, 2 AS n_attributions FROM events WHERE ts IS NOT NULL AND value IS NOT NULL"
 
+def as_of_rows(spark, sf_dir):
+    """Orders as they stood at the end of each of three years, by status: the version is a filter on the commit."""
+    o = _read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("commit_seq"), F.col("o_orderstatus").alias("split"))
+    v = o.select((F.col("commit_seq")).alias("version")).distinct()
+    per = o.groupBy("commit_seq", "split").count()
+    return v.join(F.broadcast(per), F.col("commit_seq") <= F.col("version")).groupBy("version", "split").agg(F.sum("count").alias("n_rows"))  # years times statuses
+
+
+AS_OF_ROWS = "SELECT version, o_orderstatus AS split, count(*) AS n_rows FROM (SELECT DISTINCT year(o_orderdate) AS version FROM orders) JOIN orders ON year(o_orderdate) <= version GROUP BY ALL"
+
+
+def explanation_reports(spark, sf_dir):
+    """Reports of asked ids: some unknown, some of a model that isn't registered, some of an unrecorded version, some tampered with."""
+    rows, coefficients = _linear(spark, sf_dir)
+    tall = explain.attribute(rows, coefficients)
+    base = coefficients.agg(F.sum(F.col("coefficient") * F.col("mean")).alias("base_value"))
+    total = tall.groupBy("prediction_id").agg(F.sum("shap_value").alias("t")).join(F.broadcast(base))  # one row
+    wrong = F.when(F.col("prediction_id") % 10 == 4, 0.01).otherwise(0.0)
+    p = rows.select("prediction_id", "label").join(total, "prediction_id").select("prediction_id", F.concat(F.lit("m"), F.col("label").cast("string")).alias("model_version_id"), F.col("label").cast("string").alias("subject_id"), fit.probability(F.col("t") + F.col("base_value") + wrong).alias("score"), F.lit(0.5).alias("threshold"))
+    p = p.withColumn("decision", scoring.decision(F.col("score"), 0.5))
+    labels = rows.select("label").distinct()
+    models = labels.where("label <> 3").select(F.concat(F.lit("m"), F.col("label").cast("string")).alias("model_version_id"), F.concat(F.lit("v"), (F.col("label") % 4).cast("string")).alias("data_snapshot_uuid"), F.lit("tracewell.linear").alias("estimator_class"))
+    snaps = labels.where("label < 4 AND label <> 2").select(F.concat(F.lit("v"), F.col("label").cast("string")).alias("data_snapshot_uuid"), F.lit("live").alias("status"), F.lit("d").alias("content_digest"))
+    a = tall.join(F.broadcast(base)).select("prediction_id", F.col("pos").cast("string").alias("feature_name"), F.lit("x").alias("feature_value_str"), "shap_value", "abs_rank", "base_value", F.lit("linear").alias("explainer_type"))
+    ids = rows.select((F.col("prediction_id") * 2).alias("prediction_id"))
+    out = explain.reports(ids, p, models, snaps, a, 3)
+    return out.select("prediction_id", "status", "failure", "model_version_id", F.transform("attributions", lambda x: x.feature_name).alias("top")).withColumn("top", F.array_join("top", ","))
+
+
+EXPLANATION_REPORTS = f"""WITH {_LINEAR}, t AS (SELECT prediction_id, string_agg(pos::VARCHAR, ',' ORDER BY abs_rank) AS top FROM k WHERE abs_rank <= 3 GROUP BY 1),
+e AS (SELECT vec_id, label FROM embeddings)
+SELECT 2 * e.vec_id AS prediction_id, CASE WHEN p.vec_id IS NULL THEN 'not_found' WHEN p.label = 3 OR p.label % 4 = 2 OR p.vec_id % 10 = 4 THEN 'integrity_failure' ELSE 'ok' END AS status,
+  CASE WHEN p.vec_id IS NULL THEN NULL WHEN p.label = 3 THEN 'model version missing' WHEN p.label % 4 = 2 THEN 'data version missing' WHEN p.vec_id % 10 = 4 THEN 'attributions don''t add up to the score' END AS failure, 'm' || p.label AS model_version_id, t.top
+FROM e LEFT JOIN e p ON p.vec_id = 2 * e.vec_id LEFT JOIN t ON t.prediction_id = 2 * e.vec_id"""
+
+
+def _ingested(spark, sf_dir):
+    from tracewell.plans.ingest import ingest
+
+    trail = Trail(spark, _root(spark))
+    trail.bootstrap()
+    rows = applications.parse(_customer_lines(spark, sf_dir), "b")
+    return trail, ingest(trail, rows), rows
+
+
+def trail_inventory(spark, sf_dir):
+    """Rows and commits of every table after customers are ingested as applications, twice."""
+    from tracewell.plans.ingest import ingest
+
+    trail, _, rows = _ingested(spark, sf_dir)
+    ingest(trail, rows)
+    return trail.inventory()
+
+
+TRAIL_INVENTORY = f"""WITH p AS ({PARSED_APPLICATIONS}), c AS (SELECT count(*) AS n, count(*) FILTER (split = 'eval') AS e FROM p)
+SELECT 'features.credit_applications' AS table_identifier, n AS n_rows, 1 AS commits FROM c UNION ALL SELECT 'features.eval_holdout', e, 1 FROM c UNION ALL SELECT 'audit.data_snapshots', 2, 2 UNION ALL SELECT 'audit.commits', 4, 0
+UNION ALL SELECT unnest(['audit.model_versions', 'audit.model_coefficients', 'audit.training_membership', 'audit.predictions', 'audit.attributions', 'audit.fairness_evaluations', 'audit.fairness_decompositions', 'audit.erasure_requests', 'audit.snapshot_tombstones']), 0, 0"""
+
+
+def erasure_outcome(spark, sf_dir):
+    """Requests after all women of two nations are erased by the full procedure: state, live rows removed, versions lost."""
+    trail, _, rows = _ingested(spark, sf_dir)
+    gone = rows.where("sex = 'Female' AND native_country IN ('3', '7')").select("subject_id")
+    erasure.erase(trail, gone)
+    done = trail.current("audit.erasure_requests", "request_id")
+    stones = trail.read("audit.snapshot_tombstones").agg(F.count("*").alias("tombstones"))
+    left = trail.read("features.credit_applications").agg(F.count("*").alias("rows_left"))
+    return done.join(F.broadcast(stones)).join(F.broadcast(left)).select("subject_id", "status", "live_rows_deleted", "tombstones", "rows_left")  # one row each
+
+
+ERASURE_OUTCOME = f"""WITH p AS ({PARSED_APPLICATIONS}), g AS (SELECT p.*, c_nationkey FROM p JOIN customer ON c_custkey = fnlwgt), x AS (SELECT * FROM g WHERE sex = 'Female' AND c_nationkey IN (3, 7))
+SELECT subject_id, 'completed' AS status, CASE split WHEN 'eval' THEN 2 ELSE 1 END AS live_rows_deleted, (SELECT CAST(count(*) FILTER (split = 'train') > 0 AS INT) + CAST(count(*) FILTER (split = 'eval') > 0 AS INT) FROM x) AS tombstones, (SELECT count(*) FROM p) - (SELECT count(*) FROM x) AS rows_left FROM x"""
+
+
+def drifted_models(spark, sf_dir):
+    m = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("model_version_id"), F.col("o_orderpriority").alias("env_digest"))
+    return fit.environment_drift(m, "1-URGENT")
+
+
+DRIFTED_MODELS = "SELECT o_orderkey AS model_version_id, o_orderpriority AS env_digest FROM orders WHERE o_orderpriority <> '1-URGENT'"
+
 _QUERIES = {
     "group_rates": GROUP_RATES, "group_differences": GROUP_DIFFERENCES, "metric_rows": METRIC_ROWS, "segment_rates": SEGMENT_RATES, "decomposition": DECOMPOSITION, "subject_splits": SUBJECT_SPLITS, "split_counts": SPLIT_COUNTS,
     "version_summary": VERSION_SUMMARY, "row_digests": ROW_DIGESTS, "flat_digest": FLAT_DIGEST, "new_subjects": NEW_SUBJECTS, "current_state": CURRENT_STATE, "top_attributions": TOP_ATTRIBUTIONS, "reconciliation": RECONCILIATION,
     "denial_drivers": DENIAL_DRIVERS, "described_attributions": DESCRIBED_ATTRIBUTIONS, "contaminations": CONTAMINATIONS, "contamination_rollup": CONTAMINATION_ROLLUP, "versions_with_subjects": VERSIONS_WITH_SUBJECTS, "pinned_models": PINNED_MODELS,
     "evaluation_conflicts": EVALUATION_CONFLICTS, "reusable_models": REUSABLE_MODELS, "comparison_refusals": COMPARISON_REFUSALS, "exact_auc": EXACT_AUC, "unknown_inputs": UNKNOWN_INPUTS, "encoded_rows": ENCODED_ROWS, "fitted_scores": None,
     "model_digests": MODEL_DIGESTS, "parsed_applications": PARSED_APPLICATIONS, "erased_table": ERASED_TABLE, "drained_decisions": DRAINED_DECISIONS,
+    "as_of_rows": AS_OF_ROWS, "explanation_reports": EXPLANATION_REPORTS, "trail_inventory": TRAIL_INVENTORY, "erasure_outcome": ERASURE_OUTCOME, "drifted_models": DRIFTED_MODELS,
 }
 
 
