@@ -5,7 +5,8 @@ by hash, into groups of about ``group_size``; within a group they are placed in
 first sequence with room, found by a tournament tree over the free room of the group's sequences (log n steps a piece).
 A group is a bounded number of rows, whatever the documents' sources or lengths, and groups are independent.
 
-The vocabulary's pieces never span white space, so a text is encoded word by word behind a bounded cache of words.
+The vocabulary's pieces never span white space, so a text is encoded word by word behind bounded caches of words and
+of their parts.
 
 Edge cases. Null or empty text: the end id alone. A text longer than ``limit``: full pieces and a rest. Ties in length
 are placed in order of doc_id and start. Repeated rows are packed once each. Extra columns of documents are dropped by
@@ -14,6 +15,8 @@ are placed in order of doc_id and start. Repeated rows are packed once each. Ext
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,22 +36,60 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A word that the vocabulary cuts into its letters, in lower case, and the marks after them: letters of ASCII and Latin-1.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:]*)")
+
+
+class _Cache:
+    """Two generations: a full young one becomes the old one, so what is still in use survives and the size is bounded."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most // 2, {}, {}
+
+    def missing(self, keys) -> list:
+        young, old = self.young, self.old
+        new = []
+        for k in {k for k in keys if k not in young}:
+            v = old.get(k)
+            if v is None:
+                new.append(k)
+            else:
+                young[k] = v
+        return new
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+
 class WordEncoder:
-    """Ids of texts as little-endian 32-bit bytes; words are encoded once while the cache holds them."""
+    """Ids of words as little-endian 32-bit bytes. Words are looked up first, then the letters and marks of plain ones."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most_words: int = 300_000, most_parts: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), _Cache(most_words), _Cache(most_parts)
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        if parts := self.parts.missing(parts):
+            e = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+            ids, at = np.array(e.ids, "<u4"), np.searchsorted(e.word_ids, np.arange(len(parts) + 1))
+            for i, x in enumerate(parts):
+                self.parts.young[x] = ids[at[i] : at[i + 1]].tobytes()
 
     def __call__(self, words: list[bytes]) -> bytes:
-        known = self.known
-        if new := {w for w in words if w not in known}:
-            if len(known) > self.most:
-                known.clear()
-                new = set(words)
-            new = list(new)
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+        self.words.turn()
+        self.parts.turn()
+        known = self.words.young
+        if new := self.words.missing(words):
+            plain = [(w, m[1].decode().lower(), m[2].decode()) for w in new if (m := _PLAIN.fullmatch(w))]
+            self._learn_parts([x for _, a, b in plain for x in ((a, b) if b else (a,))])
+            part = self.parts.young
+            for w, a, b in plain:
+                known[w] = part[a] + part[b] if b else part[a]
+            odd = [w for w in new if w not in known]
+            for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
         return b"".join(map(known.__getitem__, words))
 
@@ -73,7 +114,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n = len(ids) // 4
                 rows += [(doc, at, min(limit, n - at), n, ids[4 * at : 4 * (at + limit)]) for at in range(0, n, limit)]
                 held += n
-                if held > 2_000_000:
+                if held > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
                     rows, held = [], 0
             if rows:
