@@ -36,8 +36,26 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A word that the vocabulary cuts into its letters, in lower case, and the marks after them: letters of ASCII and Latin-1.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:]*)")
+#: A word that the vocabulary cuts into its letters, in lower case, and the marks after them: ASCII and Latin-1.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: A mark that the vocabulary cuts off its word.
+_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words of a text that have the text's ids, one after the other.
+
+    Latin-1 letters have one form and a lower case that doesn't depend on their place, so such texts are brought to
+    fewer different words; not if they may hold a special token, which lower case could make or break.
+    """
+    try:
+        if b"<|" not in text:
+            plain = text.decode()
+            plain.encode("latin-1")
+            text = _MARK.sub(rb" \1", plain.lower().encode())
+    except UnicodeEncodeError:
+        pass
+    return text.split()
 
 
 class _Cache:
@@ -46,15 +64,16 @@ class _Cache:
     def __init__(self, most: int):
         self.most, self.young, self.old = most // 2, {}, {}
 
-    def missing(self, keys) -> list:
+    def missing(self, keys: set) -> list:
         young, old = self.young, self.old
         new = []
-        for k in {k for k in keys if k not in young}:
-            v = old.get(k)
-            if v is None:
-                new.append(k)
-            else:
-                young[k] = v
+        for k in keys:
+            if k not in young:
+                v = old.get(k)
+                if v is None:
+                    new.append(k)
+                else:
+                    young[k] = v
         return new
 
     def turn(self) -> None:
@@ -65,33 +84,43 @@ class _Cache:
 class WordEncoder:
     """Ids of words as little-endian 32-bit bytes. Words are looked up first, then the letters and marks of plain ones."""
 
-    def __init__(self, path: str, most_words: int = 300_000, most_parts: int = 600_000):
+    def __init__(self, path: str, most_words: int = 800_000, most_parts: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), _Cache(most_words), _Cache(most_parts)
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        if parts := self.parts.missing(parts):
-            e = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
-            ids, at = np.array(e.ids, "<u4"), np.searchsorted(e.word_ids, np.arange(len(parts) + 1))
-            for i, x in enumerate(parts):
-                self.parts.young[x] = ids[at[i] : at[i + 1]].tobytes()
-
-    def __call__(self, words: list[bytes]) -> bytes:
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece of the text
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _learn_parts(self, parts: set[str]) -> None:
+        if new := self.parts.missing(parts):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            at = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            raw, young = ids.tobytes(), self.parts.young
+            for x, i, j in zip(new, at[:-1], at[1:], strict=True):
+                young[x] = raw[4 * i : 4 * j]
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; best with the words of several texts at once."""
         self.words.turn()
         self.parts.turn()
         known = self.words.young
-        if new := self.words.missing(words):
+        found = list(map(known.get, words))
+        if None in found:
+            blank = [i for i, x in enumerate(found) if x is None]
+            new = self.words.missing({words[i] for i in blank})
             plain = [(w, m[1].decode().lower(), m[2].decode()) for w in new if (m := _PLAIN.fullmatch(w))]
-            self._learn_parts([x for _, a, b in plain for x in ((a, b) if b else (a,))])
+            self._learn_parts({x for _, a, b in plain for x in ((a, b) if b else (a,))})
             part = self.parts.young
             for w, a, b in plain:
                 known[w] = part[a] + part[b] if b else part[a]
             odd = [w for w in new if w not in known]
             for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+            for i in blank:
+                found[i] = known[words[i]]
+        return found
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -107,18 +136,27 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             _ENCODERS[path] = WordEncoder(path)
         encode, end = _ENCODERS[path], np.array([end_id], "<u4").tobytes()
         for b in batches:
-            rows: list[tuple] = []
-            held = 0
-            for doc, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
-                ids = encode(text.split()) + end
-                n = len(ids) // 4
-                rows += [(doc, at, min(limit, n - at), n, ids[4 * at : 4 * (at + limit)]) for at in range(0, n, limit)]
-                held += n
-                if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+            ids, waiting, words = b.column(0).to_pylist(), [], []
+
+            def encoded() -> pa.RecordBatch:
+                found, at, rows = encode(words), 0, []
+                for doc, n_words in waiting:
+                    raw = b"".join(found[at : at + n_words]) + end
+                    at += n_words
+                    n = len(raw) // 4
+                    rows += [(doc, s, min(limit, n - s), n, raw[4 * s : 4 * (s + limit)]) for s in range(0, n, limit)]
+                waiting.clear()
+                words.clear()
+                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+            for doc, text in zip(ids, text_bytes(b.column(1)), strict=True):
+                own = words_of(text)
+                words += own
+                waiting.append((doc, len(own)))
+                if len(words) > 100_000:
+                    yield encoded()
+            if waiting:
+                yield encoded()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
