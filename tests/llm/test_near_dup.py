@@ -85,8 +85,8 @@ def test_empty_table(spark):
 
 
 def test_repeated_ids(spark):
-    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id long, text string")
-    assert sorted(map(tuple, near_dup.near_duplicates(docs).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c")], "doc_id long, text string")
+    assert sorted(map(tuple, near_dup.near_duplicates(docs).collect()), key=str) == [(1, 1, 1, True), (2, 1, 1, False), (None, 1, None, True)]
 
 
 @pytest.mark.parametrize("percent", [50, 90])

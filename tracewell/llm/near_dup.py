@@ -21,7 +21,8 @@ documents are linked when 100 * |A & B| >= 75 * |A | B|. The steps:
 
 Edge cases. Null text, empty text or white space only: an empty set, n_shingles 0, its own component. Fewer than
 five words: the whole sequence is one shingle. Repeated texts: one class, linked. Repeated doc_ids are taken as rows
-of one document: the smallest row of sketches counts. Extra columns, whatever their names, are ignored. An empty
+of one document: the smallest row of sketches counts. Rows without doc_id are one document of their own: component null,
+kept, linked with nothing. Extra columns, whatever their names, are ignored. An empty
 table gives an empty result.
 """
 
@@ -292,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     whole = sketch.select("doc_id", "n_shingles", "key").groupBy("doc_id").agg(F.min(F.struct("n_shingles", "key")).alias("s")).select("doc_id", "s.*")
     reps = classes.join(parts.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    out = whole.join(reps, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    result = scratch.table(out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
+    out = whole.join(reps, "key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    result = scratch.table(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
     scratch.drop(sketch, classes, firsts, members)
     return result
