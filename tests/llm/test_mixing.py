@@ -31,6 +31,21 @@ def test_sampled_shares(spark):
     assert got.m == 1.0 and got.n == 10_000 and abs(got.k - got.e) < 4 * got.n**0.5
 
 
+def test_one_rare_document_does_not_set_the_rate(spark):
+    """A document of a new source and a new language leaves the share of tokens that is kept at ``KEEP`` and the margins met."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stray = docs.limit(1).withColumn("doc_id", F.lit(-1).cast(docs.schema["doc_id"].dataType)).withColumn("text", F.lit("w " * 60)).withColumn("source", F.lit(None).cast("string")).withColumn("lang", F.lit("xx"))
+    rows = mixing.features(docs.union(stray))
+    cells, _ = mixing.probabilities(rows, Scratch(spark, "t"))
+    cells = cells.withColumn("weight", F.col("probability")).cache()
+    total, kept, most = cells.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability")), F.max("probability")).first()
+    assert most <= 1.0 and kept == pytest.approx(mixing.KEEP * total, rel=0.01)
+    assert mixing.margin_error(cells) < 0.02
+    assert cells.where("lang = 'xx'").first().probability == pytest.approx(1.0)
+    out = mixing.calibrated(docs.union(stray)).agg(F.sum("probability").alias("e"), F.count("*").alias("n")).first()
+    assert out.n == docs.count() + 1 and out.e > 0.35 * out.n
+
+
 def test_edge_cases(spark):
     schema = "doc_id long, text string, source string, lang string, weight string"
     docs = spark.createDataFrame([(1, None, None, None, "x"), (2, "", "s", None, "x"), (3, "a b", "s", "en", "x"), (3, "a b", "s", "en", "x"), (None, "licence", "t", "en", "x"), (5, "a@b " * 9000, "t", "de", "x")], schema)

@@ -4,7 +4,13 @@ Documents are counted into cells of source, language and topic, with their token
 weights so that the weighted tokens meet the target share of every source, then of every language, then of every topic;
 the weights converge to the ones nearest to the corpus that meet all three. A document's probability is its cell's
 weight over the largest weight: the highest rate at which no probability exceeds 1, so that expected shares are the
-targets, whatever the corpus. A document is taken if a uniform number made from its id is below its probability.
+targets. A document is taken if a uniform number made from its id is below its probability.
+
+One rare cell can make that rate tiny. Where it would keep less than ``keep`` of the tokens, each margin's goal is
+``keep`` of all tokens by its target shares instead; a value with fewer tokens than its goal gives all it has, and the
+others share the rest by their targets. Sweeps then scale probabilities to these goals and clip them at 1, until no more
+than ``MARGIN_ERROR`` of the goal lies in wrong values or ``BOUNDED_SWEEPS`` are made; ``margin_error`` tells what is
+left against the targets.
 
 Targets default to tempered shares: share ** power, normalised, which flattens a dominant source or language.
 
@@ -28,6 +34,8 @@ from tracewell.llm.shared import Scratch, broadcast_if_small
 #: Power of each margin's natural share in its target, and the sweeps made.
 TEMPER = {"source": 0.8, "lang": 0.8, "topic": 0.9}
 SWEEPS, SEED = 8, "mix-1"
+#: Least share of the tokens that is expected to stay; the sweeps that see to it, and when they stop.
+KEEP, BOUNDED_SWEEPS, MARGIN_ERROR = 0.4, 24, 1e-3
 
 
 def topic_of(text: Column) -> Column:
@@ -70,10 +78,68 @@ def raked(rows: DataFrame, scratch: Scratch, temper: dict[str, float] = TEMPER,
     return now
 
 
-def _rates(rows: DataFrame, scratch: Scratch, temper: dict[str, float], sweeps: int) -> DataFrame:
+def _goals(cells: DataFrame, d: str, power: float, goal: float) -> DataFrame:
+    """(d, goal) of each value: ``goal`` tokens by target share, no value more than it has."""
+    values = cells.groupBy(d).agg(F.sum("tokens").alias("has")).withColumn("t", F.pow(F.col("has").cast("double"), F.lit(power)))
+    full, free = 0, values.agg(F.sum("t")).first()[0]
+    while True:  # each round but the last fills one more value
+        scale = (goal - full) / free if free else 0.0
+        whole = F.lit(scale) * F.col("t") >= F.col("has")
+        now, free = values.agg(F.coalesce(F.sum(F.when(whole, F.col("has"))), F.lit(0)), F.coalesce(F.sum(F.when(~whole, F.col("t"))), F.lit(0.0))).first()
+        if now == full:
+            return values.select(d, F.least(F.col("has").cast("double"), F.lit(scale) * F.col("t")).alias("goal"))
+        full = now
+
+
+def _off(cells: DataFrame, d: str, goals: DataFrame) -> float:
+    """Tokens above their value's goal or below it, halved."""
+    held = cells.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("held"))
+    return held.join(goals, d).agg(F.sum(F.abs(F.col("held") - F.col("goal"))) / 2).first()[0] or 0.0
+
+
+def bounded(cells: DataFrame, scratch: Scratch, temper: dict[str, float] = TEMPER, keep: float = KEEP) -> DataFrame:
+    """``cells`` with weights that are probabilities and keep the share ``keep`` of the tokens."""
+    total, held = cells.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("weight"))).first()
+    goals = {d: scratch.table(_goals(cells, d, power, keep * total)) for d, power in temper.items()}
+    now = scratch.table(cells.withColumn("weight", F.least(F.lit(1.0), F.col("weight") * F.lit(keep * total / held))))
+    for _ in range(BOUNDED_SWEEPS):
+        then = now
+        for d in temper:
+            sums = then.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("held")).join(goals[d], d)
+            then = then.join(sums, d).withColumn("weight", F.when(F.col("held") > 0, F.least(F.lit(1.0), F.col("weight") * F.col("goal") / F.col("held"))).otherwise(F.col("weight"))).select(*cells.columns)
+        then = scratch.table(then)
+        scratch.drop(now)
+        now = then
+        if max(_off(now, d, goals[d]) for d in temper) <= MARGIN_ERROR * keep * total:
+            break
+    scratch.drop(*goals.values())
+    return now
+
+
+def margin_error(cells: DataFrame, temper: dict[str, float] = TEMPER) -> float:
+    """The largest share, over the margins, of weighted tokens that lie in other values than the targets say."""
+    total = cells.agg(F.sum(F.col("tokens") * F.col("weight"))).first()[0]
+    if not total:
+        return 0.0
+    worst = 0.0
+    for d, power in temper.items():
+        t = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("t"))
+        scale = total / t.agg(F.sum("t")).first()[0]
+        worst = max(worst, _off(cells, d, t.select(d, (F.col("t") * F.lit(scale)).alias("goal"))) / total)
+    return worst
+
+
+def probabilities(rows: DataFrame, scratch: Scratch, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS, keep: float = KEEP) -> tuple[DataFrame, int]:
+    """The cells of ``raked`` with their probability, and the number of those with tokens."""
     cells = raked(rows, scratch, temper, sweeps)
-    n, most = cells.where("tokens > 0").agg(F.count("*"), F.max("weight")).first()
-    rates = cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") / F.lit(most or 1.0)))
+    n, most, total, held = cells.where("tokens > 0").agg(F.count("*"), F.max("weight"), F.sum("tokens"), F.sum(F.col("tokens") * F.col("weight"))).first()
+    if n and held < keep * most * total:
+        cells, most = bounded(cells, scratch, temper, keep), 1.0
+    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") / F.lit(most or 1.0))), n
+
+
+def _rates(rows: DataFrame, scratch: Scratch, temper: dict[str, float], sweeps: int) -> DataFrame:
+    rates, n = probabilities(rows, scratch, temper, sweeps)
     return broadcast_if_small(rates.select(*temper, "weight", "probability"), 200 * (n + 1))
 
 
