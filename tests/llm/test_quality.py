@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import same
 from tracewell.llm import quality, queries
@@ -61,6 +62,17 @@ def test_depleted(spark):
     assert {(r.kept, r.base_failed) for r in quality.verdicts(docs, least_docs=24).collect()} in ({(False, False)}, {(False, True)})
 
 
+def test_large_host(spark):
+    """Lines in 4 and 2 % of 20,000 texts are boilerplate, one in 0.5 % isn't; a document mostly made of them is depleted."""
+    own = F.concat_ws(" ", *(F.concat(F.lit(f"w{i}x"), F.col("doc_id")) for i in range(60)))
+    long = " ".join(f"menu{i}" for i in range(80))
+    line = lambda n, x: F.when(F.col("doc_id") % n == 0, F.lit(x + "\n")).otherwise(F.lit(""))
+    docs = spark.range(20_000).withColumnRenamed("id", "doc_id").select("doc_id", F.concat(line(25, "share this"), line(50, long), line(200, "rare line"), own).alias("text"), F.lit("big").alias("source"))
+    got = {r.doc_id: (r.n_removed_words, r.kept) for r in quality.verdicts(docs).where("doc_id % 25 = 0 OR doc_id < 9").collect()}
+    assert got == {d: (82, False) if d % 50 == 0 else (2, True) if d % 25 == 0 else (0, True) for d in got} and len(got) == 808
+    assert {r.text[:3] for r in quality.clean(docs).where("doc_id IN (25, 75)").collect()} == {"w0x"}
+
+
 def test_empty_table_and_repeated_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert quality.verdicts(docs).count() == 0 and quality.clean(docs).count() == 0

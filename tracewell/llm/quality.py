@@ -7,8 +7,10 @@ n words costs n log n and no shuffle.
 Lines are normalised (lower case, inner white space as one space, trimmed) and hashed to 64 bits. For each host the
 documents that hold a line are counted as distinct texts, so exact copies count once: the pairs (line, text) are
 aggregated before the shuffle and dealt by line and text, then counted by line, and no line gathers in one task. A line
-is frequent in its host if more than ``least_docs`` texts and more than ``share`` of the host's texts hold it. Frequent
-lines are removed, and a document that keeps less than ``kept_percent`` of its words is rejected as depleted.
+is frequent in its host if more than ``least_docs`` texts and more than ``share`` of the host's texts hold it; beyond
+``SHARE_TEXTS`` texts the second limit grows with their square root only, since a template belongs to a part of a host
+that doesn't grow with the whole, while chance repeats of short lines still do. Frequent lines are removed, and a
+document that keeps less than ``kept_percent`` of its words is rejected as depleted.
 
 Edge cases. Null text: no words, fails the base rules. Null host: the host ''. White-space lines are never counted or
 removed. Ties don't occur (limits are strict counts). Repeated rows get the same result, once each. Extra columns are
@@ -25,6 +27,8 @@ from tracewell.llm.shared import ASCII_SPACE, Scratch, broadcast_if_small, nativ
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 LEAST_DOCS, SHARE, KEPT_PERCENT = 20, 0.05, 50
+#: Up to so many texts of a host the share limit is in proportion to them.
+SHARE_TEXTS = 1000
 
 
 def _has_word(line: Column) -> Column:
@@ -65,7 +69,8 @@ def frequent_lines(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DO
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), _has_word), line_hash))
     counts = docs.select("__host", "__text", F.explode(lines).alias("h")).groupBy("__host", "h").agg(F.countDistinct("__text").alias("n"))
     hosts = docs.groupBy("__host").agg(F.countDistinct("__text").alias("texts"))
-    return scratch.table(counts.where(F.col("n") > least_docs).join(hosts, "__host").where(F.col("n") > F.lit(share) * F.col("texts")).select("__host", "h"))
+    counted = F.when(F.col("texts") > SHARE_TEXTS, F.sqrt(F.lit(float(SHARE_TEXTS)) * F.col("texts"))).otherwise(F.col("texts"))
+    return scratch.table(counts.where(F.col("n") > least_docs).join(hosts, "__host").where(F.col("n") > F.lit(share) * counted).select("__host", "h"))
 
 
 def lost_lines(docs: DataFrame, frequent: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
