@@ -73,6 +73,11 @@ def test_large_host(spark):
     assert {r.text[:3] for r in quality.clean(docs).where("doc_id IN (25, 75)").collect()} == {"w0x"}
 
 
+def test_null_text_is_no_text_of_its_host(spark):
+    docs = spark.createDataFrame([(1, "x", "s"), (2, None, "s")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.n_removed_words for r in quality.verdicts(docs, least_docs=0, share=0.5).collect()} == {1: 1, 2: 0}
+
+
 def test_empty_table_and_repeated_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert quality.verdicts(docs).count() == 0 and quality.clean(docs).count() == 0

@@ -12,7 +12,7 @@ is frequent in its host if more than ``least_docs`` texts and more than ``share`
 that doesn't grow with the whole, while chance repeats of short lines still do. Frequent lines are removed, and a
 document that keeps less than ``kept_percent`` of its words is rejected as depleted.
 
-Edge cases. Null text: no words, fails the base rules. Null host: the host ''. White-space lines are never counted or
+Edge cases. Null text: no words, fails the base rules, no text of its host. Null host: the host ''. White-space lines are never counted or
 removed. Ties don't occur (limits are strict counts). Repeated rows get the same result, once each. Extra columns are
 ignored by ``verdicts`` and kept by ``clean``; the names that begin with "__" are taken. An empty table gives an empty result.
 """
@@ -68,7 +68,7 @@ def frequent_lines(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DO
     """(__host, h) of the lines above the limits. ``docs``: __id, __host, text, __text."""
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), _has_word), line_hash))
     counts = docs.select("__host", "__text", F.explode(lines).alias("h")).groupBy("__host", "h").agg(F.countDistinct("__text").alias("n"))
-    hosts = docs.groupBy("__host").agg(F.countDistinct("__text").alias("texts"))
+    hosts = docs.groupBy("__host").agg(F.countDistinct(F.when(F.col("text").isNotNull(), F.col("__text"))).alias("texts"))
     counted = F.when(F.col("texts") > SHARE_TEXTS, F.sqrt(F.lit(float(SHARE_TEXTS)) * F.col("texts"))).otherwise(F.col("texts"))
     return scratch.table(counts.where(F.col("n") > least_docs).join(hosts, "__host").where(F.col("n") > F.lit(share) * counted).select("__host", "h"))
 
