@@ -49,8 +49,10 @@ def test_brute_force_with_chains_and_edge_cases(spark):
     assert got == brute(texts)
 
 
-def test_blocks_of_unresolved_buckets(spark):
-    """Whatever the block size, the links found join what all pairs would join, and are a forest in each task."""
+@pytest.mark.parametrize("all_pairs", [0, 1500])
+def test_blocks_of_unresolved_buckets(spark, monkeypatch, all_pairs):
+    """Whatever the block size, by all pairs or the index, the links found join what all pairs would join."""
+    monkeypatch.setattr(near_dup, "ALL_PAIRS", all_pairs)
     rng = random.Random(2)
     words = [f"w{i}" for i in range(200)]
     texts = []
@@ -63,8 +65,8 @@ def test_blocks_of_unresolved_buckets(spark):
     sketch = near_dup.sketches(docs)
     members = spark.createDataFrame([(band, band, d, d) for d in range(40) for band in range(near_dup.BANDS)], "bucket long, band int, doc_id long, label long")
     want = {d: c for d, _, c, _ in brute(texts)}
-    for block in (500, 3000, 10**6):
-        links = near_dup.unresolved_links(members, sketch, docs, near_dup.least_matches(0.75, 1e-6), 75, block).collect()
+    for block, most in ((500, 100), (3000, 100), (10**6, 100), (10**6, 9)):
+        links = near_dup.unresolved_links(members, sketch, docs, near_dup.least_matches(0.75, 1e-6), 75, block, most).collect()
         up = {d: d for d in range(40)}
         for _ in range(40):
             for a, b in links:
@@ -72,6 +74,18 @@ def test_blocks_of_unresolved_buckets(spark):
         assert up == want
 
 
+def test_bucket_of_many_short_texts(spark):
+    """40,000 texts of eight common words and one of their own share a bucket; only the pairs of equal sets are linked."""
+    n = 40_000
+    texts = [(d, f"one two three four five six seven eight {d % (n - 5)}") for d in range(n)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    sketch = near_dup.sketches(docs).persist()
+    members = docs.selectExpr("42L AS bucket", "0 AS band", "doc_id", "doc_id AS label")
+    sketch = sketch.selectExpr("doc_id", "n_shingles", "unhex(repeat('01', 16)) || substring(sig, 17, 496) AS sig")
+    links = near_dup.unresolved_links(members, sketch, docs, near_dup.least_matches(0.75, 1e-6), 75).collect()
+    assert sorted((min(r), max(r)) for r in links) == [(d, d + n - 5) for d in range(5)]
+
+
 def test_posterior_limits():
     least = near_dup.least_matches(0.75, 1e-6)
     assert list(least) == list(range(16, 129, 16))

@@ -75,3 +75,27 @@ def test_edge_cases(spark):
     assert packing.pack(packing.token_pieces(docs.limit(0))).count() == 0
     twice = packing.pack(packing.token_pieces(docs.union(docs))).collect()
     assert len(twice) == 2 * packed.count() and len({(p.sequence_id, p.offset) for p in twice}) == len(twice)
+
+
+def test_many_rows_of_one_id(spark):
+    """A third of the rows has one id, or none; groups are split and nothing is lost."""
+    rows = [(None if i % 3 else 7, f"w{i % 5} " * (i % 9)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pieces = packing.digests(packing.token_pieces(docs)).withColumn("offset", packing.F.lit("x"))
+    got = packing.pack(pieces, limit=40, group_size=10).collect()
+    assert len(got) == 300 and len({p.sequence_id for p in got}) > 10
+    by_sequence = {}
+    for p in got:
+        by_sequence.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for own in by_sequence.values():
+        ends = [0]
+        for offset, length in sorted(own):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 40
+
+
+def test_bytes_that_are_no_utf8(spark):
+    docs = spark.createDataFrame([(1, b"ab\xff cd")], "doc_id long, b binary").selectExpr("doc_id", "CAST(b AS STRING) AS text")
+    want = [*encoder().encode("ab\ufffd cd", add_special_tokens=False).ids, 2]
+    assert packing.token_pieces(docs).collect()[0].ids == np.array(want, "<u4").tobytes()

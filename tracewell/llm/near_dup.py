@@ -13,15 +13,17 @@ documents are linked when 100 * |A & B| >= 75 * |A | B|. The steps:
    on their full sets, with the texts joined to the pairs (each text is shuffled once for each pair it is in).
 4. Each linked class takes the least label within a few links. A bucket whose members have one label is settled.
    In the others a link may run between members other than the smallest, so their members are dealt into blocks of
-   bounded weight, and one task has each pair of blocks of a bucket with their texts. It compares members of different
-   labels, drops pairs by step 3's test, leaves a pair to the first bucket that it shares, and verifies the rest
-   exactly, most similar first; a link joins two labels within the task, and later pairs within one label are skipped.
+   bounded shingles and members, and one task has each pair of blocks of a bucket with their texts. It compares members
+   of different labels, drops pairs by step 3's test, leaves a pair to the first bucket that it shares, and verifies the
+   rest exactly, most similar first; a link joins two labels within the task, and later pairs within one label are
+   skipped. With many members only those are compared that have one of their rarest shingles in common, as linked sets
+   must.
    So what leaves a task is a forest of links, less than one a member, whatever the number of pairs.
 5. Connected components of the labels, by alternating large-star and small-star steps on a written edge table.
 
 Edge cases. Null text, empty text or white space only: an empty set, n_shingles 0, its own component. Fewer than
 five words: the whole sequence is one shingle. Repeated texts: one class, linked. Repeated doc_ids are taken as rows
-of one document: the smallest row of sketches counts. Rows without doc_id are one document of their own: component null,
+of one document: the row with the fewest shingles, then the smallest key, counts. Rows without doc_id are one document of their own: component null,
 kept, linked with nothing. Extra columns, whatever their names, are ignored. An empty
 table gives an empty result.
 """
@@ -41,8 +43,9 @@ from tracewell.llm.shared import Scratch, WordHashes, broadcast_if_small, mix, t
 
 SHINGLE, BANDS, ROWS, STEP = 5, 32, 4, 16
 HASHES = BANDS * ROWS
-#: Shingles of a block in step 4; a task holds two blocks at a time, about 16 MB of sets and as much text.
-BLOCK = 1_000_000
+#: Shingles and members of a block in step 4; a task holds two blocks at a time, about 8 MB of sets, as much text and 16 MB
+#: of signatures. Up to ALL_PAIRS members are compared each with each, more through an index.
+BLOCK, MEMBERS, ALL_PAIRS = 500_000, 16_000, 1500
 _rng = np.random.default_rng(20240611)
 _MULT = (_rng.integers(1, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -201,6 +204,41 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return nodes.union(now.select(F.col("b").alias("label"), F.col("b").alias("component")).distinct())
 
 
+class _Index:
+    """Of sets of shingles those that may be linked with a given one.
+
+    Shingles are ordered by frequency. Of a set of n the first n - ceil(2 s n / (1 + s)) + 1 are indexed at similarity s,
+    and a set looks up its first n - ceil(s n) + 1: linked sets meet when the larger looks for the smaller.
+    """
+
+    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, percent: int):
+        self.sizes, self.labels = np.array([len(s) for s in sets]), labels
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        back, n = np.unique(flat, return_inverse=True, return_counts=True)[1:]
+        order = np.lexsort((back, n[back], owner))
+        rank, size = np.arange(len(order)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes), np.repeat(self.sizes, self.sizes)
+        held = order[rank < size - -(-2 * percent * size // (100 + percent)) + 1]
+        held = held[np.lexsort((owner[held], back[held]))]
+        self.owner, token = owner[held], back[held]
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        least, most = np.minimum.reduceat(labels[self.owner], starts), np.maximum.reduceat(labels[self.owner], starts)
+        asked = order[rank < size - -(-percent * size // 100) + 1]
+        self.asks = np.searchsorted(owner[asked], np.arange(len(sets) + 1))  # ``order`` goes by owner
+        at = np.searchsorted(token[starts], back[asked])
+        at[at == len(starts)] = 0
+        own = labels[owner[asked]]
+        use = (token[starts][at] == back[asked]) & ~((least[at] == own) & (most[at] == own))
+        self.start, self.stop = np.where(use, starts[at], 0), np.where(use, np.append(starts[1:], len(token))[at], 0)
+
+    def __call__(self, x: int) -> np.ndarray:
+        a, b = self.asks[x], self.asks[x + 1]
+        found = [self.owner[i:j] for i, j in zip(self.start[a:b].tolist(), self.stop[a:b].tolist(), strict=True) if j > i]
+        if not found:
+            return self.owner[:0]
+        y = np.unique(np.concatenate(found))
+        return y[(self.sizes[y] < self.sizes[x]) | ((self.sizes[y] == self.sizes[x]) & (y < x))]
+
+
 def _forest(own: np.ndarray, i: int, j: int, band: int, ids: np.ndarray, labels: np.ndarray, sigs: np.ndarray, texts: list[bytes], least: dict[int, int], percent: int) -> list[tuple[int, int]]:
     """Links between blocks i and j (or within i) that join different labels, each joining two that were apart."""
     hashes, sets, up = WordHashes(), {}, {}
@@ -218,9 +256,10 @@ def _forest(own: np.ndarray, i: int, j: int, band: int, ids: np.ndarray, labels:
 
     bands, links = sigs.reshape(-1, BANDS, ROWS), []
     left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(own)),) * 2
-    for x in left.tolist():
-        y = right[labels[right] != labels[x]]
-        y = y[y > x] if i == j else y
+    index = _Index([members(x) for x in range(len(own))], labels, percent) if len(own) > ALL_PAIRS else None
+    for x in left.tolist() if index is None else range(len(own)):
+        y = index(x) if index is not None else right[right > x] if i == j else right
+        y = y[(labels[y] != labels[x]) & ((own[y] != own[x]) | (i == j))]
         if not len(y):
             continue
         y = y[_survive(np.broadcast_to(sigs[x], (len(y), HASHES)), sigs[y], least)]
@@ -236,15 +275,15 @@ def _forest(own: np.ndarray, i: int, j: int, band: int, ids: np.ndarray, labels:
     return links
 
 
-def unresolved_links(members: DataFrame, sketch: DataFrame, texts: DataFrame, least: dict[int, int], percent: int, block: int = BLOCK) -> DataFrame:
+def unresolved_links(members: DataFrame, sketch: DataFrame, texts: DataFrame, least: dict[int, int], percent: int, block: int = BLOCK, most: int = MEMBERS) -> DataFrame:
     """Links (a, b) that join the labels of the members (bucket, band, doc_id, label) of each bucket with several.
 
-    A bucket of s shingles is dealt into ceil(s / block) blocks; each member goes to every pair of blocks that has its
-    own, and one task has one pair of blocks.
+    A bucket of s shingles and n members is dealt into ceil(s / block) or ceil(n / most) blocks; each member goes to every
+    pair of blocks that has its own, and one task has one pair of blocks.
     """
     rows = members.join(sketch.select("doc_id", "n_shingles", "sig"), "doc_id")
-    sizes = rows.groupBy("bucket").agg(F.sum("n_shingles").alias("s"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    sizes = sizes.where("lo <> hi").select("bucket", F.ceil(F.col("s") / block).cast("int").alias("blocks"))
+    sizes = rows.groupBy("bucket").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    sizes = sizes.where("lo <> hi").select("bucket", F.greatest(F.ceil(F.col("s") / block), F.ceil(F.col("n") / most)).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", "band", "doc_id", "label", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(texts, "doc_id")
@@ -252,7 +291,7 @@ def unresolved_links(members: DataFrame, sketch: DataFrame, texts: DataFrame, le
     def compare(key, t):
         t = t.sort_by("doc_id")
         column = lambda c: t.column(c).to_numpy()
-        links = _forest(column("own"), key[1].as_py(), key[2].as_py(), t.column("band")[0].as_py(), column("doc_id"), column("label"), _signatures(t.column("sig")), text_bytes(t.column("text")), least, percent)
+        links = _forest(column("own"), key[1].as_py(), key[2].as_py(), t.column("band")[0].as_py(), column("doc_id"), column("label"), _signatures(t.column("sig")), list(text_bytes(t.column("text"))), least, percent)
         return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
@@ -269,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = scratch.table(sketches(docs, id_col, text_col))
     classes = scratch.table(sketch.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
     firsts = sketch.join(classes, [sketch.key == classes.key, sketch.doc_id == classes.rep], "left_semi").select("doc_id", "n_shingles", "sig")
-    firsts = scratch.table(firsts.dropDuplicates(["doc_id"]))
+    firsts = scratch.table(firsts.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "sig")).alias("s")).select("doc_id", "s.*"))
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("sig").substr(k * (ROWS * 4) + 1, F.lit(ROWS * 4))))
     bands = firsts.select("doc_id", F.posexplode(band).alias("band", "bucket"))

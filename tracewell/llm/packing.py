@@ -3,14 +3,15 @@
 Each document is encoded, ended by an end id, and cut into pieces of at most ``limit`` ids. Pieces are dealt at random,
 by hash, into groups of about ``group_size``; within a group they are placed in order of falling length, each into the
 first sequence with room, found by a tournament tree over the free room of the group's sequences (log n steps a piece).
-A group is a bounded number of rows, whatever the documents' sources or lengths, and groups are independent.
+A group is a bounded number of rows, whatever the documents' sources, lengths or repeated ids, and groups are
+independent.
 
 The vocabulary's pieces never span white space, so a text is encoded word by word behind bounded caches of words and
 of their parts.
 
 Edge cases. Null or empty text: the end id alone. A text longer than ``limit``: full pieces and a rest. Ties in length
-are placed in order of doc_id and start. Repeated rows are packed once each. Extra columns of documents are dropped by
-``token_pieces``; ``pack`` keeps all columns of its pieces. An empty table gives an empty result.
+are placed in order of doc_id and start. Repeated rows are packed once each. Bytes that aren't UTF-8 are encoded as
+U+FFFD. Extra columns of documents are dropped by ``token_pieces``; ``pack`` keeps all columns of its pieces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.shared import text_bytes
+from tracewell.llm.shared import broadcast_if_small, text_bytes
 
 LIMIT, GROUP_SIZE, END_ID = 4096, 4096, 2
+#: Words that are looked up together.
+CHUNK = 30_000
 
 
 def vocabulary() -> str:
@@ -49,10 +52,12 @@ def words_of(text: bytes) -> list[bytes]:
     fewer different words; not if they may hold a special token, which lower case could make or break.
     """
     try:
+        plain = text.decode()
         if b"<|" not in text:
-            plain = text.decode()
             plain.encode("latin-1")
             text = _MARK.sub(rb" \1", plain.lower().encode())
+    except UnicodeDecodeError:
+        text = text.decode("utf-8", "replace").encode()
     except UnicodeEncodeError:
         pass
     return text.split()
@@ -84,7 +89,7 @@ class _Cache:
 class WordEncoder:
     """Ids of words as little-endian 32-bit bytes. Words are looked up first, then the letters and marks of plain ones."""
 
-    def __init__(self, path: str, most_words: int = 800_000, most_parts: int = 600_000):
+    def __init__(self, path: str, most_words: int = 300_000, most_parts: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
@@ -153,7 +158,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 own = words_of(text)
                 words += own
                 waiting.append((doc, len(own)))
-                if len(words) > 100_000:
+                if len(words) > CHUNK:
                     yield encoded()
             if waiting:
                 yield encoded()
@@ -184,9 +189,18 @@ def first_fit(lengths: list[int], limit: int) -> list[tuple[int, int]]:
 
 
 def pack(pieces: DataFrame, limit: int = LIMIT, group_size: int = GROUP_SIZE, seed: int = 0) -> DataFrame:
-    """``pieces`` (doc_id, start, length and any other columns) with sequence_id and offset. Pieces are read twice."""
+    """``pieces`` (doc_id, start, length and any other columns) with sequence_id and offset, which replace columns of these names.
+
+    Pieces are read three times, so they should be a written table. A group that is much too large, since many rows share
+    doc_id and start, is dealt anew by the rows' places in that table.
+    """
+    pieces = pieces.drop("sequence_id", "offset")
     groups = -(-pieces.count() // group_size) or 1
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
+    own, sub, at, parts = ("".join([f"__{c}", *("_" for x in pieces.columns if x.startswith(f"__{c}"))]) for c in ("group", "sub", "at", "parts"))
+    dealt = pieces.withColumn(own, F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups))).withColumn(at, F.monotonically_increasing_id())
+    large = dealt.groupBy(own).count().where(F.col("count") > 2 * group_size).select(own, F.ceil(F.col("count") / group_size).alias(parts))
+    dealt = dealt.join(broadcast_if_small(large, 64 * groups), own, "left").withColumn(sub, F.pmod(at, F.coalesce(parts, F.lit(1)))).withColumn(parts, F.coalesce(parts, F.lit(1)))
+    columns = pieces.columns
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(key, t):
@@ -194,10 +208,11 @@ def pack(pieces: DataFrame, limit: int = LIMIT, group_size: int = GROUP_SIZE, se
 
         t = t.take(pc.sort_indices(t, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]))
         found = np.array(first_fit(t.column("length").to_pylist(), limit), np.int64).reshape(-1, 2)
-        t = t.drop_columns(["__group"]).append_column("sequence_id", pa.array(found[:, 0] * groups + key[0].as_py()))
+        group, part, n = (k.as_py() for k in key)
+        t = t.select(columns).append_column("sequence_id", pa.array((found[:, 0] * n + part) * groups + group))
         return t.append_column("offset", pa.array(found[:, 1]))
 
-    return dealt.groupBy("__group").applyInArrow(place, schema)
+    return dealt.groupBy(own, sub, parts).applyInArrow(place, schema)
 
 
 def digests(pieces: DataFrame) -> DataFrame:
