@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 MISSING = "__missing__"
 
 
+def strip(token: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(token, "(?U)^[\\s\\x1C-\\x1F]+|[\\s\\x1C-\\x1F]+$", "")
+
+
 def clean(token: Column) -> Column:
-    """A raw field: trimmed, with '' and '?' as null."""
-    return F.nullif(F.nullif(F.trim(token), F.lit("")), F.lit("?"))
+    """A raw field: stripped, with '' and '?' as null."""
+    return F.nullif(F.nullif(strip(token), F.lit("")), F.lit("?"))
 
 
 def income_label(token: Column) -> Column:
-    return F.when(F.regexp_replace(F.trim(token), "\\.$", "") == ">50K", 1).otherwise(0)
+    """1 for '>50K' with any number of final stops, else 0."""
+    return F.when(F.regexp_replace(strip(token), "\\.+$", "") == ">50K", 1).otherwise(0)
 
 
 def decision(score: Column, threshold: Column | float) -> Column:
@@ -37,7 +43,10 @@ def logit(p: Column) -> Column:
 
 
 def link_of(explainer_type: Column, estimator_class: Column) -> Column:
-    """'identity' where attributions add up to a probability, 'logit' where they add up to log-odds."""
+    """'identity' where attributions add up to a probability, 'logit' where they add up to log-odds.
+
+    Fixed values: the recorded class names of tree estimators, which decisions that were made elsewhere may carry.
+    """
     return F.when((explainer_type != "linear") & estimator_class.rlike("^sklearn\\.(ensemble|tree)"), "identity").otherwise("logit")
 
 
@@ -50,7 +59,7 @@ def direction(value: Column) -> Column:
 
 
 def statement(source: Column, category: Column, value: Column) -> Column:
-    """What an encoded column says of its subject: 'age = 39', 'sex = Male', 'sex is not Female'."""
+    """What an encoded column says of its subject (fixed forms): 'age = 39', 'sex = Male', 'sex is not Female'."""
     word = F.when(category.isNull() | (category == value), " = ").otherwise(" is not ")
     return F.concat(source, word, F.coalesce(category, value, F.lit("null")))
 

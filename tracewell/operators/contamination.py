@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def reproducible(models: DataFrame, tombstoned: DataFrame) -> DataFrame:
@@ -56,7 +57,41 @@ def versions_with(subjects: DataFrame, rows: DataFrame, versions: DataFrame) ->
     return versions.join(F.broadcast(first), holds, "left_semi")  # a row for each split
 
 
-def pinned_models(versions: DataFrame, models: DataFrame) -> DataFrame:
-    """(data_snapshot_uuid, model_version_ids): the models made from or tested on each version."""
+def pins(versions: DataFrame, models: DataFrame) -> DataFrame:
+    """(data_snapshot_uuid, model_version_id) of the models made from or tested on each version, as rows."""
     roles = models.select("model_version_id", F.explode(F.array_distinct(F.array("data_snapshot_uuid", "eval_snapshot_uuid"))).alias("data_snapshot_uuid"))
-    return versions.select("data_snapshot_uuid").join(roles, "data_snapshot_uuid").groupBy("data_snapshot_uuid").agg(F.array_sort(F.collect_set("model_version_id")).alias("model_version_ids"))
+    return roles.join(versions.select("data_snapshot_uuid").distinct(), "data_snapshot_uuid", "left_semi").select("data_snapshot_uuid", "model_version_id").distinct()
+
+
+def pinned_models(versions: DataFrame, models: DataFrame) -> DataFrame:
+    """(data_snapshot_uuid, model_version_ids): the models of each version in one list, for a tombstone's record."""
+    return pins(versions, models).groupBy("data_snapshot_uuid").agg(F.array_sort(F.collect_list("model_version_id")).alias("model_version_ids"))
+
+
+def decisions_about(subjects: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(subject_id, prediction_id, prediction_ts, model_version_id, decision, score) of every decision about the subjects."""
+    return predictions.join(subjects.select("subject_id").distinct(), "subject_id", "left_semi").select("subject_id", "prediction_id", "prediction_ts", "model_version_id", "decision", "score")
+
+
+def subject_reports(subjects: DataFrame, membership: DataFrame, models: DataFrame, tombstoned: DataFrame, live: DataFrame, predictions: DataFrame, most: int = 100) -> DataFrame:
+    """One nested row per asked subject: live rows by table, the models that saw it, and its decisions.
+
+    A subject may have any number of decisions, so the row counts them all and lists the first ``most`` by time and id;
+    ``decisions_about`` has the whole list as rows. Models are few for each subject and listed all, by id and role.
+    """
+    asked = subjects.select("subject_id").distinct()
+    seen = contaminations(membership.join(asked, "subject_id", "left_semi"), models, tombstoned)
+    more = models.select("model_version_id", "recipe", "trained_at", "data_snapshot_uuid", "eval_snapshot_uuid")
+    entry = F.struct("model_version_id", "role", "registered", "status", "recipe", "trained_at", "data_snapshot_uuid", "eval_snapshot_uuid", "reproducible", "serving")
+    contaminated = seen.join(more, "model_version_id", "left").groupBy("subject_id").agg(F.array_sort(F.collect_set(entry)).alias("contaminated"))
+    rows = live.join(asked, "subject_id", "left_semi").groupBy("subject_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("table_identifier", "n_rows")))).alias("live_rows"), F.sum("n_rows").alias("live_row_count"))
+    made = decisions_about(asked, predictions)
+    first = made.withColumn("at", F.row_number().over(W.partitionBy("subject_id").orderBy("prediction_ts", "prediction_id"))).where(F.col("at") <= most)
+    listed = first.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("prediction_ts", "prediction_id", "model_version_id", "decision", "score"))).alias("decisions"))
+    counted = made.groupBy("subject_id").agg(F.count("*").alias("decision_count"))
+    out = asked.join(contaminated, "subject_id", "left").join(rows, "subject_id", "left").join(listed, "subject_id", "left").join(counted, "subject_id", "left").fillna(0, ["live_row_count", "decision_count"])
+    empty = lambda c: F.coalesce(c, F.array())
+    ids = lambda keep: F.array_distinct(F.transform(F.filter("contaminated", keep), lambda e: e.model_version_id))
+    out = out.withColumns({"contaminated": empty("contaminated"), "decisions": empty("decisions"), "live_rows": F.coalesce("live_rows", F.create_map().cast("map<string,bigint>"))})
+    out = out.withColumns({"contaminated_model_count": F.size(ids(lambda e: F.lit(True))), "serving_model_ids": ids(lambda e: e.serving), "orphaned_model_ids": ids(lambda e: ~e.registered)})
+    return out.withColumn("known", (F.size("contaminated") > 0) | (F.col("decision_count") > 0) | (F.col("live_row_count") > 0))

@@ -15,20 +15,33 @@ from tracewell.functions import identity
 from tracewell.functions.scoring import MISSING
 from tracewell.schemas import CATEGORICAL, NUMERIC
 
-#: Rows are dealt into a fixed number of buckets by subject; sums run within a bucket in order, then over buckets in
-#: order, so the bits of a fit don't depend on how Spark partitions the rows.
-BUCKETS, C, TOLERANCE, MOST_STEPS = 64, 1.0, 1e-6, 100
+#: Rows are dealt by subject into buckets of BUCKET_ROWS or so, as many as the rows ask for; sums run within a bucket in
+#: order, then over FAN_IN buckets at a time in order, so the bits of a fit don't depend on how Spark partitions the rows.
+BUCKET_ROWS, FAN_IN, C, TOLERANCE, MOST_STEPS = 20_000, 64, 1.0, 1e-6, 100
+
+
+MOST_CATEGORIES = 10_000
+
+
+class FitError(ValueError):
+    """Rows that no fit can be made of."""
 
 
 def encoding(rows: DataFrame, numeric: tuple[str, ...] = NUMERIC, categorical: tuple[str, ...] = CATEGORICAL) -> list[dict]:
     """The encoded columns: numbers with exact mean and population deviation, then a column for each category, sorted.
 
-    Sums of whole numbers are exact decimals, so they don't depend on the order of rows. Categories are what the
-    columns hold, a schema's worth, and are collected as such.
+    Sums of whole numbers are exact decimals, so they don't depend on the order of rows; a number with a fraction is
+    refused (scale it first, to cents say). Categories are what the columns hold, a schema's worth (MOST_CATEGORIES at
+    most, counted first), and are collected as such.
     """
+    if categorical:
+        counted = rows.agg(*(F.approx_count_distinct(c).alias(c) for c in categorical)).first()
+        if wide := [c for c in categorical if counted[c] > MOST_CATEGORIES]:
+            raise FitError(f"too many categories in {wide}")
     sums = [F.count("*").alias("n")]
     for c in numeric:
-        x = F.coalesce(F.col(c).cast("decimal(19,0)"), F.lit(0).cast("decimal(19,0)"))
+        whole = F.when(F.col(c) == F.floor(F.col(c)), F.col(c).cast("decimal(19,0)")).otherwise(F.raise_error(F.lit(f"{c} must be whole numbers")).cast("decimal(19,0)"))
+        x = F.when(F.col(c).isNull(), F.lit(0).cast("decimal(19,0)")).otherwise(whole)
         sums += [F.sum(x).cast("decimal(38,0)").alias(f"s_{c}"), F.sum((x * x).cast("decimal(38,0)")).cast("decimal(38,0)").alias(f"q_{c}")]
     sets = [F.array_sort(F.collect_set(F.coalesce(c, F.lit(MISSING)))).alias(f"v_{c}") for c in categorical]
     got = rows.agg(*sums, *sets).first()
@@ -52,38 +65,81 @@ def encoded(columns: list[dict]) -> Column:
     return F.array(*map(one, columns))
 
 
-def fit(rows: DataFrame, key: str = "subject_id", x: str = "x", y: str = "label", c: float = C) -> tuple[np.ndarray, int]:
+_SUMS = "bucket long, g binary, h binary"
+
+
+def _ordered_sums(parts: DataFrame, buckets: int) -> DataFrame:
+    """Sums of (bucket, g, h) over FAN_IN buckets at a time, in order, until at most FAN_IN are left."""
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by("bucket")
+        total = [np.frombuffer(t.column(k)[0].as_py()).copy() for k in ("g", "h")]
+        for i in range(1, t.num_rows):
+            for s, k in zip(total, ("g", "h"), strict=True):
+                s += np.frombuffer(t.column(k)[i].as_py())
+        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py() // FAN_IN]), "g": pa.array([total[0].tobytes()], pa.binary()), "h": pa.array([total[1].tobytes()], pa.binary())})
+
+    while buckets > FAN_IN:
+        parts = parts.groupBy(F.floor(F.col("bucket") / FAN_IN)).applyInArrow(lambda t: add(t), _SUMS)
+        buckets = -(-buckets // FAN_IN)
+    return parts
+
+
+def fit(rows: DataFrame, key: str = "subject_id", x: str = "x", y: str = "label", c: float = C, bucket_rows: int = BUCKET_ROWS) -> tuple[np.ndarray, int]:
     """(intercept and coefficients, Newton steps) of the L2-penalised logistic regression over ``rows``.
 
-    Each step's gradient and Hessian come from fixed buckets (p * p numbers each) and are added up in bucket order.
+    Rows are shuffled and sorted once. Each step's gradient and Hessian (p * p numbers a bucket) are added up along a tree
+    of buckets, so the driver sees FAN_IN sums at most. No row, or a fit that doesn't settle, is an error.
     """
-    data = rows.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket"), F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).cast("double").alias("y")).persist()
+    n = rows.count()
+    if not n:
+        raise FitError("no rows to fit")
+    buckets = -(-n // bucket_rows)
+    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).cast("double").alias("y"))
+    data = dealt.repartition("bucket").sortWithinPartitions("bucket", "k", "y", "x").select("bucket", "x", "y").persist()
     p = len(data.first().x) + 1
-    w, schema = np.zeros(p), "bucket long, g binary, h binary"
+    w = np.zeros(p)
 
     def parts(at: np.ndarray):
-        def bucket(key, t):
-            t = t.sort_by("k")
-            a = np.column_stack([np.ones(t.num_rows), np.array(t.column("x").to_pylist(), float).reshape(t.num_rows, p - 1)])
+        def one(bucket: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            a = np.column_stack([np.ones(sum(len(y) for _, y in held)), np.concatenate([x for x, _ in held])])
             q = 1 / (1 + np.exp(-np.einsum("ij,j->i", a, at)))
-            g = np.einsum("ij,i->j", a, q - t.column("y").to_numpy())
-            h = np.einsum("ij,ik,i->jk", a, a, q * (1 - q))
-            return pa.table({"bucket": pa.array([key[0].as_py()]), "g": pa.array([g.tobytes()], pa.binary()), "h": pa.array([h.tobytes()], pa.binary())})
-
-        return bucket
+            g = np.einsum("ij,i->j", a, q - np.concatenate([y for _, y in held]))
+            h = np.einsum("ij,ik->jk", a * (q * (1 - q))[:, None], a)
+            return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([g.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())], names=["bucket", "g", "h"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held = None, []
+            for b in batches:
+                bucket, y = b.column(0).to_numpy(), b.column(2).to_numpy()
+                x = b.column(1).flatten().to_numpy().reshape(len(y), p - 1)
+                cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(y)]
+                for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                    if e > s:
+                        if held and bucket[s] != now:
+                            yield one(now, held)
+                            held = []
+                        now = int(bucket[s])
+                        held.append((x[s:e], y[s:e]))
+            if held:
+                yield one(now, held)
+
+        return run
 
     penalty = np.full(p, 1 / c)
     penalty[0] = 0
-    for step in range(1, MOST_STEPS + 1):
-        g, h = penalty * w, np.diag(penalty)
-        for r in sorted(data.groupBy("bucket").applyInArrow(parts(w), schema).collect(), key=lambda r: r.bucket):
-            g = g + np.frombuffer(r.g)
-            h = h + np.frombuffer(r.h).reshape(p, p)
-        w = w - np.linalg.solve(h, g)
-        if np.abs(g).max() < TOLERANCE:
-            break
-    data.unpersist()
-    return w, step
+    try:
+        for step in range(1, MOST_STEPS + 1):
+            g, h = penalty * w, np.diag(penalty)
+            for r in sorted(_ordered_sums(data.mapInArrow(parts(w), _SUMS), buckets).collect(), key=lambda r: r.bucket):
+                g = g + np.frombuffer(r.g)
+                h = h + np.frombuffer(r.h).reshape(p, p)
+            w = w - np.linalg.solve(h, g)
+            if np.abs(g).max() < TOLERANCE:
+                return w, step
+    finally:
+        data.unpersist()
+    raise FitError(f"no settled fit after {MOST_STEPS} steps")
 
 
 def linear_score(weights: list[float], intercept: float, x: str = "x") -> Column:
@@ -98,15 +154,19 @@ def probability(margin: Column) -> Column:
 
 def coefficient_rows(spark, model_version_id: str, columns: list[dict], w: np.ndarray, means: list[float]) -> DataFrame:
     """Rows of audit.model_coefficients; the intercept is position -1."""
-    rows = [(model_version_id, -1, "intercept", "intercept", None, float(w[0]), 0.0, 1.0)]
-    rows += [(model_version_id, i, c["name"], c["source"], c["category"], float(w[i + 1]), float(means[i]), c["scale"]) for i, c in enumerate(columns)]
-    return spark.createDataFrame(rows, "model_version_id string, pos int, feature_name string, source_feature string, category string, coefficient double, mean double, scale double")
+    rows = [(model_version_id, -1, "intercept", "intercept", None, float(w[0]), 0.0, 0.0, 1.0)]
+    rows += [(model_version_id, i, c["name"], c["source"], c["category"], float(w[i + 1]), float(means[i]), float(c["mean"]), float(c["scale"])) for i, c in enumerate(columns)]
+    return spark.createDataFrame(rows, "model_version_id string, pos int, feature_name string, source_feature string, category string, coefficient double, mean double, centre double, scale double")
+
+
+#: What scoring and explaining read of a model, and its digest therefore covers.
+ARTIFACT = ("feature_name", "source_feature", "category", "coefficient", "mean", "centre", "scale")
 
 
 def artifact_digests(coefficients: DataFrame) -> DataFrame:
     """(model_version_id, artifact_digest) of every model: equal digests mean equal bits, since a double's text is injective."""
-    entry = F.struct("pos", "feature_name", F.col("coefficient").cast("string").alias("v"))
-    text = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat_ws("|", e.pos.cast("string"), e.feature_name, e.v)))
+    entry = F.struct("pos", F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in ARTIFACT)), {"ignoreNullFields": "false"}).alias("v"))
+    text = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat_ws("|", e.pos.cast("string"), e.v)))
     return coefficients.groupBy("model_version_id").agg(identity.sha256(text).alias("artifact_digest"))
 
 
@@ -117,20 +177,28 @@ def model_verdicts(models: DataFrame, coefficients: DataFrame) -> DataFrame:
     return both.select("model_version_id", F.when(F.col("recorded").isNull(), "row missing").when(F.col("found").isNull(), "artifact missing").when(F.col("recorded") == F.col("found"), "ok").otherwise("mismatch").alias("verdict"))
 
 
+def hit_rates(rows: DataFrame, score: str, label: str, keys: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
+    """(keys, accuracy, positive_rate) of scores cut at ``threshold``."""
+    p = (F.col(score) >= threshold).cast("int")
+    return rows.groupBy(*keys).agg(F.avg((p == F.col(label)).cast("double")).alias("accuracy"), F.avg(p.cast("double")).alias("positive_rate"))
+
+
 def environment_drift(models: DataFrame, env_digest: str) -> DataFrame:
     """Models fitted in another environment: reproducing them bit for bit is refused."""
     return models.where(F.col("env_digest") != env_digest).select("model_version_id", "env_digest")
 
 
-def auc(rows: DataFrame, score: str, label: str, keys: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
+def auc(rows: DataFrame, score: str, label: str, keys: tuple[str, ...] = (), ranges: int = 256) -> DataFrame:
     """Exact area under the ROC curve per key: positives' mid-ranks over distinct scores.
 
     Rows are counted by score first, so ranking orders distinct scores only. Ranks run over ranges of scores, each in
-    its own task, on top of the counts of the ranges before.
+    its own task, on top of the counts of the ranges before. Range bounds are quantiles of the distinct scores, so ranges
+    are about equal whatever the scores' scale; where the bounds lie doesn't change the result.
     """
-    by = rows.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    width = F.lit(block or 1000)
-    by = by.withColumn("range", F.floor(F.col("s") / width))
+    by = rows.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    cuts = F.percentile_approx("s", [i / ranges for i in range(1, ranges)], 10 * ranges)
+    bounds = by.agg(F.coalesce(F.array_distinct(cuts), F.array().cast("array<double>")).alias("bounds"))
+    by = by.crossJoin(F.broadcast(bounds)).withColumn("range", F.size(F.filter("bounds", lambda b: b <= F.col("s")))).drop("bounds")  # one row
     totals = by.groupBy(*keys, "range").agg(F.sum("n").alias("rn"))
     before = totals.withColumn("before", F.coalesce(F.sum("rn").over(W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("rn")
     within = F.coalesce(F.sum("n").over(W.partitionBy(*keys, "range").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -93,6 +93,22 @@ class Trail:
     def current(self, table: str, key: str) -> DataFrame:
         return latest(self.read(table), key, COMMIT)
 
+    def find(self, table: str, key: str, value: str) -> DataFrame:
+        """The current state of one key: one row or none. The filter reaches the scan."""
+        return latest(self.read(table).where(F.col(key) == value), key, COMMIT)
+
+    def in_buckets(self, table: str, buckets: list[int]) -> DataFrame:
+        """The rows of some buckets of a subject table; no other folder is read."""
+        return self.read(table).where(F.col(BUCKET).isin(buckets))
+
+    def removals(self, table: str) -> str:
+        """Where an erasure stages a table's rewritten buckets."""
+        return f"{self.root}/_removals/{table.replace('.', '/')}"
+
+    def unfinished_removal(self, table: str) -> bool:
+        fs, p = self._hadoop(self.removals(table))
+        return fs.exists(p)
+
     def version(self, table: str) -> int:
         """The table's last commit: it also counts erasures, which add no row."""
         return self.read("audit.commits").where(F.col("table_identifier") == table).agg(F.max(COMMIT)).first()[0] or 0
@@ -113,6 +129,8 @@ class Trail:
             c = F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)
             return (c if f.nullable else F.coalesce(c, F.raise_error(F.lit(f"{table}.{f.name} is required")).cast(f.dataType))).alias(f.name)
 
+        if table in SUBJECT_TABLES and self.unfinished_removal(table):
+            raise TrailError(f"an erasure of {table} is unfinished; run it again first")
         fitted = rows.select(*map(fit, SCHEMAS[table]))
         if not fitted.take(1):
             return None
@@ -139,6 +157,8 @@ class Trail:
 
     def capture(self, table: str, split: str | None = None) -> str:
         """Records the table's current version and returns its identity; again, if it is unchanged, the same one."""
+        if table in SUBJECT_TABLES and self.unfinished_removal(table):
+            raise TrailError(f"an erasure of {table} is unfinished; run it again first")
         version = self.version(table)
         rows = self.as_of(table, version, split)
         key = F.lit(f"{table}|{version}|" + ("" if split is None else f"split == '{split}'"))

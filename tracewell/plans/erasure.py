@@ -1,4 +1,15 @@
-"""Erasure of a set of subjects, with a record that survives them."""
+"""Erasure of a set of subjects, with a record that survives them.
+
+Every step leaves the trail in a state from which running the request again finishes the work:
+
+1. The request is logged, with what was known of its subjects before anything went. A subject whose last request isn't
+   completed goes on under that request.
+2. Versions that hold the subjects are tombstoned.
+3. For each table the erasure is committed, the rewritten buckets are staged beside it and then swapped in.
+   The name of the staged folder says which buckets are replaced and which emptied, so a swap that was cut short is taken
+   up again, and a staging that was cut short is thrown away. Until then the table is neither captured nor appended to.
+4. A scan with file names must find no residue; decompositions on lost versions are marked; the request is completed.
+"""
 
 from __future__ import annotations
 
@@ -16,25 +27,50 @@ from tracewell.schemas import BUCKET, COMMIT
 TABLES = ("features.credit_applications", "features.eval_holdout")
 
 
-def remove_rows(trail: Trail, table: str, subjects: DataFrame) -> int:
-    """Rewrites the buckets that hold the subjects, without them, by dynamic partition overwrite; returns rows removed.
+def buckets_of(subjects: DataFrame) -> list[int]:
+    """The buckets that may hold the subjects (at most 16 numbers)."""
+    return sorted(r[0] for r in subjects.select(identity.bucket_of(F.col("subject_id")).alias("b")).distinct().collect())
 
-    No other bucket is read or written. A bucket left empty isn't overwritten by Spark, so its folder is deleted.
-    """
-    wanted = subjects.select("subject_id").distinct().withColumn(BUCKET, identity.bucket_of(F.col("subject_id"))).persist()
-    buckets = [r[0] for r in wanted.select(BUCKET).distinct().collect()]  # at most 16
-    touched = trail.read(table).where(F.col(BUCKET).isin(buckets))
-    gone = touched.join(wanted, [BUCKET, "subject_id"], "left_semi").count()
-    if gone:
-        kept = touched.join(wanted, [BUCKET, "subject_id"], "left_anti").select(touched.columns)
-        left = {r[0] for r in kept.select(BUCKET).distinct().collect()}
-        kept.repartition(BUCKET).sortWithinPartitions(BUCKET, "subject_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(trail.path(table))
-        for b in set(buckets) - left:
-            fs, p = trail._hadoop(f"{trail.path(table)}/{BUCKET}={b}")
-            fs.delete(p, True)
+
+def stage_removal(trail: Trail, table: str, subjects: DataFrame) -> int:
+    """Commits the erasure and writes the buckets that hold the subjects, without them, beside the table; returns rows to go."""
+    wanted = subjects.select("subject_id").distinct().withColumn("gone", F.lit(1))
+    marked = trail.in_buckets(table, buckets_of(wanted)).join(wanted, "subject_id", "left")
+    counts = marked.groupBy(BUCKET).agg(F.count("gone").alias("gone"), F.count("*").alias("n")).where("gone > 0").collect()  # at most 16
+    if counts:
         trail.commit(table, "erasure")
-    wanted.unpersist()
-    return gone
+        kept, emptied = (sorted(r[0] for r in counts if (r.n > r.gone) == some) for some in (True, False))
+        rows = trail.in_buckets(table, kept).join(wanted, "subject_id", "left_anti").select(trail.read(table).columns)
+        name = "_".join("-".join(map(str, b)) for b in (kept, emptied))
+        rows.repartition(BUCKET).sortWithinPartitions(BUCKET, "subject_id").write.mode("overwrite").partitionBy(BUCKET).parquet(f"{trail.removals(table)}/{name}")
+    return sum(r.gone for r in counts)
+
+
+def finish_removal(trail: Trail, table: str) -> None:
+    """Swaps staged buckets in; a staging that wasn't finished is thrown away. Safe to run at any time, any number of times."""
+    fs, root = trail._hadoop(trail.removals(table))
+    if not fs.exists(root):
+        return
+    path = lambda p: trail._hadoop(p)[1]
+    for found in fs.listStatus(root):
+        staged = f"{trail.removals(table)}/{found.getPath().getName()}"
+        if fs.exists(path(f"{staged}/_SUCCESS")):
+            kept, emptied = (x.split("-") if x else [] for x in found.getPath().getName().split("_"))
+            for b in kept + emptied:
+                new, old = path(f"{staged}/{BUCKET}={b}"), path(f"{trail.path(table)}/{BUCKET}={b}")
+                if b in emptied or fs.exists(new):  # else it was swapped before
+                    fs.delete(old, True)
+                if fs.exists(new) and not fs.rename(new, old):
+                    raise TrailError(f"can't move {new} to {old}")
+    fs.delete(root, True)
+
+
+def remove_rows(trail: Trail, table: str, subjects: DataFrame) -> int:
+    """Removes the subjects' rows; returns how many. No bucket without one of them is written."""
+    finish_removal(trail, table)
+    n = stage_removal(trail, table, subjects)
+    finish_removal(trail, table)
+    return n
 
 
 def residue(trail: Trail, table: str, subjects: DataFrame) -> DataFrame:
@@ -42,54 +78,80 @@ def residue(trail: Trail, table: str, subjects: DataFrame) -> DataFrame:
     return trail.read(table).select(F.col("_metadata.file_path").alias("file"), "subject_id").join(subjects.select("subject_id").distinct(), "subject_id", "left_semi").distinct()
 
 
+def log_request(trail: Trail, subjects: DataFrame) -> DataFrame:
+    """The request rows of ``subjects`` in state 'in_progress': those left open before, and new ones."""
+    wanted = subjects.select("subject_id").distinct()
+    open_ones = trail.current("audit.erasure_requests", "request_id").where("status <> 'completed'").drop(COMMIT)
+    fresh = wanted.join(open_ones.select("subject_id"), "subject_id", "left_anti")
+    key = identity.joined_key(uuid.uuid4().hex, F.col("subject_id"))
+    buckets = buckets_of(wanted)
+    membership = trail.in_buckets("audit.training_membership", buckets)
+    seen = membership.join(fresh, "subject_id", "left_semi").groupBy("subject_id").agg(F.array_sort(F.collect_set("model_version_id")).alias("contaminated_model_ids"))
+    live = contamination.live_rows({t: trail.in_buckets(t, buckets).join(fresh, "subject_id", "left_semi") for t in TABLES}).groupBy("subject_id").agg(F.sum("n_rows").alias("live_rows_deleted"))
+    new = fresh.join(seen, "subject_id", "left").join(live, "subject_id", "left").withColumns({
+        "request_id": identity.uuid5(identity.PREDICTION_NAMESPACE, key), "requested_at": F.current_timestamp(), "contaminated_model_ids": F.coalesce("contaminated_model_ids", F.array().cast("array<string>")), "live_rows_deleted": F.coalesce("live_rows_deleted", F.lit(0)),
+    }).withColumn("contaminated_model_count", F.size("contaminated_model_ids"))
+    trail.append("audit.erasure_requests", new.withColumn("status", F.lit("in_progress")))
+    rows = trail.current("audit.erasure_requests", "request_id").where("status <> 'completed'").join(wanted, "subject_id", "left_semi").drop(COMMIT)
+    return rows.withColumn("status", F.lit("in_progress")).withColumn("resolution_json", F.lit(None).cast("string"))
+
+
+def tombstone(trail: Trail, ids: DataFrame, requests: DataFrame, reason: str) -> DataFrame:
+    """Tombstones the versions that hold the subjects; returns (data_snapshot_uuid) of all that these requests cost, before or now."""
+    versions = trail.current("audit.data_snapshots", "data_snapshot_uuid").where("status <> 'tombstoned'").drop(COMMIT)
+    buckets, hit = buckets_of(ids), None
+    for table in TABLES:
+        own = contamination.versions_with(ids, trail.in_buckets(table, buckets), versions.where(F.col("table_identifier") == table))
+        hit = own if hit is None else hit.union(own)
+    hit = hit.persist()
+    stones = trail.read("audit.snapshot_tombstones")
+    models = trail.current("audit.model_versions", "model_version_id")
+    pinned = contamination.pinned_models(hit, models).withColumnRenamed("model_version_ids", "pinned_model_version_ids")
+    new = hit.join(stones.select("data_snapshot_uuid"), "data_snapshot_uuid", "left_anti").join(pinned, "data_snapshot_uuid", "left").crossJoin(F.broadcast(requests.agg(F.min("request_id").alias("erasure_request_id"))))  # one row
+    trail.append("audit.snapshot_tombstones", new.withColumns({"expired_at": F.current_timestamp(), "reason": F.lit(reason), "row_count_at_expiry": F.col("row_count")}))
+    # a version whose tombstone was written but whose state wasn't is hit again, since its rows are still there
+    trail.append("audit.data_snapshots", hit.withColumn("status", F.lit("tombstoned")).withColumn("expired_at", F.current_timestamp()))
+    hit.unpersist()
+    ours = requests.select(F.col("request_id").alias("erasure_request_id"))
+    return trail.read("audit.snapshot_tombstones").join(ours, "erasure_request_id", "left_semi").select("data_snapshot_uuid").distinct()
+
+
 def erase(trail: Trail, subjects: DataFrame, reason: str = "erasure request", retire: bool = False) -> dict:
     """Logs the request, tombstones the versions that hold the subjects, removes the rows, checks that none is left.
 
-    A failure leaves the request 'failed' and everything so far recorded; running it again finishes the work.
+    A failure leaves the request 'failed' and everything so far recorded; running it again finishes the work under the
+    same request. A subject of which nothing is stored is logged and completed too.
     """
-    spark = trail.spark
-    ids = subjects.select("subject_id").distinct().withColumn("request_id", F.lit(uuid.uuid4().hex)).withColumn("request_id", identity.uuid5(identity.PREDICTION_NAMESPACE, identity.joined_key(F.col("request_id"), F.col("subject_id"))))
-    membership, models = trail.read("audit.training_membership"), trail.current("audit.model_versions", "model_version_id")
-    seen = membership.join(ids, "subject_id", "left_semi").groupBy("subject_id").agg(F.array_sort(F.collect_set("model_version_id")).alias("contaminated_model_ids"))
-    live = contamination.live_rows({t: trail.read(t) for t in TABLES}).groupBy("subject_id").agg(F.sum("n_rows").alias("live_rows_deleted"))
-    requests = ids.join(seen, "subject_id", "left").join(live, "subject_id", "left").withColumns({
-        "requested_at": F.current_timestamp(), "contaminated_model_ids": F.coalesce("contaminated_model_ids", F.array().cast("array<string>")), "live_rows_deleted": F.coalesce("live_rows_deleted", F.lit(0)),
-    }).withColumn("contaminated_model_count", F.size("contaminated_model_ids"))
-    n = trail.append("audit.erasure_requests", requests.withColumn("status", F.lit("in_progress")))
-    if n is None:
+    requests = log_request(trail, subjects).persist()
+    n = requests.count()
+    if not n:
+        requests.unpersist()
         return {"subjects": 0}
-    logged = trail.read("audit.erasure_requests").where(F.col(COMMIT) == n).drop(COMMIT)
+    ids = requests.select("subject_id").distinct()
     try:
-        versions = trail.current("audit.data_snapshots", "data_snapshot_uuid").where("status <> 'tombstoned'").drop(COMMIT)
-        hit = None
-        for table in TABLES:
-            own = contamination.versions_with(ids, trail.read(table), versions.where(F.col("table_identifier") == table))
-            hit = own if hit is None else hit.union(own)
-        hit = hit.persist()
-        hit_ids = sorted(r[0] for r in hit.select("data_snapshot_uuid").collect())  # versions, not subjects
-        pinned = contamination.pinned_models(hit, models).withColumnRenamed("model_version_ids", "pinned_model_version_ids")
-        request = logged.agg(F.min("request_id")).first()[0]
-        stones = hit.join(pinned, "data_snapshot_uuid", "left").withColumns({"expired_at": F.current_timestamp(), "reason": F.lit(reason), "row_count_at_expiry": F.col("row_count"), "erasure_request_id": F.lit(request)})
-        trail.append("audit.snapshot_tombstones", stones)
-        trail.append("audit.data_snapshots", hit.withColumn("status", F.lit("tombstoned")).withColumn("expired_at", F.current_timestamp()))
+        lost = tombstone(trail, ids, requests, reason).persist()
+        hit_ids = sorted(r[0] for r in lost.collect())  # versions, not subjects
         removed = sum(remove_rows(trail, t, ids) for t in TABLES)
         left = [r.file for t in TABLES for r in residue(trail, t, ids).limit(5).collect()]
         if left:
             raise TrailError(f"rows are left in {left}")
-        decompositions = trail.current("audit.fairness_decompositions", "decomposition_id").where("comparable").join(hit.select(F.col("data_snapshot_uuid").alias("eval_snapshot_uuid")), "eval_snapshot_uuid", "left_semi").persist()
+        decompositions = trail.current("audit.fairness_decompositions", "decomposition_id").where("comparable").join(lost.select(F.col("data_snapshot_uuid").alias("eval_snapshot_uuid")), "eval_snapshot_uuid", "left_semi").persist()
         invalid = decompositions.count()
         trail.append("audit.fairness_decompositions", decompositions.withColumn("comparable", F.lit(False)))
         retired = []
         if retire:
-            stop = models.where("status = 'active'").join(membership.join(ids, "subject_id", "left_semi"), "model_version_id", "left_semi").persist()
+            membership = trail.in_buckets("audit.training_membership", buckets_of(ids))
+            stop = trail.current("audit.model_versions", "model_version_id").where("status = 'active'").join(membership.join(ids, "subject_id", "left_semi"), "model_version_id", "left_semi").persist()
             retired = sorted(r[0] for r in stop.select("model_version_id").collect())
             trail.append("audit.model_versions", stop.withColumns({"status": F.lit("retired"), "retired_at": F.current_timestamp(), "retire_reason": F.lit(reason)}))
         resolution = {"decompositions_invalidated": invalid, "models_retired": retired, "snapshots_tombstoned": hit_ids}
-        trail.append("audit.erasure_requests", logged.withColumns({"status": F.lit("completed"), "completed_at": F.current_timestamp(), "resolution_json": F.lit(json.dumps(resolution, sort_keys=True, separators=(",", ":")))}))
+        trail.append("audit.erasure_requests", requests.withColumns({"status": F.lit("completed"), "completed_at": F.current_timestamp(), "resolution_json": F.lit(json.dumps(resolution, sort_keys=True, separators=(",", ":")))}))
     except Exception as e:
-        trail.append("audit.erasure_requests", logged.withColumns({"status": F.lit("failed"), "resolution_json": F.to_json(F.struct(F.lit(str(e)[:500]).alias("error")))}))
+        trail.append("audit.erasure_requests", requests.withColumns({"status": F.lit("failed"), "resolution_json": F.to_json(F.struct(F.lit(str(e)[:500]).alias("error")))}))
         raise
-    return {"subjects": logged.count(), "rows_removed": removed} | resolution
+    finally:
+        requests.unpersist()
+    return {"subjects": n, "rows_removed": removed} | resolution
 
 
 def requests_of(trail: Trail, subject_id: str) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import identity, scoring
 from tracewell.operators import explain, fairness, fit
 from tracewell.operators.versions import Trail, TrailError
+from tracewell.schemas import CATEGORICAL, NUMERIC
 
 # Fixed value: the name of the one training recipe.
 RECIPE = "baseline-logreg"
@@ -31,6 +32,11 @@ def config_digest(hyperparams: dict, seed: int, recipe: str = RECIPE) -> str:
     return hashlib.sha256(json.dumps({"hyperparams": hyperparams, "seed": seed, "recipe": recipe}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+def config_digests(hyperparams_json: Column, seed: Column, recipe: Column) -> Column:
+    """``config_digest`` of recorded rows, from their canonical text."""
+    return identity.sha256(F.concat(F.lit('{"hyperparams":'), hyperparams_json, F.lit(',"recipe":"'), recipe, F.lit('","seed":'), seed.cast("string"), F.lit("}")))
+
+
 def _fitted(rows: DataFrame, hyperparams: dict, recipe: str) -> tuple[list[dict], object, DataFrame]:
     if recipe not in RECIPES:
         raise TrailError(f"no recipe {recipe}")
@@ -57,9 +63,8 @@ def train(trail: Trail, data_uuid: str, eval_uuid: str, hyperparams: dict | None
     metrics = {}
     for name, part in (("train", rows), ("eval", held)):
         scored = part.withColumn("x", fit.encoded(columns)).withColumn("score", fit.probability(fit.linear_score(list(map(float, w[1:])), w[0])))
-        metrics[f"{name}_auc"] = fit.auc(scored.withColumn("s", F.col("score") * 1e6), "s", "label").first().auc
-        got = scored.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("double")).alias("a"), F.avg((F.col("score") >= 0.5).cast("double")).alias("p")).first()
-        metrics |= {f"{name}_accuracy": got.a, f"{name}_positive_rate": got.p}
+        metrics[f"{name}_auc"] = fit.auc(scored, "score", "label").first().auc
+        metrics |= {f"{name}_{k}": v for k, v in fit.hit_rates(scored, "score", "label").first().asDict().items()}
     trail.append("audit.model_coefficients", coefficients)
     member = lambda part, role: part.select(F.lit(model).alias("model_version_id"), "subject_id", F.lit(role).alias("role"), F.col("source_row_digest").alias("row_digest"))
     trail.append("audit.training_membership", member(rows, "train").union(member(held, "eval")))
@@ -83,16 +88,13 @@ def load_checked(trail: Trail, model: str) -> tuple[object, DataFrame]:
 
 def _weights(coefficients: DataFrame) -> tuple[list[dict], list[float], float, list[float]]:
     rows = coefficients.orderBy("pos").collect()  # as many as the model has columns
-    columns = [{"name": r.feature_name, "source": r.source_feature, "category": r.category, "scale": r.scale} for r in rows[1:]]
+    columns = [{"name": r.feature_name, "source": r.source_feature, "category": r.category, "mean": r.centre, "scale": r.scale} for r in rows[1:]]
     return columns, [r.coefficient for r in rows[1:]], rows[0].coefficient, [r["mean"] for r in rows[1:]]
 
 
 def scored(trail: Trail, model: str, rows: DataFrame) -> DataFrame:
-    """``rows`` with x and score under a checked model. Numbers' centres come from the model's own data version."""
-    own, coefficients = load_checked(trail, model)
-    columns, weights, intercept, _ = _weights(coefficients)
-    centres = {c["name"]: c["mean"] for c in fit.encoding(trail.materialize(own.data_snapshot_uuid))}
-    columns = [c | {"mean": centres.get(c["name"], 0.0)} for c in columns]
+    """``rows`` with x and score under a checked model: its artifact is all that is read, so a lost training version doesn't matter."""
+    columns, weights, intercept, _ = _weights(load_checked(trail, model)[1])
     return rows.withColumn("x", fit.encoded(columns)).withColumn("score", fit.probability(fit.linear_score(weights, intercept)))
 
 
@@ -113,14 +115,18 @@ def reproduce(trail: Trail, model: str, env_digest: str = "") -> dict:
 def decide(trail: Trail, model: str, requests: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(predictions, attributions, rejected) of a batch of requests (request_key, subject_id and the model's inputs).
 
-    A request names its inputs by columns; identities follow from model, input and key, so a retried batch adds nothing.
+    A request names its inputs by columns. One that gives a value for a column the model doesn't know is rejected, with
+    those names in unknown_features; the others are decided. Identities follow from model, input and key, so a retried
+    batch adds nothing.
     """
     own, coefficients = load_checked(trail, model)
     columns, weights, intercept, means = _weights(coefficients)
     inputs = sorted({c["source"] for c in columns})
     bad = [c for c in requests.columns if c not in {*inputs, "request_key", "subject_id"}]
-    rejected = requests.where(F.lit(bool(bad))).withColumn("unknown_features", F.array(*map(F.lit, bad)) if bad else F.array().cast("array<string>"))
-    rows = requests.where(F.lit(not bad)).withColumn("input_json", identity.canonical_json(*inputs))
+    named = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in bad))) if bad else F.array().cast("array<string>")
+    known = requests.withColumn("unknown_features", named)
+    rejected = known.where(F.size("unknown_features") > 0)
+    rows = known.where(F.size("unknown_features") == 0).drop("unknown_features", *bad).withColumn("input_json", identity.canonical_json(*inputs))
     rows = rows.withColumn("prediction_id", identity.uuid5(identity.PREDICTION_NAMESPACE, identity.joined_key(model, identity.sha256(F.col("input_json")), F.col("request_key").cast("string"))))
     rows = scored(trail, model, rows).withColumns({"prediction_ts": F.current_timestamp(), "model_version_id": F.lit(model), "input_digest": identity.sha256(F.col("input_json")), "threshold": F.lit(threshold), "explainer_status": F.lit("complete"), "latency_ms": F.lit(None).cast("double"), "shap_ms": F.lit(None).cast("double")})
     rows = rows.withColumn("decision", scoring.decision(F.col("score"), threshold))
@@ -164,6 +170,36 @@ def evaluate(trail: Trail, model: str, eval_uuid: str, attribute: str, threshold
     return tall
 
 
+def recorded_differences(trail: Trail, attribute: str, threshold: float = 0.5, min_group_n: int = fairness.MIN_GROUP_N) -> DataFrame:
+    """(model_version_id, eval_snapshot_uuid, metric_name, metric_value) of the differences recorded for one cutoff, for all models.
+
+    The smallest comparable group is part of what a difference means, so it is asked for and never mixed.
+    """
+    rows = trail.read("audit.fairness_evaluations").where((F.col("sensitive_attribute") == attribute) & (F.col("decision_threshold") == threshold) & F.col("group_value").isNull() & (F.col("min_group_n") == min_group_n))
+    return rows.select("model_version_id", "eval_snapshot_uuid", "metric_name", "metric_value")
+
+
+def scored_by_many(trail: Trail, rows: DataFrame) -> DataFrame:
+    """(subject_id, model_version_id, score) of ``rows`` under every checked active model, in one job.
+
+    Encoded values aren't made: a row's inputs become (source, value) pairs that meet the models' coefficients by source.
+    The coefficients are as many as models times columns; a model whose artifact isn't the recorded one is left out.
+    """
+    own = trail.current("audit.model_versions", "model_version_id").where("status = 'active'")
+    coefficients = trail.read("audit.model_coefficients")
+    good = fit.model_verdicts(own, coefficients.join(own.select("model_version_id"), "model_version_id", "left_semi")).where("verdict = 'ok'").select("model_version_id")
+    coefficients = coefficients.join(F.broadcast(good), "model_version_id")  # a row a model
+    intercepts = coefficients.where("pos = -1").select("model_version_id", F.col("coefficient").alias("intercept"))
+    # the additions run in order of position, as for one model
+    table = coefficients.where("pos >= 0").groupBy("model_version_id").agg(F.array_sort(F.collect_list(F.struct("pos", "source_feature", "category", "coefficient", "centre", "scale"))).alias("c")).join(intercepts, "model_version_id")
+    inputs = [c for c in (*NUMERIC, *CATEGORICAL) if c in rows.columns]
+    number = F.create_map(*(x for c in inputs if c in NUMERIC for x in (F.lit(c), F.coalesce(F.col(c).cast("double"), F.lit(0.0)))))
+    word = F.create_map(*(x for c in inputs if c in CATEGORICAL for x in (F.lit(c), F.coalesce(F.col(c), F.lit(scoring.MISSING)))))
+    both = rows.select("subject_id", number.alias("num"), word.alias("cat")).crossJoin(F.broadcast(table))  # a row a model
+    value = lambda e: F.when(e.category.isNull(), (F.element_at("num", e.source_feature) - e.centre) / e.scale).when(F.element_at("cat", e.source_feature) == e.category, F.lit(1.0)).otherwise(F.lit(0.0))
+    return both.select("subject_id", "model_version_id", fit.probability(F.aggregate("c", F.col("intercept"), lambda s, e: s + value(e) * e.coefficient)).alias("score"))
+
+
 def compare(trail: Trail, baseline: str, candidate: str, attribute: str, eval_uuid: str | None = None, threshold: float = 0.5, min_group_n: int = fairness.MIN_GROUP_N, env_digest: str = "") -> DataFrame:
     """The change in group differences from one model to another, split into the model's and the data's part.
 

@@ -6,7 +6,6 @@ for dated rows, events for decisions and memberships, embeddings for encoded row
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from tracewell.operators import contamination, explain, fairness, fit, versions
 from tracewell.operators.versions import Trail
 from tracewell.plans import erasure
 from tracewell.sources import applications
+from tracewell.storage import shared_folder
 from tracewell.streaming import decisions
 
 
@@ -26,8 +26,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _root(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-trail-")
-    return f"{base}/trail-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/trail-{uuid.uuid4().hex}"
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +105,7 @@ def decomposition(spark, sf_dir):
     rows = rows.withColumn("predicted", (F.col("n_chars") >= F.col("t")).cast("int"))
     across = fairness.metric_rows(fairness.group_rates(rows, "quality", "predicted", F.col("lang"), ("role",)), ("role",)).where("group_value IS NULL")
     out = fairness.blame(fairness.decompose(across))
-    return out.select("metric_name", "regressed", *(F.round(c, 9).alias(c) for c in ("total_delta", "model_effect", "data_effect")))
+    return out.select("metric_name", "regressed", "attributed_to", *(F.round(c, 9).alias(c) for c in ("total_delta", "model_effect", "data_effect")))
 
 
 DECOMPOSITION = f"""
@@ -115,15 +114,13 @@ r AS (SELECT role, lang, {_RATES} FROM (SELECT role, lang, quality AS y, CAST(n_
 d AS (SELECT role, {_SPREAD} FROM r WHERE n >= 30 GROUP BY 1),
 m AS (SELECT role, unnest([{", ".join(f"'{m}'" for m in fairness.DIFFERENCES)}, 'equalized_odds_difference']) AS metric_name, unnest([{", ".join(fairness.DIFFERENCES)}, greatest(equal_opportunity_difference, false_positive_rate_difference)]) AS v FROM d),
 w AS (SELECT metric_name, max(CASE role WHEN 'a' THEN v END) AS a, max(CASE role WHEN 'a_prime' THEN v END) AS ap, max(CASE role WHEN 'b' THEN v END) AS b, max(CASE role WHEN 'b_prime' THEN v END) AS bp FROM m GROUP BY 1)
-SELECT metric_name, b - a > 0 AS regressed, round(b - a, 9) AS total_delta, round(0.5 * ((bp - a) + (b - ap)), 9) AS model_effect, round(0.5 * ((ap - a) + (b - bp)), 9) AS data_effect FROM w WHERE a + ap + b + bp IS NOT NULL
+SELECT metric_name, b - a > 0 AS regressed, CASE WHEN (bp - a) + (b - ap) = 0 AND (ap - a) + (b - bp) = 0 THEN 'neither' WHEN abs((bp - a) + (b - ap)) >= abs((ap - a) + (b - bp)) THEN 'model' ELSE 'data' END AS attributed_to, round(b - a, 9) AS total_delta, round(0.5 * ((bp - a) + (b - ap)), 9) AS model_effect, round(0.5 * ((ap - a) + (b - bp)), 9) AS data_effect FROM w WHERE a + ap + b + bp IS NOT NULL
 """
 
 
 def subject_splits(spark, sf_dir):
     c = _read(spark, sf_dir, "customer").select(F.concat_ws(",", "c_mktsegment", "c_nationkey").alias("line"))
-    from pyspark.sql import Window as W
-
-    rows = c.withColumn("occ", F.row_number().over(W.partitionBy("line").orderBy("line")) - 1).withColumn("subject_id", identity.subject_id(F.col("line"), F.col("occ")))
+    rows = applications.with_occurrence(c, "line").withColumn("subject_id", identity.subject_id(F.col("line"), F.col("occurrence")))
     return rows.select("subject_id", identity.split_of(F.col("subject_id")).alias("split"), F.unix_timestamp(identity.event_time(F.col("subject_id"))).alias("as_of"))
 
 
@@ -147,14 +144,14 @@ _ORDER_JSON = "'{\"o_custkey\":' || o_custkey || ',\"o_orderkey\":' || o_orderke
 def version_summary(spark, sf_dir):
     """Each year as a version: its rows, their time range and digest."""
     rows = _read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("version"), "o_orderdate", identity.row_digest(*_ORDER).alias("d"))
-    per = versions.content_digest(rows, F.col("d"), 1, ("version",))
+    per = versions.content_digest(rows, F.col("d"), keys=("version",))
     facts = rows.groupBy("version").agg(F.min("o_orderdate").cast("string").alias("first"), F.max("o_orderdate").cast("string").alias("last"))
     return per.join(facts, "version")
 
 
 VERSION_SUMMARY = f"""
 WITH r AS (SELECT year(o_orderdate) AS version, o_orderdate, sha256({_ORDER_JSON}) AS d FROM orders),
-g AS (SELECT version, substr(d, 1, 1) AS g, sha256(string_agg(d, chr(10) ORDER BY d)) AS digest, count(*) AS n, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM r GROUP BY ALL)
+g AS (SELECT version, substr(d, 1, 3) AS g, sha256(string_agg(d, chr(10) ORDER BY d)) AS digest, count(*) AS n, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM r GROUP BY ALL)
 SELECT version, sha256(string_agg(g || ':' || digest, chr(10) ORDER BY g)) AS content_digest, sum(n) AS row_count, strftime(min(lo), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(hi), '%Y-%m-%d %H:%M:%S') AS last FROM g GROUP BY 1
 """
 
@@ -167,19 +164,13 @@ ROW_DIGESTS = f"SELECT o_orderkey, sha256({_ORDER_JSON}) AS digest FROM orders"
 
 
 def flat_digest(spark, sf_dir):
-    return versions.flat_digest(_read(spark, sf_dir, "customer"), identity.row_digest("c_custkey", "c_mktsegment"), ("c_nationkey",))
-
-
-FLAT_DIGEST = """SELECT c_nationkey, sha256(string_agg(d, chr(10) ORDER BY d)) AS content_digest, count(*) AS row_count
-FROM (SELECT c_nationkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}') AS d FROM customer) GROUP BY 1"""
+    """The digest of each nation's customers; two-level, since a nation's list grows with the table."""
+    return versions.content_digest(_read(spark, sf_dir, "customer"), identity.row_digest("c_custkey", "c_mktsegment"), keys=("c_nationkey",))
 
 
-def new_subjects(spark, sf_dir):
-    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"), "c_name")
-    return versions.new_rows(c, _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject_id")), "subject_id")
-
-
-NEW_SUBJECTS = "SELECT c_custkey AS subject_id, c_name FROM customer ANTI JOIN orders ON c_custkey = o_custkey"
+FLAT_DIGEST = """WITH r AS (SELECT c_nationkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}') AS d FROM customer),
+g AS (SELECT c_nationkey, substr(d, 1, 3) AS g, sha256(string_agg(d, chr(10) ORDER BY d)) AS digest, count(*) AS n FROM r GROUP BY ALL)
+SELECT c_nationkey, sha256(string_agg(g || ':' || digest, chr(10) ORDER BY g)) AS content_digest, sum(n)::BIGINT AS row_count FROM g GROUP BY 1"""
 
 
 def current_state(spark, sf_dir):
@@ -315,11 +306,11 @@ SELECT y || '-' || s AS data_snapshot_uuid, y AS version, s AS split_filter FROM
 def pinned_models(spark, sf_dir):
     o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("model_version_id"), F.col("o_custkey").alias("data_snapshot_uuid"), (F.col("o_custkey") % 50).alias("eval_snapshot_uuid"))
     v = _read(spark, sf_dir, "customer").where("c_nationkey < 3").select(F.col("c_custkey").alias("data_snapshot_uuid"))
-    return contamination.pinned_models(v, o).withColumn("model_version_ids", F.array_join("model_version_ids", ","))
+    return contamination.pins(v, o)
 
 
-PINNED_MODELS = """SELECT data_snapshot_uuid, array_to_string(list_sort(list(DISTINCT m)), ',') AS model_version_ids
-FROM (SELECT o_orderkey::VARCHAR AS m, unnest([o_custkey, o_custkey % 50]) AS data_snapshot_uuid FROM orders) JOIN customer ON c_custkey = data_snapshot_uuid AND c_nationkey < 3 GROUP BY 1"""
+PINNED_MODELS = """SELECT DISTINCT data_snapshot_uuid, m AS model_version_id
+FROM (SELECT o_orderkey::VARCHAR AS m, unnest([o_custkey, o_custkey % 50]) AS data_snapshot_uuid FROM orders) JOIN customer ON c_custkey = data_snapshot_uuid AND c_nationkey < 3"""
 
 
 def evaluation_conflicts(spark, sf_dir):
@@ -393,7 +384,7 @@ def fitted_scores(spark, sf_dir):
 
 def model_digests(spark, sf_dir):
     e = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("model_version_id"), F.posexplode("embedding").alias("pos", "v"))
-    c = e.select("model_version_id", "pos", F.concat(F.lit("f"), F.col("pos").cast("string")).alias("feature_name"), (F.round(F.col("v").cast("double") * 1024) / 1024).alias("coefficient"))
+    c = e.select("model_version_id", "pos", F.concat(F.lit("f"), F.col("pos").cast("string")).alias("feature_name"), (F.round(F.col("v").cast("double") * 1024) / 1024).alias("coefficient"), F.lit("f").alias("source_feature"), F.lit(None).cast("string").alias("category"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("centre"), F.lit(1.0).alias("scale"))
     d = fit.artifact_digests(c)
     models = d.select("model_version_id", F.when(F.col("model_version_id").endswith("7"), "0").otherwise(F.col("artifact_digest")).alias("artifact_digest")).where("NOT endswith(model_version_id, '3')").union(spark.createDataFrame([("gone", "1")], "a string, b string"))
     return fit.model_verdicts(models, c)
@@ -456,17 +447,6 @@ def drained_decisions(spark, sf_dir):
 
 DRAINED_DECISIONS = "SELECT event_id::VARCHAR AS prediction_id, user_id::VARCHAR AS subject_id, CASE WHEN value >= 0.5 THEN 'approve' ELSE 'deny' END AS decision, round(value, 6) AS score, 2 AS n_attributions FROM events WHERE ts IS NOT NULL AND value IS NOT NULL"
 
-def as_of_rows(spark, sf_dir):
-    """Orders as they stood at the end of each of three years, by status: the version is a filter on the commit."""
-    o = _read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("commit_seq"), F.col("o_orderstatus").alias("split"))
-    v = o.select((F.col("commit_seq")).alias("version")).distinct()
-    per = o.groupBy("commit_seq", "split").count()
-    return v.join(F.broadcast(per), F.col("commit_seq") <= F.col("version")).groupBy("version", "split").agg(F.sum("count").alias("n_rows"))  # years times statuses
-
-
-AS_OF_ROWS = "SELECT version, o_orderstatus AS split, count(*) AS n_rows FROM (SELECT DISTINCT year(o_orderdate) AS version FROM orders) JOIN orders ON year(o_orderdate) <= version GROUP BY ALL"
-
-
 def explanation_reports(spark, sf_dir):
     """Reports of asked ids: some unknown, some of a model that isn't registered, some of an unrecorded version, some tampered with."""
     rows, coefficients = _linear(spark, sf_dir)
@@ -539,17 +519,23 @@ DRIFTED_MODELS = "SELECT o_orderkey AS model_version_id, o_orderpriority AS env_
 
 _QUERIES = {
     "group_rates": GROUP_RATES, "group_differences": GROUP_DIFFERENCES, "metric_rows": METRIC_ROWS, "segment_rates": SEGMENT_RATES, "decomposition": DECOMPOSITION, "subject_splits": SUBJECT_SPLITS, "split_counts": SPLIT_COUNTS,
-    "version_summary": VERSION_SUMMARY, "row_digests": ROW_DIGESTS, "flat_digest": FLAT_DIGEST, "new_subjects": NEW_SUBJECTS, "current_state": CURRENT_STATE, "top_attributions": TOP_ATTRIBUTIONS, "reconciliation": RECONCILIATION,
+    "version_summary": VERSION_SUMMARY, "row_digests": ROW_DIGESTS, "flat_digest": FLAT_DIGEST, "current_state": CURRENT_STATE, "top_attributions": TOP_ATTRIBUTIONS, "reconciliation": RECONCILIATION,
     "denial_drivers": DENIAL_DRIVERS, "described_attributions": DESCRIBED_ATTRIBUTIONS, "contaminations": CONTAMINATIONS, "contamination_rollup": CONTAMINATION_ROLLUP, "versions_with_subjects": VERSIONS_WITH_SUBJECTS, "pinned_models": PINNED_MODELS,
     "evaluation_conflicts": EVALUATION_CONFLICTS, "reusable_models": REUSABLE_MODELS, "comparison_refusals": COMPARISON_REFUSALS, "exact_auc": EXACT_AUC, "unknown_inputs": UNKNOWN_INPUTS, "encoded_rows": ENCODED_ROWS, "fitted_scores": None,
     "model_digests": MODEL_DIGESTS, "parsed_applications": PARSED_APPLICATIONS, "erased_table": ERASED_TABLE, "drained_decisions": DRAINED_DECISIONS,
-    "as_of_rows": AS_OF_ROWS, "explanation_reports": EXPLANATION_REPORTS, "trail_inventory": TRAIL_INVENTORY, "erasure_outcome": ERASURE_OUTCOME, "drifted_models": DRIFTED_MODELS,
+    "explanation_reports": EXPLANATION_REPORTS, "trail_inventory": TRAIL_INVENTORY, "erasure_outcome": ERASURE_OUTCOME, "drifted_models": DRIFTED_MODELS,
 }
 
 
+def _all() -> dict:
+    from tracewell import trail_queries
+
+    return {n: (globals()[n], sql) for n, sql in _QUERIES.items()} | {n: (getattr(trail_queries, n), sql) for n, sql in trail_queries.QUERIES.items()}
+
+
 def queries() -> dict:
-    return {name: globals()[name] for name in _QUERIES}
+    return {name: run for name, (run, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in _QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}

@@ -16,7 +16,7 @@ min_as_of_ts timestamp, max_as_of_ts timestamp, content_digest string NOT NULL,
     "audit.model_versions": """model_version_id string NOT NULL, registered_name string, data_snapshot_uuid string NOT NULL, eval_snapshot_uuid string NOT NULL, trained_at timestamp NOT NULL,
 estimator_class string NOT NULL, hyperparams_json string NOT NULL, config_digest string NOT NULL, seed int NOT NULL, artifact_digest string NOT NULL, env_digest string NOT NULL, code_git_sha string NOT NULL,
 metrics_json string, status string NOT NULL, retired_at timestamp, retire_reason string, recipe string NOT NULL""",
-    "audit.model_coefficients": "model_version_id string NOT NULL, pos int NOT NULL, feature_name string NOT NULL, source_feature string NOT NULL, category string, coefficient double NOT NULL, mean double NOT NULL, scale double NOT NULL",
+    "audit.model_coefficients": "model_version_id string NOT NULL, pos int NOT NULL, feature_name string NOT NULL, source_feature string NOT NULL, category string, coefficient double NOT NULL, mean double NOT NULL, centre double NOT NULL, scale double NOT NULL",
     "audit.training_membership": "model_version_id string NOT NULL, subject_id string NOT NULL, role string NOT NULL, row_digest string",
     "audit.predictions": """prediction_id string NOT NULL, prediction_ts timestamp NOT NULL, model_version_id string NOT NULL, subject_id string, input_json string NOT NULL, input_digest string NOT NULL,
 score double NOT NULL, threshold double NOT NULL, decision string NOT NULL, explainer_status string NOT NULL, latency_ms double, shap_ms double""",

@@ -10,6 +10,9 @@ from tracewell.operators.versions import Trail
 from tracewell.schemas import SCHEMAS
 
 
+MOST_DAYS = 366
+
+
 def _loose(table: str) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType) for f in SCHEMAS[table]])
 
@@ -33,19 +36,38 @@ def encoded_lines(predictions: DataFrame, attributions: DataFrame) -> DataFrame:
 
 
 def drain_batch(trail: Trail, lines: DataFrame) -> int:
-    """Appends the new decisions of a batch, attributions before predictions; a replay, or the rest of half a batch, adds only what is missing."""
-    rows = decoded(lines).withColumn("prediction_id", F.col("prediction.prediction_id")).dropDuplicates(["prediction_id"])
-    rows = rows.join(trail.read("audit.predictions").select("prediction_id"), "prediction_id", "left_anti").persist()
-    n = rows.count()
+    """Appends the new decisions of a batch, attributions before predictions; a replay, or the rest of half a batch, adds only what is missing.
+
+    The time of a decision is part of its record, so a replayed line has the day of the first one: history is read only for
+    the days of the batch.
+    """
+    rows = decoded(lines).withColumn("prediction_id", F.col("prediction.prediction_id")).dropDuplicates(["prediction_id"]).persist()
+    known = on_days(trail, "audit.predictions", days_of(rows.select("prediction.prediction_ts")))
+    fresh = rows.join(known.select("prediction_id"), "prediction_id", "left_anti").persist()
+    n = fresh.count()
     if n:
-        tall = rows.select(F.explode("attributions").alias("a")).select("a.*")
-        known = trail.read("audit.attributions").select("prediction_id", "feature_name")
-        trail.append("audit.attributions", tall.join(known, ["prediction_id", "feature_name"], "left_anti"))
-        trail.append("audit.predictions", rows.select("prediction.*"))
+        tall = fresh.select(F.explode("attributions").alias("a")).select("a.*")
+        there = on_days(trail, "audit.attributions", days_of(tall.select("prediction_ts"))).select("prediction_id", "feature_name")
+        trail.append("audit.attributions", tall.join(there, ["prediction_id", "feature_name"], "left_anti"))
+        trail.append("audit.predictions", fresh.select("prediction.*"))
+    fresh.unpersist()
     rows.unpersist()
     return n
 
 
+def days_of(times: DataFrame) -> list:
+    """The days of a batch's times; a batch is bounded, and so are its days."""
+    return [r[0] for r in times.select(F.to_date("prediction_ts")).distinct().collect()]
+
+
+def on_days(trail: Trail, table: str, days: list) -> DataFrame:
+    """The rows of some days; no other folder is read. More than MOST_DAYS are taken as the range that they span."""
+    rows = trail.read(table)
+    if not days:
+        return rows.where(F.lit(False))
+    return rows.where(F.col("day").isin(days) if len(days) <= MOST_DAYS else F.col("day").between(min(days), max(days)))
+
+
 def drain(trail: Trail, spool: str, checkpoint: str, continuous: str | None = None):
     """Starts the stream over the spool folder: all there is, then an end; or a tick every ``continuous`` interval."""
     lines = trail.spark.readStream.text(spool)
@@ -55,5 +77,6 @@ def drain(trail: Trail, spool: str, checkpoint: str, continuous: str | None = No
 
 def pending(spark: SparkSession, trail: Trail, spool: str) -> int:
     """Spooled decisions that aren't in the trail yet."""
-    ids = decoded(spark.read.text(spool)).select("prediction.prediction_id").distinct()
-    return ids.join(trail.read("audit.predictions").select("prediction_id"), "prediction_id", "left_anti").count()
+    rows = decoded(spark.read.text(spool)).select("prediction.prediction_id", "prediction.prediction_ts").distinct()
+    known = on_days(trail, "audit.predictions", days_of(rows))
+    return rows.join(known.select("prediction_id"), "prediction_id", "left_anti").select("prediction_id").distinct().count()
