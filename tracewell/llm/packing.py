@@ -86,14 +86,23 @@ class _Cache:
             self.young, self.old = {}, self.young
 
 
-class WordEncoder:
-    """Ids of words as little-endian 32-bit bytes. Words are looked up first, then the letters and marks of plain ones."""
+_TOKENIZERS: dict = {}
 
-    def __init__(self, path: str, most_words: int = 300_000, most_parts: int = 200_000):
+
+def _tokenizer(path: str):
+    if path not in _TOKENIZERS:  # kept while the worker lives; what a task learns isn't
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), _Cache(most_words), _Cache(most_parts)
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
+    return _TOKENIZERS[path]
+
+
+class WordEncoder:
+    """Ids of words as little-endian 32-bit bytes. Words are looked up first, then the letters and marks of plain ones."""
+
+    def __init__(self, path: str, most_words: int = 300_000, most_parts: int = 200_000):
+        self.tokenizer, self.words, self.parts = _tokenizer(path), _Cache(most_words), _Cache(most_parts)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece of the text
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -128,18 +137,13 @@ class WordEncoder:
         return found
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): ids as little-endian 32-bit bytes."""
     path = path or vocabulary()
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:  # kept while the worker lives
-            _ENCODERS[path] = WordEncoder(path)
-        encode, end = _ENCODERS[path], np.array([end_id], "<u4").tobytes()
+        encode, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             ids, waiting, words = b.column(0).to_pylist(), [], []
 

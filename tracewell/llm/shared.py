@@ -20,6 +20,8 @@ BROADCAST_BYTES = 32 << 20
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Texts that are Python objects at a time, of the rows of an Arrow batch.
 TEXTS_AT_ONCE = 256
+#: Rows and bytes of the Arrow batches that tasks exchange with Python while a scratch table is written.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 _made: list[list[Scratch]] = []
 
@@ -38,8 +40,15 @@ class Scratch:
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        path = f"{self.base}/t{self.n}"
-        df.write.parquet(path)
+        path, conf = f"{self.base}/t{self.n}", self.spark.conf
+        before = {k: conf.get(k) for k in ARROW_BATCH}
+        for k, v in ARROW_BATCH.items():
+            conf.set(k, str(min(int(v), int(before[k].rstrip("b")))))
+        try:
+            df.write.parquet(path)
+        finally:
+            for k, v in before.items():
+                conf.set(k, v)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back

@@ -389,5 +389,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).view(pa.string())], names=made.names)
 
     row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    joined = row.join(broadcast_if_small(spans, size), ["doc_id", "t"], "left").select("row", cut("text", "spans").alias("cut"))
-    return joined.select("row.*", "cut.*")
+    joined = row.join(broadcast_if_small(spans, size), ["doc_id", "t"], "left")
+    # texts that lose nothing stay out of Python, but for those whose bytes string functions would change
+    here = F.col("spans").isNull() & F.coalesce(F.is_valid_utf8("text"), F.lit(True))
+    both = joined.select("row", "text", here.alias("here"), cut(F.when(~here, F.col("text")), "spans").alias("cut"))
+    text = F.coalesce("text", F.lit(""))
+    plain = F.struct(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.trim(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " ")).alias("kept_text"))
+    return both.select("row.*", *(F.when(F.col("here"), plain[c]).otherwise(F.col(f"cut.{c}")).alias(c) for c in made.names))
