@@ -26,6 +26,40 @@ def test_edge_cases(spark):
     assert langid.predict(docs.limit(0), model, "doc_id").count() == 0
 
 
+def test_masks_against_plain_sets(spark):
+    """The filter holds every n-gram of the plain sets; of others it reports no more than the target; verdicts agree."""
+    from collections import Counter
+
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = docs.collect()
+    counts = {}
+    for r in rows:
+        counts.setdefault(r.lang, Counter()).update(langid.grams(langid.letters(r.text)).tolist())
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    most = Counter()
+    for s in share.values():
+        for g, x in s.items():
+            most[g] = max(most[g], x)
+    sets = {lang: {g for g, x in s.items() if x >= langid.LEAST_SHARE and x >= langid.LEAST_RATIO * most[g]} for lang, s in share.items()}
+    model = langid.learn(docs)
+    assert model.languages == sorted(sets)
+    every = np.array(sorted(set().union(*sets.values())) + np.random.default_rng(0).integers(0, 2**63, 100_000).tolist(), np.uint64)
+    mask = np.bitwise_and.reduce([model.cells[0][langid._probe(every, k, model.bits)] for k in range(langid.PROBES)])
+    for i, lang in enumerate(model.languages):
+        inside = np.isin(every, np.array(list(sets[lang]), np.uint64))
+        said = (mask >> np.uint64(i)) & np.uint64(1) == 1
+        assert said[inside].all() and said[~inside].mean() <= 1.5 * langid.FALSE_POSITIVES
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model, "doc_id").collect()}
+    for r in rows:
+        g = langid.grams(langid.letters(r.text)).tolist()
+        plain = {lang: sum(x in s for x in g) / len(g) for lang, s in sets.items()}
+        best = sorted(plain.values())
+        if best[-1] - best[-2] > 0.02:
+            assert got[r.doc_id] == max(plain, key=plain.get)
+
+
 def test_many_languages(spark):
     """More languages than one mask has bits."""
     learn = [(chr(0x4E00 + 40 * k + i % 40) * 6, f"l{k:02}") for k in range(70) for i in range(40)]

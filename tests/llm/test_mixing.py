@@ -46,6 +46,19 @@ def test_one_rare_document_does_not_set_the_rate(spark):
     assert out.n == docs.count() + 1 and out.e > 0.35 * out.n
 
 
+def test_given_targets(spark):
+    """Shares of tokens follow tables of weights, in expectation and in the sample; topics and tokens are columns."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.when(F.col("id") % 7 < 2, "a").otherwise("b").alias("lang"), F.concat(F.lit("t"), F.col("id") % 5).alias("subject"), (F.col("id") % 11 + 1).alias("size"))
+    targets = {"source": spark.createDataFrame([("s0", 5.0), ("s1", 5.0), ("gone", 3.0)], "source string, weight double"), "lang": spark.createDataFrame([("a", 1.0), ("b", 1.0)], "lang string, weight double")}
+    rows = mixing.calibrated(docs, targets=targets, topic_col="subject", tokens_col="size").cache()
+    assert rows.where("source = 's2' AND kept").count() == 0 and rows.agg(F.max("probability")).first()[0] == 1.0
+    for d, want in (("source", {"s0": 0.5, "s1": 0.5, "s2": 0.0}), ("lang", {"a": 0.5, "b": 0.5})):
+        got = rows.groupBy(d).agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("e"), F.sum(F.when(F.col("kept"), F.col("n_tokens")).otherwise(0)).alias("k")).collect()
+        e, k = sum(r.e for r in got), sum(r.k for r in got)
+        assert {r[d]: r.e / e for r in got} == pytest.approx(want, abs=1e-5) and {r[d]: r.k / k for r in got} == pytest.approx(want, abs=0.03)
+    assert mixing.mix(docs, targets=targets, topic_col="subject", tokens_col="size").count() == rows.where("kept").count()
+
+
 def test_edge_cases(spark):
     schema = "doc_id long, text string, source string, lang string, weight string"
     docs = spark.createDataFrame([(1, None, None, None, "x"), (2, "", "s", None, "x"), (3, "a b", "s", "en", "x"), (3, "a b", "s", "en", "x"), (None, "licence", "t", "en", "x"), (5, "a@b " * 9000, "t", "de", "x")], schema)

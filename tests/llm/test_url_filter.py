@@ -32,10 +32,45 @@ def test_reputation(spark):
     assert {g[3] for g in got[:60]} == {"block"} and {g[3] for g in got[60:123]} == {"allow"} and got[123][3] == "block"
 
 
+def test_lone_bad_hosts_among_clean_ones(spark):
+    """20 of 20, 36 of 40 and 80 of 100 bad pages condemn a host among 60 clean ones; 3 of 20 and 40 of 100 don't."""
+    hosts = {"a": (20, 20), "b": (36, 40), "c": (80, 100), "d": (3, 20), "e": (40, 100)} | {f"clean{i}": (i % 3, 30) for i in range(60)}
+    urls, labels = [], []
+    for h, (bad, n) in hosts.items():
+        for i in range(n):
+            labels.append((len(urls), i < bad))
+            urls.append(f"x://{h}.net/{i}")
+    verdicts = {}
+    for host, _, _, v in run(spark, urls, labels):
+        verdicts[host.split(".")[0]] = v
+    assert {h for h, v in verdicts.items() if v == "block"} == {"a", "b", "c"}
+
+
+def plain_roll_up(host, rules):
+    p = host.split(".")
+    best = (0, 1)
+    for i in range(len(p)):
+        t = ".".join(p[i:])
+        if "!" + t in rules:
+            best = max(best, (1, len(p) - i - 1))
+        if t in rules or (i + 1 < len(p) and "*." + ".".join(p[i + 1 :]) in rules):
+            best = max(best, (0, len(p) - i))
+    return ".".join(p[-best[1] :]), ".".join(p[-best[1] - 1 :])
+
+
+def test_suffix_rules(spark):
+    rules = ["com", "co.uk", "*.ck", "!www.ck", "*.b.c.d", "c.d"]
+    hosts = ["a.com", "com", "x.y.co.uk", "co.uk", "a.b.ck", "b.ck", "ck", "www.ck", "q.www.ck", "1.2.b.c.d", "b.c.d", "z.c.d", "odd.zz", "", "a..com"]
+    table = spark.createDataFrame([(r,) for r in rules], "suffix_rule string")
+    for given in (rules, table):
+        got = {r.host: (r.suffix, r.domain) for r in url_filter.rolled_up(spark.createDataFrame([(h, 1) for h in hosts], "host string, n int"), given).collect()}
+        assert got == {h: plain_roll_up(h, rules) for h in hosts}
+
+
 def test_shrinkage(spark):
     """One bad page out of one doesn't condemn a host; the same share of many does."""
-    urls = ["x://a.one.net/"] + [f"x://b.two.net/{i}" for i in range(200)] + [f"x://c{i // 10}.net/" for i in range(200)]
-    got = run(spark, urls, [(i, i < 201 or i % 2 == 0) for i in range(401)])
+    urls = ["x://a.one.net/"] + [f"x://b.two.net/{i}" for i in range(200)] + [f"x://c{i // 10}.net/" for i in range(1000)]
+    got = run(spark, urls, [(i, i < 201 or i % 10 == 0) for i in range(1201)])
     assert got[0][3] == "allow" and got[5][3] == "block"
 
 

@@ -2,10 +2,12 @@
 
 Learning. Texts become lower-case letters with single spaces; an n-gram is four UTF-16 units, packed exactly into 64
 bits. N-grams are counted for each language over all learning rows, first within each task. A language contains an
-n-gram that makes up at least ``least_share`` of its n-grams (so at most 1 / least_share of them, whatever the corpus)
-and at least ``least_ratio`` of the n-gram's largest share in any language. These sets go into one Bloom filter whose
+n-gram that makes up at least ``least_share`` of its n-grams and at least ``least_ratio`` of the n-gram's largest share
+in any language. That is the model's definition of what a language contains, by shares over all learning rows, so it
+means the same at any size; it holds at most 1 / least_share n-grams a language. These sets go into one Bloom filter whose
 cells are bit masks over the languages: a language's slice of bits is its own Bloom filter, and one probe answers for
-all languages. The filter has a fixed size (2**20 cells of 64 languages, 8 MB each), which is all that is broadcast.
+all languages. The cells are as many as the contained n-grams, once counted, need for ``FALSE_POSITIVES``: with the
+defaults at most 2**21 of 64 languages (16 MB each), which is all that is broadcast.
 
 Prediction. For each n-gram of a text the cells of its three probes are ANDed into the mask of languages that contain
 it; counts per language are corrected for that slice's false-positive rate, fill**3: (hits - n * fp) / (1 - fp). The
@@ -13,11 +15,12 @@ language with the largest corrected share wins; the score is that share.
 
 Edge cases. Null text or no letter: ``und``, score 0. No n-gram known: the language with most learning text, score 0.
 Ties: the language that sorts first. Null languages aren't learned from. With nothing to learn from, all are ``und``.
-Repeated rows are counted and answered each. Extra columns are ignored. An empty table gives an empty result.
+Repeated rows are counted and answered each. Bytes that aren't UTF-8 are read as U+FFFD. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.shared import mix, text_bytes
 
-CELL_BITS, PROBES, CHUNK = 20, 3, 1_000_000
+PROBES, CHUNK = 3, 1_000_000
+#: A language's slice answers wrongly for at most this share of n-grams that it doesn't contain.
+FALSE_POSITIVES = 2e-3
 LEAST_SHARE, LEAST_RATIO = 2e-5, 0.1
 UNKNOWN = "und"
 _LETTER = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else True for c in range(65536)])
@@ -40,6 +45,7 @@ class LanguageFilter:
     cells: np.ndarray  # (words of 64 languages, cells) of bit masks
     fill: np.ndarray  # share of cells set, for each language
     most: int  # the language with most learning text
+    bits: int  # log2 of the cells
 
 
 def letters(text: str) -> np.ndarray:
@@ -57,8 +63,14 @@ def grams(units: np.ndarray) -> np.ndarray:
     return u[:-3] | u[1:-2] << np.uint64(16) | u[2:-1] << np.uint64(32) | u[3:] << np.uint64(48)
 
 
-def _probe(g: np.ndarray, k: int) -> np.ndarray:
-    return mix(g + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(64 - CELL_BITS)
+def _probe(g: np.ndarray, k: int, bits: int) -> np.ndarray:
+    return mix(g + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(64 - bits)
+
+
+def cell_bits(n: int, false_positives: float = FALSE_POSITIVES) -> int:
+    """log2 of the fewest cells at which ``n`` n-grams of one language keep its slice's false positives within the target."""
+    cells = PROBES * n / -math.log1p(-(false_positives ** (1 / PROBES)))
+    return max(12, math.ceil(math.log2(max(1.0, cells))))
 
 
 def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +101,7 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             waiting: dict[str, list[np.ndarray]] = {}
             size: dict[str, int] = {}
             for lang, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
-                g = grams(letters(text.decode()))
+                g = grams(letters(text.decode("utf-8", "replace")))
                 waiting.setdefault(lang, []).append(g)
                 size[lang] = size.get(lang, 0) + len(g)
                 if size[lang] > CHUNK:
@@ -114,10 +126,12 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     if not languages:
-        return LanguageFilter([], np.zeros((1, 1 << CELL_BITS), np.uint64), np.zeros(0), 0)
+        return LanguageFilter([], np.zeros((1, 1 << 12), np.uint64), np.zeros(0), 0, 12)
     all_n = counts.groupBy("lang").agg(F.sum("n").alias("all"))
     shares = counts.join(F.broadcast(all_n), "lang").select("lang", "gram", (F.col("n") / F.col("all")).alias("share"))
     held = shares.where(F.col("share") >= least_share).withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= least_ratio * F.col("most"))
+    held = scratch.table(held.select("lang", "gram"))
+    bits = cell_bits(held.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
     place = {lang: i for i, lang in enumerate(languages)}
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,14 +140,14 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least
             g = b.column(1).to_numpy().view(np.uint64)
             bit = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
             for k in range(PROBES):
-                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(_probe(g, k).astype(np.int32)), pa.array(bit)], names=["word", "cell", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(_probe(g, k, bits).astype(np.int32)), pa.array(bit)], names=["word", "cell", "bits"])
 
     set_cells = held.select("lang", "gram").mapInArrow(cells, "word int, cell int, bits long").groupBy("word", "cell").agg(F.bit_or("bits").alias("bits")).toArrow()
-    masks = np.zeros((len(languages) + 63 >> 6, 1 << CELL_BITS), np.uint64)
+    masks = np.zeros((len(languages) + 63 >> 6, 1 << bits), np.uint64)
     masks[set_cells.column("word").to_numpy(), set_cells.column("cell").to_numpy()] = set_cells.column("bits").to_numpy().view(np.uint64)
-    scratch.drop(counts)
+    scratch.drop(counts, held)
     fill = np.array([float(((masks[i >> 6] >> np.uint64(i & 63)) & np.uint64(1)).mean()) for i in range(len(languages))])
-    return LanguageFilter(languages, masks, fill, max(range(len(languages)), key=lambda i: (totals[languages[i]], -i)))
+    return LanguageFilter(languages, masks, fill, max(range(len(languages)), key=lambda i: (totals[languages[i]], -i)), bits)
 
 
 def shares_of(units: list[np.ndarray], model: LanguageFilter) -> np.ndarray:
@@ -141,7 +155,7 @@ def shares_of(units: list[np.ndarray], model: LanguageFilter) -> np.ndarray:
     g, n = np.concatenate([grams(u) for u in units]), np.array([len(u) - 3 for u in units])
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
     hits = np.empty((len(units), len(model.languages)))
-    probes = [_probe(g, k) for k in range(PROBES)]
+    probes = [_probe(g, k, model.bits) for k in range(PROBES)]
     for word, masks in enumerate(model.cells):
         mask = masks[probes[0]]
         for p in probes[1:]:
@@ -172,7 +186,7 @@ def predict(docs: DataFrame, model: LanguageFilter, *keep: str, text_col: str =
 
             units, size = [], 0
             for text in text_bytes(b.column(b.num_columns - 1)):
-                text = text.decode()
+                text = text.decode("utf-8", "replace")
                 fit = bool(model.languages) and any(map(str.isalpha, text))
                 units.append(letters(text) if fit else None)
                 size += len(units[-1]) if fit else 1

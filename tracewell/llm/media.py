@@ -7,8 +7,8 @@ or 16 bits, interleaved. The writer makes 8-bit grey pages in any of these forms
 Files are rows: Spark partitions them, and a task holds one file and its pages at a time. Nothing is shuffled.
 
 Edge cases. Null media: one row, page null, error 'no data'. A file that is cut short, loops in its directories or
-asks for something unknown: one row for each page decoded so far and one with the error, so no file is dropped in
-silence. Repeated rows give their pages each. Columns named in ``keep`` pass through; their names must differ from those
+asks for something unknown, empty or larger than ``MOST_PAGE_BYTES``: one row for each page decoded so far and one with
+the error, so no file is dropped in silence; no part is decoded beyond the size that its page needs. Repeated rows give their pages each. Columns named in ``keep`` pass through; their names must differ from those
 of the result. Texts: null as empty; the payload is the text in UTF-8 with bytes 0 up to a positive multiple of 64. An
 empty table gives an empty result.
 """
@@ -37,27 +37,25 @@ _WIDTHS = np.array([9 if k < 254 else 10 if k < 766 else 11 if k < 1790 else 12
 _ENDS = np.cumsum(_WIDTHS)
 
 
-def packbits_encode(data: bytes) -> bytes:
-    out, at = bytearray(), 0
-
-    def literal(a: int, b: int) -> None:
-        for i in range(a, b, 128):
-            part = data[i : min(b, i + 128)]
-            out.append(len(part) - 1)
-            out.extend(part)
-
-    for m in _RUN.finditer(data):
-        literal(at, m.start())
-        out.append(257 - (m.end() - m.start()))
-        out.append(data[m.start()])
-        at = m.end()
-    literal(at, len(data))
+def packbits_encode(data: bytes, row: int) -> bytes:
+    """Runs and literals of each ``row`` bytes; none goes on into the next row."""
+    out = bytearray()
+    for start in range(0, len(data), row):
+        part, at = data[start : start + row], 0
+        for m in _RUN.finditer(part):
+            for i in range(at, m.start(), 128):
+                out += bytes([min(m.start() - i, 128) - 1]) + part[i : min(m.start(), i + 128)]
+            out += bytes([257 - (m.end() - m.start()), part[m.start()]])
+            at = m.end()
+        for i in range(at, len(part), 128):
+            out += bytes([min(len(part) - i, 128) - 1]) + part[i : i + 128]
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
-    parts, at = [], 0
-    while at < len(data):
+def packbits_decode(data: bytes, most: int) -> bytes:
+    """At most ``most`` bytes."""
+    parts, at, have = [], 0, 0
+    while at < len(data) and have < most:
         n = data[at]
         if n < 128:
             parts.append(data[at + 1 : at + 2 + n])
@@ -67,7 +65,14 @@ def packbits_decode(data: bytes) -> bytes:
             at += 2
         else:
             at += 1
-    return b"".join(parts)
+            continue
+        have += len(parts[-1])
+    return b"".join(parts)[:most]
+
+
+def inflate(data: bytes, most: int) -> bytes:
+    """At most ``most`` bytes."""
+    return zlib.decompressobj().decompress(data, most) if most else b""
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -101,12 +106,13 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(bits[np.arange(12) >= 12 - width[:, None]].astype(np.uint8)).tobytes()
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Bits are cut into codes many at a time, since a code's width follows from its place after the last clear."""
+def lzw_decode(data: bytes, most: int) -> bytes:
+    """At most ``most`` bytes, or a few entries more. Bits are cut into codes many at a time, since a code's width follows from its place after the last clear."""
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
     three = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
     base, parts, at, end = [bytes([i]) for i in range(256)] + [b"", b""], [], 0, 8 * len(data)
-    while at < end:
+    have = 0
+    while at < end and have < most:
         fit = int(np.searchsorted(_ENDS, end - at, "right"))
         start = at + _ENDS[:fit] - _WIDTHS[:fit]
         codes = (three[start >> 3] >> (24 - (start & 7) - _WIDTHS[:fit])) & ((1 << _WIDTHS[:fit]) - 1)
@@ -124,14 +130,19 @@ def lzw_decode(data: bytes) -> bytes:
                 table.append(last + entry[:1])
             parts.append(entry)
             last = entry
+            have += len(entry)
+            if have >= most:
+                break
         if stop == fit or codes[stop] == 257:
             break
         at += int(_ENDS[stop])
     return b"".join(parts)
 
 
-_ENCODE = {RAW: bytes, LZW: lzw_encode, DEFLATE: zlib.compress, PACKBITS: packbits_encode}
-_DECODE = {RAW: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, 32946: zlib.decompress, PACKBITS: packbits_decode}
+_ENCODE = {RAW: lambda data, row: data, LZW: lambda data, row: lzw_encode(data), DEFLATE: lambda data, row: zlib.compress(data), PACKBITS: packbits_encode}
+_DECODE = {RAW: lambda data, most: data, LZW: lzw_decode, DEFLATE: inflate, 32946: inflate, PACKBITS: packbits_decode}
+#: A page of more bytes is an error, since its size is only what the file says.
+MOST_PAGE_BYTES = 1 << 30
 
 
 def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, tiled: bool = False, predictor: int = 1, order: str = "<") -> bytes:
@@ -149,7 +160,7 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, tiled: bool
                     part = np.pad(part, ((0, TILE - part.shape[0]), (0, TILE - part.shape[1]), (0, 0)))
                 if predictor == 2:
                     part = np.concatenate([part[:, :1], part[:, 1:] - part[:, :-1]], axis=1)
-                parts.append(_ENCODE[compression](np.ascontiguousarray(part).tobytes()))
+                parts.append(_ENCODE[compression](np.ascontiguousarray(part).tobytes(), part.shape[1] * samples))
         offsets = []
         for part in parts:
             offsets.append(len(out))
@@ -208,11 +219,19 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> tuple[np.ndarray,
     tiled = 324 in tags
     high, wide = (one(323), one(322)) if tiled else (min(one(278, rows), rows), columns)
     offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    if min(columns, rows, samples, high, wide) < 1:
+        raise ValueError(f"empty page: {columns} x {rows} x {samples}, parts of {wide} x {high}")
+    if max(rows * columns, high * wide) * samples * kind.itemsize > MOST_PAGE_BYTES:
+        raise ValueError(f"page too large: {columns} x {rows} x {samples}, parts of {wide} x {high}")
+    if len(offsets) != len(sizes) or len(offsets) < -(-rows // high) * -(-columns // wide):
+        raise ValueError(f"{len(offsets)} parts for {columns} x {rows}")
     out, across = np.zeros((rows, columns, samples), kind.newbyteorder("=")), -(-columns // wide)
     for k, (offset, size) in enumerate(zip(offsets, sizes, strict=True)):
         y, x = k // across * high, k % across * wide
+        if y >= rows:
+            break
         there = high if tiled else min(high, rows - y)
-        raw = _DECODE[compression](data[offset : offset + size])
+        raw = _DECODE[compression](data[offset : offset + size], there * wide * samples * kind.itemsize)
         part = np.frombuffer(raw, kind, there * wide * samples).reshape(there, wide, samples).astype(out.dtype)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=out.dtype)
@@ -261,7 +280,9 @@ def tiff_pages(files: DataFrame, media_col: str = "media", keep: tuple[str, ...]
                 raise ValueError("no data")
             for page, compression in read_tiff(data):
                 rows.append((len(rows), page.shape[1], page.shape[0], page.shape[2], compression, page.tobytes(), feature_of(page), None))
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError) as e:
+            if not rows:
+                raise ValueError("no page")
+        except (ValueError, KeyError, IndexError, TypeError, ArithmeticError, struct.error, zlib.error, MemoryError) as e:
             rows.append((None,) * 7 + (f"{type(e).__name__}: {e}",))
         return rows
 

@@ -12,7 +12,8 @@ others share the rest by their targets. Sweeps then scale probabilities to these
 than ``MARGIN_ERROR`` of the goal lies in wrong values or ``BOUNDED_SWEEPS`` are made; ``margin_error`` tells what is
 left against the targets.
 
-Targets default to tempered shares: share ** power, normalised, which flattens a dominant source or language.
+Targets are given as tables of weights, or default to tempered shares: share ** power, normalised, which flattens a
+dominant source or language. A value that isn't in a given table gets none.
 
 The text is read once for the features; cells and margins are aggregated before each shuffle, so a source with a third
 of all rows costs one partial sum for each task. Each sweep is a written table, which keeps plans short. The cells are
@@ -34,6 +35,8 @@ from tracewell.llm.shared import Scratch, broadcast_if_small
 #: Power of each margin's natural share in its target, and the sweeps made.
 TEMPER = {"source": 0.8, "lang": 0.8, "topic": 0.9}
 SWEEPS, SEED = 8, "mix-1"
+#: With given targets sweeps go on until so small a share of tokens is in wrong values, or a sweep no longer helps, or so many are made.
+SETTLED, MOST_SWEEPS = 1e-6, 100
 #: Least share of the tokens that is expected to stay; the sweeps that see to it, and when they stop.
 KEEP, BOUNDED_SWEEPS, MARGIN_ERROR = 0.4, 24, 1e-3
 
@@ -50,23 +53,52 @@ def uniform(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def features(docs: DataFrame, *keep: Column | str, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The columns ``keep`` and source, lang, topic, n_tokens of each row."""
+def features(docs: DataFrame, *keep: Column | str, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, tokens_col: str | None = None) -> DataFrame:
+    """The columns ``keep`` and source, lang, topic, n_tokens of each row.
+
+    Topics and token counts that are known (from a classifier, a tokenizer) are taken from the named columns.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.select(*keep, known(source_col).alias("source"), known(lang_col).alias("lang"), topic_of(text).alias("topic"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("n_tokens"))
+    return docs.select(*keep, known(source_col).alias("source"), known(lang_col).alias("lang"), (known(topic_col) if topic_col else topic_of(text)).alias("topic"), (F.coalesce(F.col(tokens_col), F.lit(0)) if tokens_col else F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))).cast("long").alias("n_tokens"))
+
+
+def given_targets(cells: DataFrame, d: str, table: DataFrame) -> DataFrame:
+    """(d, target) of every value of a margin from a table (d, weight): weights over their sum, 0 for values not given.
+
+    Values without tokens can't be met and are left out of the sum.
+    """
+    values = cells.groupBy(d).agg(F.sum("tokens").alias("has")).join(table.select(F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d), F.col("weight").cast("double").alias("t")).groupBy(d).agg(F.sum("t").alias("t")), d, "left")
+    values = values.select(d, F.when(F.col("has") > 0, F.coalesce("t", F.lit(0.0))).otherwise(0.0).alias("t"))
+    return values.join(F.broadcast(values.agg(F.sum("t").alias("all")))).select(d, F.coalesce(F.try_divide("t", "all"), F.lit(0.0)).alias("target"))  # one row
 
 
-def raked(rows: DataFrame, scratch: Scratch, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS) -> DataFrame:
-    """(source, lang, topic, tokens, weight) of each cell after ``sweeps`` sweeps."""
-    cells = scratch.table(rows.groupBy(*temper).agg(F.sum("n_tokens").alias("tokens")))
-    targets = {}
+def residual(cells: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest share, over the margins, of weighted tokens that lie in other values than the targets say."""
+    total = cells.agg(F.sum(F.col("tokens") * F.col("weight"))).first()[0]
+    if not total:
+        return 0.0
+    return max(_off(cells, d, t.select(d, (F.col("target") * F.lit(total)).alias("goal"))) / total for d, t in targets.items())
+
+
+def raked(rows: DataFrame, scratch: Scratch, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(source, lang, topic, tokens, weight) of each cell, after ``sweeps`` sweeps; with given targets, that many at least.
+
+    ``targets`` gives margins' target weights as tables (margin, weight); margins without one are tempered. Sweeps then go
+    on until ``residual`` is at most SETTLED, or no longer falls since the targets contradict each other or cells are missing;
+    ``residual`` tells what is left.
+    """
+    cells, asked = scratch.table(rows.groupBy(*temper).agg(F.sum("n_tokens").alias("tokens"))), targets or {}
+    targets = {d: scratch.table(given_targets(cells, d, t)) for d, t in asked.items()}
     for d, power in temper.items():
+        if d in targets:
+            continue
         shares = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("t"))
         total = shares.agg(F.sum("t").alias("all"))
         targets[d] = scratch.table(shares.join(F.broadcast(total)).select(d, F.coalesce(F.try_divide("t", "all"), F.lit(0.0)).alias("target")))  # one row
     now = scratch.table(cells.withColumn("weight", F.lit(1.0)))
-    for _ in range(sweeps):
+    left = float("inf")
+    for k in range(max(sweeps, MOST_SWEEPS)):
         then = now
         for d in temper:
             held = then.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("held")).join(targets[d], d)
@@ -74,6 +106,12 @@ def raked(rows: DataFrame, scratch: Scratch, temper: dict[str, float] = TEMPER,
         then = scratch.table(then)
         scratch.drop(now)
         now = then
+        if k + 1 >= sweeps and not asked:
+            break
+        if k + 1 >= sweeps:
+            left, last = residual(now, targets), left
+            if left <= SETTLED or left > 0.9 * last:
+                break
     scratch.drop(cells, *targets.values())
     return now
 
@@ -129,32 +167,35 @@ def margin_error(cells: DataFrame, temper: dict[str, float] = TEMPER) -> float:
     return worst
 
 
-def probabilities(rows: DataFrame, scratch: Scratch, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS, keep: float = KEEP) -> tuple[DataFrame, int]:
-    """The cells of ``raked`` with their probability, and the number of those with tokens."""
-    cells = raked(rows, scratch, temper, sweeps)
+def probabilities(rows: DataFrame, scratch: Scratch, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS, keep: float = KEEP, targets: dict[str, DataFrame] | None = None) -> tuple[DataFrame, int]:
+    """The cells of ``raked`` with their probability, and the number of those with tokens.
+
+    The floor ``keep`` belongs to tempered targets; given ones are met exactly, at whatever rate that takes.
+    """
+    cells = raked(rows, scratch, temper, sweeps, targets)
     n, most, total, held = cells.where("tokens > 0").agg(F.count("*"), F.max("weight"), F.sum("tokens"), F.sum(F.col("tokens") * F.col("weight"))).first()
-    if n and held < keep * most * total:
+    if n and not targets and held < keep * most * total:
         cells, most = bounded(cells, scratch, temper, keep), 1.0
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") / F.lit(most or 1.0))), n
 
 
-def _rates(rows: DataFrame, scratch: Scratch, temper: dict[str, float], sweeps: int) -> DataFrame:
-    rates, n = probabilities(rows, scratch, temper, sweeps)
+def _rates(rows: DataFrame, scratch: Scratch, temper: dict[str, float], sweeps: int, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    rates, n = probabilities(rows, scratch, temper, sweeps, targets=targets)
     return broadcast_if_small(rates.select(*temper, "weight", "probability"), 200 * (n + 1))
 
 
-def calibrated(docs: DataFrame, id_col: str = "doc_id", temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS, seed: str = SEED) -> DataFrame:
-    """One row per document: its id, source, lang, topic, n_tokens, probability, kept."""
+def calibrated(docs: DataFrame, id_col: str = "doc_id", temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS, seed: str = SEED, targets: dict[str, DataFrame] | None = None, **columns: str) -> DataFrame:
+    """One row per document: its id, source, lang, topic, n_tokens, probability, kept. ``columns``: as for ``features``."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = scratch.table(features(docs, F.col(id_col).alias("__id")))
-    out = rows.join(_rates(rows, scratch, temper, sweeps), list(temper))
+    rows = scratch.table(features(docs, F.col(id_col).alias("__id"), **columns))
+    out = rows.join(_rates(rows, scratch, temper, sweeps, targets), list(temper))
     return out.select(F.col("__id").alias(id_col), "source", "lang", "topic", "n_tokens", "probability", (uniform(F.col("__id"), seed) < F.col("probability")).alias("kept"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS, seed: str = SEED, targets: dict[str, DataFrame] | None = None, **columns: str) -> DataFrame:
     """The rows of ``docs`` that are taken."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    rates = _rates(features(docs), scratch, temper, sweeps)
-    rows = features(docs.withColumn("__row", F.struct("*")), "__row")
+    rates = _rates(features(docs, **columns), scratch, temper, sweeps, targets)
+    rows = features(docs.withColumn("__row", F.struct("*")), "__row", **columns)
     taken = rows.join(rates, list(temper)).where(uniform(F.col(f"__row.`{id_col}`"), seed) < F.col("probability"))
     return taken.select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns))

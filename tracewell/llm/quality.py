@@ -5,7 +5,8 @@ text are packed as hash and position into longs, sorted as primitives, and compa
 n words costs n log n and no shuffle.
 
 Lines are normalised (lower case, inner white space as one space, trimmed) and hashed to 64 bits. For each host the
-documents that hold a line are counted as distinct texts, so exact copies count once: the pairs (line, text) are
+documents that hold a line are counted as distinct texts, so exact copies count once (else every line of a much copied
+text would be frequent, and all its copies would go before operator 1 could keep one): the pairs (line, text) are
 aggregated before the shuffle and dealt by line and text, then counted by line, and no line gathers in one task. A line
 is frequent in its host if more than ``least_docs`` texts and more than ``share`` of the host's texts hold it; beyond
 ``SHARE_TEXTS`` texts the second limit grows with their square root only, since a template belongs to a part of a host
@@ -64,26 +65,36 @@ def _plain(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     return docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("__host"), F.col(text_col).cast("string").alias("text")).withColumn("__text", F.xxhash64("text"))
 
 
-def frequent_lines(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
+def hashed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(__id, __text, __host, at, h, words) of every line with a word, written: texts are split into lines once."""
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), F.when(_has_word(x), line_hash(x)).alias("h"), F.size(native_words(x)).alias("words")))
+    return scratch.table(docs.select("__id", "__text", "__host", F.explode(line).alias("l")).select("__id", "__text", "__host", "l.*").where("h IS NOT NULL"))
+
+
+def frequent_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
     """(__host, h) of the lines above the limits. ``docs``: __id, __host, text, __text."""
-    lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), _has_word), line_hash))
-    counts = docs.select("__host", "__text", F.explode(lines).alias("h")).groupBy("__host", "h").agg(F.countDistinct("__text").alias("n"))
+    counts = lines.groupBy("__host", "h").agg(F.countDistinct("__text").alias("n"))
     hosts = docs.groupBy("__host").agg(F.countDistinct(F.when(F.col("text").isNotNull(), F.col("__text"))).alias("texts"))
     counted = F.when(F.col("texts") > SHARE_TEXTS, F.sqrt(F.lit(float(SHARE_TEXTS)) * F.col("texts"))).otherwise(F.col("texts"))
     return scratch.table(counts.where(F.col("n") > least_docs).join(hosts, "__host").where(F.col("n") > F.lit(share) * counted).select("__host", "h"))
 
 
-def lost_lines(docs: DataFrame, frequent: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+def lost_lines(lines: DataFrame, frequent: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """(__id, __text, at, n_removed_words) of the documents that hold frequent lines of their host, and a bound of their bytes."""
-    line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), F.when(_has_word(x), line_hash(x)).alias("h"), F.size(native_words(x)).alias("words")))
     frequent = broadcast_if_small(frequent, 64 * frequent.count())
-    rows = docs.select("__id", "__text", "__host", F.explode(line).alias("l")).select("__id", "__text", "__host", "l.*").where("h IS NOT NULL")
-    found = rows.join(frequent, ["__host", "h"]).select("__id", "__text", "at", "words").distinct()
+    found = lines.join(frequent, ["__host", "h"]).select("__id", "__text", "at", "words").distinct()
     lost = scratch.table(found.groupBy("__id", "__text").agg(F.collect_set("at").alias("at"), F.sum("words").cast("long").alias("n_removed_words")))
     size = lost.agg(F.sum(F.size("at") * 4 + 64)).first()[0] or 0
     return lost.withColumnsRenamed({"__id": "__lost_id", "__text": "__lost_text"}), size
 
 
+def _lost(docs: DataFrame, scratch: Scratch, least_docs: int, share: float) -> tuple[DataFrame, int]:
+    lines = hashed_lines(docs, scratch)
+    lost = lost_lines(lines, frequent_lines(docs, lines, scratch, least_docs, share), scratch)
+    scratch.drop(lines)
+    return lost
+
+
 def _same(lost: DataFrame) -> Column:
     return F.col("__id").eqNullSafe(F.col("__lost_id")) & (F.col("__text") == F.col("__lost_text"))
 
@@ -95,8 +106,7 @@ def _kept(percent: int) -> Column:
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, kept_percent: int = KEPT_PERCENT) -> DataFrame:
     """One row per document: its id, the base counts, n_removed_words, base_failed, kept."""
     scratch, plain = Scratch(docs.sparkSession, "quality"), _plain(docs, id_col, text_col, host_col)
-    frequent = frequent_lines(plain, scratch, least_docs, share)
-    lost, size = lost_lines(plain, frequent, scratch)
+    lost, size = _lost(plain, scratch, least_docs, share)
     metrics = base_metrics(plain, "__id", "__text").join(broadcast_if_small(lost, size), _same(lost), "left")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return metrics.select(F.col("__id").alias(id_col), *names, F.coalesce("n_removed_words", F.lit(0)).alias("n_removed_words"), "base_failed", _kept(kept_percent).alias("kept"))
@@ -105,7 +115,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, kept_percent: int = KEPT_PERCENT) -> DataFrame:
     """The kept rows of ``docs``, frequent lines removed from their text; other columns unchanged."""
     scratch, plain = Scratch(docs.sparkSession, "quality"), _plain(docs, id_col, text_col, host_col)
-    lost, size = lost_lines(plain, frequent_lines(plain, scratch, least_docs, share), scratch)
+    lost, size = _lost(plain, scratch, least_docs, share)
     row = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).withColumn("__text", F.xxhash64("text"))
     joined = base_metrics(row.select("__row", "__id", "__text", "text"), "__row", "__id", "__text").join(broadcast_if_small(lost, size), _same(lost), "left").where(_kept(kept_percent))
     left = F.array_join(F.filter(F.split(F.col(f"__row.{text_col}"), "\n"), lambda x, i: ~F.array_contains("at", i)), "\n")

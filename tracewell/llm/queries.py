@@ -81,6 +81,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given labels are of documents; a page has the outcome of the document with its number, toxic or of low quality."""
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
     return url_filter.judged(read(spark, sf_dir, "pages").select("page_id", "url"), labels).select("page_id", "host", "path", "rule", "verdict")
 
@@ -92,7 +93,7 @@ def _level(name: str, keys: str, source: str) -> str:
 {name} AS MATERIALIZED (SELECT {keys}, s * m + bad AS a, s * (1 - m) + n - bad AS b FROM (SELECT *, 1 / (rho / (1 - rho) + 1 / k) AS s FROM {name}_in, {name}_rho))"""
 
 
-_TWO = ", ".join(f"'{x}'" for x in url_filter.TWO_LABEL_SUFFIXES)
+_TWO = ", ".join(f"'{x}'" for x in url_filter.SUFFIXES)
 _RULES = ", ".join(str(x) for x in url_filter.RULES)
 OP6_SQL = rf"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),

@@ -5,7 +5,8 @@ over the histogram from either end answer every context limit: documents and tok
 it, tokens left after truncation there, and the quantile. Sums run over blocks of lengths, each within its own window,
 on top of the sums of the blocks before; so no task sees more than a block of lengths or the list of blocks.
 
-Edge cases. Null or empty text: length 0. Repeated rows count each. Texts of any length are encoded whole. Extra
+Edge cases. Null or empty text: length 0. Repeated rows count each. Texts of any length are encoded whole, bytes that aren't UTF-8 as
+U+FFFD. Extra
 columns are ignored. An empty table gives an empty result.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -50,7 +51,7 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", path: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(path).encode_ordinary
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(encode(t.decode())) for t in text_bytes(b.column(0))], pa.int64())], names=["length"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(encode(t.decode("utf-8", "replace"))) for t in text_bytes(b.column(0))], pa.int64())], names=["length"])
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "length long")
 
@@ -61,7 +62,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def limits(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per length that occurs, taken as a context limit (between two of them the counts don't change).
+    """One row per length that occurs, taken as a context limit; ``at_limits`` answers any other.
 
     Columns: length, n_docs, docs_at_most, tokens_at_most, docs_over, tokens_over, truncated_tokens (each document cut
     at the limit), quantile (share of documents at most that long), total_tokens. ``histogram`` is read twice.
@@ -79,3 +80,26 @@ def limits(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
         "length", "n_docs", "docs_at_most", "tokens_at_most", over.alias("docs_over"), (F.col("t_all") - F.col("tokens_at_most")).alias("tokens_over"),
         (F.col("tokens_at_most") + F.col("length") * over).alias("truncated_tokens"), (F.col("docs_at_most") / F.col("d_all")).alias("quantile"), F.col("t_all").alias("total_tokens"),
     )
+
+
+def at_limits(histogram: DataFrame, asked: list[int]) -> DataFrame:
+    """One row per asked context limit, whether a document has that length or not, by one aggregation.
+
+    Columns: context_limit, docs_at_most, tokens_at_most, docs_over, tokens_over, truncated_tokens, quantile (null without documents).
+    """
+    n, tokens = F.col("n_docs"), F.col("length") * F.col("n_docs")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+    def answer(limit: int) -> Column:
+        within = F.col("length") <= limit
+        d, t, over, rest = (total(F.when(within if k < 2 else ~within, c)) for k, c in enumerate((n, tokens, n, tokens)))
+        return F.struct(F.lit(limit).cast("long").alias("context_limit"), d.alias("docs_at_most"), t.alias("tokens_at_most"), over.alias("docs_over"), rest.alias("tokens_over"), (t + limit * over).alias("truncated_tokens"), F.try_divide(d, d + over).alias("quantile"))
+
+    return histogram.agg(F.array(*map(answer, asked)).alias("a")).select(F.explode("a").alias("a")).select("a.*")
+
+
+def lengths_at(histogram: DataFrame, quantiles: list[float]) -> DataFrame:
+    """(quantile, length): the smallest length that at least that share of the documents doesn't exceed."""
+    rows = limits(histogram)
+    found = rows.agg(F.array(*(F.struct(F.lit(float(q)).alias("quantile"), F.min(F.when(F.col("quantile") >= q, F.col("length"))).alias("length")) for q in quantiles)).alias("a"))
+    return found.select(F.explode("a").alias("a")).select("a.*")
