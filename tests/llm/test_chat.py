@@ -62,4 +62,6 @@ def test_edge_cases(spark):
     assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars, got[1].loss_sha256) == expected([("user", "a"), ("assistant", "b"), ("assistant", "")])
     assert got[2].turns_sha256 == expected([("tool: x<y", rows[3][3]), ("", "n"), ("", "n")])[1] and got[2].loss_chars == 0
     assert got[None].n_turns == 1 and got[3].loss_chars == 250_000
+    lone = spark.createDataFrame([(None, 1, "user", "a")] * 3, "conv_id long, turn int, role string, text string")
+    assert [r.n_turns for r in chat.read_back(chat.formatted(lone)).collect()] == [1, 1, 1]
     assert chat.read_back(chat.formatted(turns.limit(0))).count() == 0

@@ -15,7 +15,7 @@ are groups, and rendering one needs its turns together. The filter ``escape`` is
 ``<`` of a text become ``\\``, ``\h`` and ``\l``, so no control string can occur inside an escaped text.
 
 Edge cases. Null text: empty. Null role: ''. A conversation without an assistant turn has no generation. Repeated rows
-are repeated turns. Null turns come first; rows of a null conversation id are one conversation. Extra columns are
+are repeated turns. Null turns come first; rows without conversation id are each one of their own. Extra columns are
 ignored. An empty table gives an empty result.
 """
 
@@ -394,9 +394,14 @@ def compile_template(source: str) -> Callable[..., tuple[str, list[tuple[int, in
 
 
 def formatted(turns: DataFrame, template: str = TEMPLATE, id_col: str = "conv_id") -> DataFrame:
-    """(conv_id, text, spans) of each conversation; spans: start and end of each generation, in code points."""
+    """(conv_id, text, spans) of each conversation; spans: start and end of each generation, in code points.
+
+    A conversation is rendered as one text and so meets in one task; rows without conv_id, which may be many, are each a
+    conversation of their own.
+    """
     one = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    grouped = turns.select(F.col(id_col).cast("long").alias("conv_id"), one.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    rows = turns.select(F.col(id_col).cast("long").alias("conv_id"), one.alias("t"), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("alone"))
+    grouped = rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t")).alias("turns")).drop("alone")
     compile_template(template)  # a bad template fails here
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
