@@ -21,7 +21,7 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Texts that are Python objects at a time, of the rows of an Arrow batch.
 TEXTS_AT_ONCE = 256
 #: Rows and bytes of the Arrow batches that tasks exchange with Python while a scratch table is written.
-ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 _made: list[list[Scratch]] = []
 
@@ -40,18 +40,26 @@ class Scratch:
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        path, conf = f"{self.base}/t{self.n}", self.spark.conf
+        path = f"{self.base}/t{self.n}"
+        with self._small_batches():
+            df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        back._scratch_path = path
+        return back
+
+    @contextmanager
+    def _small_batches(self) -> Iterator[None]:
+        """Lowers the session's Arrow batches to ARROW_BATCH; smaller ones stay, and all come back afterwards."""
+        conf, size = self.spark.conf, self.spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
         before = {k: conf.get(k) for k in ARROW_BATCH}
-        for k, v in ARROW_BATCH.items():
-            conf.set(k, str(min(int(v), int(before[k].rstrip("b")))))
         try:
-            df.write.parquet(path)
+            for k, v in before.items():
+                if not 0 < size(v) <= ARROW_BATCH[k]:
+                    conf.set(k, str(ARROW_BATCH[k]))
+            yield
         finally:
             for k, v in before.items():
                 conf.set(k, v)
-        back = self.spark.read.schema(df.schema).parquet(path)
-        back._scratch_path = path
-        return back
 
     def _delete(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
