@@ -23,17 +23,18 @@ class SnapshotTombstonedError(TrailError):
     """The version was erased; it isn't read, not even in part."""
 
 
-def content_digest(rows: DataFrame, digest: Column, prefix: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+def content_digest(rows: DataFrame, digest: Column, prefixes: tuple[int, ...] = (6, 3), keys: tuple[str, ...] = ()) -> DataFrame:
     """One digest (per ``keys``) of a set of row digests, whatever their order.
 
-    Two levels: digests are grouped by their first hex digits, each group sorted and digested, then the groups. No list
-    is longer than a group; with ``prefix`` 3 there are 4,096, and a digit more divides them by 16.
+    A tree: digests are grouped by their first 6 hex digits, each group sorted and digested, the groups by their first 3,
+    and these 4,096 at the top. A list holds a 16-millionth of the rows, or 4,096 digests.
     """
-    d = rows.select(*keys, digest.alias("d")).withColumn("g", F.substring("d", 1, prefix))
-    join = lambda c: identity.sha256(F.concat_ws("\n", F.sort_array(F.collect_list(c))))
-    groups = d.groupBy(*keys, "g").agg(join("d").alias("digest"), F.count("*").alias("n"))
-    top = identity.sha256(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("g", "digest"))), lambda x: F.concat_ws(":", x.g, x.digest))))
-    return groups.groupBy(*keys).agg(top.alias("content_digest"), F.sum("n").alias("row_count"))
+    d = rows.select(*keys, digest.alias("d"))
+    groups = d.groupBy(*keys, F.substring("d", 1, prefixes[0]).alias("g")).agg(identity.sha256(F.concat_ws("\n", F.sort_array(F.collect_list("d")))).alias("digest"), F.count("*").alias("n"))
+    joined = identity.sha256(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("g", "digest"))), lambda x: F.concat_ws(":", x.g, x.digest))))
+    for p in prefixes[1:]:
+        groups = groups.groupBy(*keys, F.substring("g", 1, p).alias("parent")).agg(joined.alias("digest"), F.sum("n").alias("n")).withColumnRenamed("parent", "g")
+    return groups.groupBy(*keys).agg(joined.alias("content_digest"), F.sum("n").alias("row_count"))
 
 
 def flat_digest(rows: DataFrame, digest: Column, keys: tuple[str, ...] = ()) -> DataFrame:

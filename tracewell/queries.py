@@ -151,8 +151,9 @@ def version_summary(spark, sf_dir):
 
 VERSION_SUMMARY = f"""
 WITH r AS (SELECT year(o_orderdate) AS version, o_orderdate, sha256({_ORDER_JSON}) AS d FROM orders),
-g AS (SELECT version, substr(d, 1, 3) AS g, sha256(string_agg(d, chr(10) ORDER BY d)) AS digest, count(*) AS n, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM r GROUP BY ALL)
-SELECT version, sha256(string_agg(g || ':' || digest, chr(10) ORDER BY g)) AS content_digest, sum(n) AS row_count, strftime(min(lo), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(hi), '%Y-%m-%d %H:%M:%S') AS last FROM g GROUP BY 1
+g6 AS (SELECT version, substr(d, 1, 6) AS g, sha256(string_agg(d, chr(10) ORDER BY d)) AS digest, count(*) AS n, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM r GROUP BY ALL),
+g AS (SELECT version, substr(g, 1, 3) AS p, sha256(string_agg(g || ':' || digest, chr(10) ORDER BY g)) AS digest, sum(n) AS n, min(lo) AS lo, max(hi) AS hi FROM g6 GROUP BY ALL)
+SELECT version, sha256(string_agg(p || ':' || digest, chr(10) ORDER BY p)) AS content_digest, sum(n) AS row_count, strftime(min(lo), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(hi), '%Y-%m-%d %H:%M:%S') AS last FROM g GROUP BY 1
 """
 
 
@@ -164,13 +165,14 @@ ROW_DIGESTS = f"SELECT o_orderkey, sha256({_ORDER_JSON}) AS digest FROM orders"
 
 
 def flat_digest(spark, sf_dir):
-    """The digest of each nation's customers; two-level, since a nation's list grows with the table."""
+    """The digest of each nation's customers; as a tree, since a nation's list grows with the table."""
     return versions.content_digest(_read(spark, sf_dir, "customer"), identity.row_digest("c_custkey", "c_mktsegment"), keys=("c_nationkey",))
 
 
 FLAT_DIGEST = """WITH r AS (SELECT c_nationkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}') AS d FROM customer),
-g AS (SELECT c_nationkey, substr(d, 1, 3) AS g, sha256(string_agg(d, chr(10) ORDER BY d)) AS digest, count(*) AS n FROM r GROUP BY ALL)
-SELECT c_nationkey, sha256(string_agg(g || ':' || digest, chr(10) ORDER BY g)) AS content_digest, sum(n)::BIGINT AS row_count FROM g GROUP BY 1"""
+g6 AS (SELECT c_nationkey, substr(d, 1, 6) AS g, sha256(string_agg(d, chr(10) ORDER BY d)) AS digest, count(*) AS n FROM r GROUP BY ALL),
+g AS (SELECT c_nationkey, substr(g, 1, 3) AS p, sha256(string_agg(g || ':' || digest, chr(10) ORDER BY g)) AS digest, sum(n) AS n FROM g6 GROUP BY ALL)
+SELECT c_nationkey, sha256(string_agg(p || ':' || digest, chr(10) ORDER BY p)) AS content_digest, sum(n)::BIGINT AS row_count FROM g GROUP BY 1"""
 
 
 def current_state(spark, sf_dir):
