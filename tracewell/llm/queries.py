@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat, langid, media, mixing, near_dup, packing, quality, substring_dup, token_counts, url_filter
+from tracewell.llm import chat, langid, media, mixing, near_dup, packing, quality, sharding, substring_dup, token_counts, url_filter
 from tracewell.llm.shared import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -176,10 +176,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(Scratch(spark, "packing").table(packing.digests(pieces)))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.interleaved(sharding.digests(read(spark, sf_dir, "documents")))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+_CRC32 = """crc_steps AS (SELECT i, 0 AS k, i AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8)"""
+_CRC32_OF_TEXT = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+_FRACTION = "('0x' || substr({0}, 1, 13))::BIGINT / " + str(float(2**52))
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC32},
+d AS (SELECT doc_id, source, text, octet_length(encode(text)) + 1 AS size, md5('{sharding.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(text)) AS key FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id, size) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n, {_FRACTION.format(f"md5('{sharding.SEED}:' || coalesce('=' || source, ''))")} AS u FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (rank + u) / n, source NULLS FIRST, rank) - 1 AS place, count(*) OVER () AS total FROM r),
+s AS (SELECT *, place * {sharding.SHARDS} // total AS shard FROM p)
+SELECT doc_id, size, {_CRC32_OF_TEXT} AS text_crc32, 'rows' AS law, shard::INT AS shard, place - (shard * total + {sharding.SHARDS - 1}) // {sharding.SHARDS} AS slot, NULL::INT AS grown_shard, source FROM s, crc
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_near_dup, op2_tiff, op3_language_id, op4_line_quality, op5_chat, op6_url_filter, op7_mixing, op8_token_counts, op9_substring_dup, op10_packing)
+    made = (op1_near_dup, op2_tiff, op3_language_id, op4_line_quality, op5_chat, op6_url_filter, op7_mixing, op8_token_counts, op9_substring_dup, op10_packing, op11_sharding)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dup": OP1_SQL, "op4_line_quality": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_mixing": OP7_SQL, "op9_substring_dup": OP9_SQL}
+    return {"op1_near_dup": OP1_SQL, "op4_line_quality": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_mixing": OP7_SQL, "op9_substring_dup": OP9_SQL, "op11_sharding": OP11_SQL}
