@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat, langid, media, mixing, near_dup, packing, quality, sharding, substring_dup, token_counts, url_filter
+from tracewell.llm import chat, langid, media, mixing, near_dup, packing, quality, sharding, substring_dup, token_counts, url_filter, vector_codes
 from tracewell.llm.shared import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -195,10 +195,41 @@ SELECT doc_id, size, {_CRC32_OF_TEXT} AS text_crc32, 'rows' AS law, shard::INT A
 """
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, codebooks = vector_codes.compressed(read(spark, sf_dir, "embeddings"))
+    out = vector_codes.with_label_error(codes).withColumnRenamed("id", "vec_id")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_digest(codebooks)).alias("codebooks_sha256"))
+
+
+def _lloyd_sql() -> str:
+    def assigned(name: str, book: str) -> str:
+        distance = "list_sum(list_transform(list_zip(c.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        return f"{name} AS MATERIALIZED (SELECT vec_id, part, any_value(label) AS label, any_value(v) AS v, min(struct_pack(d, entry)) AS best FROM (SELECT c.vec_id, c.part, c.label, c.v, e.entry, {distance} AS d FROM cut c JOIN {book} e USING (part)) GROUP BY vec_id, part)"
+
+    steps = []
+    for i in range(vector_codes.ROUNDS):
+        steps.append(assigned(f"a{i}", f"b{i}"))
+        steps.append(f"m{i} AS (SELECT part, entry, list(x ORDER BY k) AS v FROM (SELECT part, best.entry AS entry, k, CAST(floor(sum(v[k]) / count(*)::DOUBLE) AS BIGINT) AS x FROM a{i}, range(1, {1 + 64 // vector_codes.PARTS}) t(k) GROUP BY ALL) GROUP BY ALL)")
+        steps.append(f"b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN m{i} m USING (part, entry))")
+    return ",\n".join([*steps, assigned("final", f"b{vector_codes.ROUNDS}")])
+
+
+OP12_SQL = f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * x::DOUBLE) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT max(len(v)) // {vector_codes.PARTS} AS w FROM k),
+cut AS MATERIALIZED (SELECT vec_id, label, part, v[part * w + 1:(part + 1) * w] AS v FROM k, w, range({vector_codes.PARTS}) t(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM cut QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {vector_codes.ENTRIES}),
+{_lloyd_sql()},
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{vector_codes.ROUNDS}),
+e AS (SELECT vec_id, any_value(label) AS label, string_agg(lower(printf('%02x', best.entry)), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM final GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e, h
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_near_dup, op2_tiff, op3_language_id, op4_line_quality, op5_chat, op6_url_filter, op7_mixing, op8_token_counts, op9_substring_dup, op10_packing, op11_sharding)
+    made = (op1_near_dup, op2_tiff, op3_language_id, op4_line_quality, op5_chat, op6_url_filter, op7_mixing, op8_token_counts, op9_substring_dup, op10_packing, op11_sharding, op12_vector_codes)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dup": OP1_SQL, "op4_line_quality": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_mixing": OP7_SQL, "op9_substring_dup": OP9_SQL, "op11_sharding": OP11_SQL}
+    return {"op1_near_dup": OP1_SQL, "op4_line_quality": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_mixing": OP7_SQL, "op9_substring_dup": OP9_SQL, "op11_sharding": OP11_SQL, "op12_vector_codes": OP12_SQL}
