@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat, langid, media, mixing, near_dup, packing, quality, sharding, substring_dup, token_counts, url_filter, vector_codes
+from tracewell.llm import alignment, chat, langid, media, mixing, near_dup, packing, quality, sharding, substring_dup, token_counts, url_filter, vector_codes
 from tracewell.llm.shared import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -226,8 +226,12 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_aligned(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_near_dup, op2_tiff, op3_language_id, op4_line_quality, op5_chat, op6_url_filter, op7_mixing, op8_token_counts, op9_substring_dup, op10_packing, op11_sharding, op12_vector_codes)
+    made = (op1_near_dup, op2_tiff, op3_language_id, op4_line_quality, op5_chat, op6_url_filter, op7_mixing, op8_token_counts, op9_substring_dup, op10_packing, op11_sharding, op12_vector_codes, op13_alignment)
     return {f.__name__: f for f in made}
 
 
