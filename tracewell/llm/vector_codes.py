@@ -39,6 +39,8 @@ from tracewell.llm.shared import Scratch, broadcast_if_small
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Rows of a block, and parts of a leaf of its trees, or so.
 BLOCK_ROWS, LEAF = 8192, 16
+#: Pairs of parts and entries that are compared at a time.
+PAIRS_AT_ONCE = 200_000
 
 
 def usable(vector: Column) -> Column:
@@ -134,18 +136,34 @@ def nearest(tree: Tree, codebooks: np.ndarray) -> Iterator[tuple[np.ndarray, ...
             take = np.repeat(np.repeat(first, a) - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
             half = np.repeat(np.arange(len(runs)) % a, runs)
             pos, node, entry = np.repeat(pos[take], b), np.repeat(node[take] * a + half, b), (entry[take][:, None] * b + np.arange(b)).ravel()
-    # leaves with several entries left: each point against each of them
-    d = tree.depth
-    start, size = tree.bounds[d][node], np.diff(tree.bounds[d])[node]
-    point = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-    pair_pos, pair_entry = np.repeat(pos, size), np.repeat(books.order[pos, entry], size)
-    gap = tree.x[pair_pos, point] - codebooks[pair_pos, pair_entry]
-    distance = (gap * gap).sum(1)
-    n = tree.x.shape[1]
-    best = np.lexsort((pair_entry, distance, pair_pos * n + point))
-    key = (pair_pos * n + point)[best]
-    best = best[np.r_[True, key[1:] != key[:-1]]]
-    yield pair_pos[best], point[best], point[best] + 1, pair_entry[best]
+    # leaves with several entries left: each point against each of them, in the order of their indexes
+    d, entry = tree.depth, books.order[pos, entry]
+    order = np.lexsort((entry, node, pos))
+    pos, node, entry = pos[order], node[order], entry[order]
+    first = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1]) | (node[1:] != node[:-1])])
+    runs = np.diff(np.r_[first, len(pos)])
+    size = np.diff(tree.bounds[d])[node[first]]
+    for s, e in _slices(runs * size, PAIRS_AT_ONCE):
+        n, r, p = size[s:e], np.repeat(runs[s:e], size[s:e]), np.repeat(pos[first[s:e]], size[s:e])
+        point = np.repeat(tree.bounds[d][node[first[s:e]]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at = np.cumsum(r) - r  # a point's pairs
+        own = np.repeat(np.repeat(first[s:e], n) - at, r) + np.arange(r.sum())
+        found = entry[own]
+        distance = np.zeros(len(own), np.int64)
+        for k in range(tree.x.shape[2]):
+            gap = np.repeat(tree.x[p, point, k], r) - codebooks[pos[own], found, k]
+            distance += gap * gap
+        least = np.flatnonzero(distance == np.repeat(np.minimum.reduceat(distance, at), r))
+        whose = np.repeat(np.arange(len(r)), r)[least]
+        least = least[np.r_[True, whose[1:] != whose[:-1]]]  # the first of equals has the lowest index
+        yield p, point, point + 1, found[least]
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of items whose sizes add up to ``most`` or so."""
+    part = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(sizes)]
+    yield from zip(cuts[:-1], cuts[1:])
 
 
 def _split(v: np.ndarray, parts: int) -> np.ndarray:
