@@ -109,3 +109,17 @@ def test_other_limits(spark, percent):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:80]))], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, similarity=percent / 100).collect()}
     assert got == {1: 1, 2: 1 if percent == 50 else 2}
+
+
+def test_one_of_each_tells_rows_apart(spark):
+    """A repeated id takes no unrelated text with it, and equal rows are one."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (7, text("c")), (5, text("b")), (None, text("c")), (None, text("d")), (None, None), (9, text("b")), (9, text("e")), (9, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __number string")
+    out = near_dup.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(t[:1] for _, t in got if t) == ["a", "b", "c", "d", "e"] and [t for i, t in got if i == 1] == [text("a")] and (7, text("c")) in got
+    assert sorted(i or 0 for i, t in got if t is None) == [0, 9]
+    unique = docs.where("doc_id IN (1, 7)")
+    assert near_dup.one_of_each(unique).count() == 2 and near_dup.one_of_each(docs.limit(0)).count() == 0

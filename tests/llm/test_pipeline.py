@@ -20,7 +20,7 @@ def plain_quality(rows):
         for x in (r["text"] or "").split("\n"):
             if x.encode().split():
                 holders.setdefault((r["source"], norm(x)), set()).add(r["text"])
-    often = {k for k, v in holders.items() if len(v) > quality.LEAST_DOCS and len(v) > quality.SHARE * len(texts[k[0]])}
+    often = {k for k, v in holders.items() if len(v) > quality.LEAST_DOCS and len(v) ** 2 > quality.SPREAD * len(texts[k[0]] - {None})}
     out = []
     for r in rows:
         n, _, _, _, repeated = test_quality.brute(r["text"])
@@ -58,22 +58,24 @@ def plain_mixture(rows):
         c = cell_of(r)
         cells[tuple(c.values())] = c
         tokens[tuple(c.values())] = tokens.get(tuple(c.values()), 0) + len(r["text"].encode().split())
-    weight, margins = dict.fromkeys(cells, 1.0), {}
+    weight, goals = dict.fromkeys(cells, 1.0), {}
     for d, power in mixing.TEMPER.items():
         sums = {}
         for k, c in cells.items():
             sums[c[d]] = sums.get(c[d], 0) + tokens[k]
-        total = sum(v**power for v in sums.values())
-        margins[d] = {v: n**power / total for v, n in sums.items()}
-    for _ in range(mixing.SWEEPS):
+        left, goal, free = mixing.KEEP * sum(sums.values()), {}, sum(n**power for n in sums.values())
+        for v, n in sorted(sums.items(), key=lambda x: x[1]):  # the smallest first, since their share of themselves is largest
+            goal[v] = min(n, left * n**power / free)
+            left, free = left - goal[v], free - n**power
+        goals[d] = goal
+    for _ in range(400):
         for d in mixing.TEMPER:
             held = {}
             for k, c in cells.items():
                 held[c[d]] = held.get(c[d], 0) + tokens[k] * weight[k]
-            weight = {k: w * margins[d][cells[k][d]] / held[cells[k][d]] for k, w in weight.items()}
-    most = max(weight.values())
+            weight = {k: min(1.0, w * goals[d][cells[k][d]] / held[cells[k][d]]) if held[cells[k][d]] else w for k, w in weight.items()}
     u = lambda r: int(hashlib.md5(f"{mixing.SEED}:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
-    return [r for r in rows if u(r) < weight[tuple(cell_of(r).values())] / most]
+    return [r for r in rows if u(r) < weight[tuple(cell_of(r).values())]]
 
 
 def test_against_brute_force(spark, tmp_path):

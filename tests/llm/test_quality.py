@@ -36,7 +36,7 @@ def hosts(spark):
     own = lambda d: " ".join(f"w{d}x{i}" for i in range(60))
     rows = [(d, f"Common  LINE\n{own(d)}", "a") for d in range(30)] + [(d, f"common line\n{own(d)}", "b") for d in range(30, 40)]
     rows += [(40, "common line\n" * 80 + own(40), "a"), (41, own(41), None), (42, None, None)]
-    rows += [(d, "copy\n" + own(50), "c") for d in range(50, 90)]  # exact copies are one text
+    rows += [(d, "copy\n" + own(50), "c") for d in range(50, 90)]  # exact copies
     return spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, at int")
 
 
@@ -46,11 +46,13 @@ def test_frequent_lines_by_host(hosts):
     assert all(got[d].n_removed_words == 0 and got[d].kept for d in range(30, 40))
     assert got[40].n_removed_words == 160 and got[40].base_failed and not got[40].kept  # it repeats itself as well
     assert got[41].kept and not got[42].kept
-    assert all(got[d].kept and got[d].n_removed_words == 0 for d in range(50, 90))
+    assert all(not got[d].kept and got[d].n_removed_words == 61 for d in range(50, 90))  # every line is in 40 documents
+    texts = {r.doc_id: r for r in quality.verdicts(hosts, per="texts").collect()}  # but in one text
+    assert all(texts[d].kept and texts[d].n_removed_words == 0 for d in range(50, 90)) and texts[3].n_removed_words == 2
 
 
 def test_clean(hosts):
-    out = quality.clean(hosts)
+    out = quality.clean(hosts, per="texts")
     assert out.columns == hosts.columns
     got = {r.doc_id: r.text for r in out.collect()}
     assert got[3].startswith("w3x0") and got[33].startswith("common line") and 42 not in got and got[60].startswith("copy")
@@ -77,16 +79,29 @@ def test_large_host(spark):
     assert {r.text[:3] for r in quality.clean(docs).where("doc_id IN (25, 75)").collect()} == {"w0x"}
 
 
+def test_large_hosts_have_the_rule_of_the_sql(spark, tmp_path):
+    """Hosts of 1,200 and 40 documents with lines on both sides of both limits, copies and null texts among them."""
+    own = F.concat_ws(" ", *(F.concat(F.lit(f"w{i}x"), F.col("doc_id")) for i in range(55)))
+    line = lambda n, x: F.when(F.col("doc_id") % n == 0, F.lit(x + "\n")).otherwise(F.lit(""))
+    text = F.concat(line(21, "In  57"), line(22, "in 54"), line(100, "in 12"), F.when(F.col("doc_id") % 7 == 0, F.lit("copied text " * 3)).otherwise(own))
+    docs = spark.range(1240).withColumnRenamed("id", "doc_id").select("doc_id", F.when(F.col("doc_id") % 300 != 1, text).alias("text"), F.when(F.col("doc_id") < 1200, "big").otherwise("small").alias("source"))
+    (tmp_path / "sf").mkdir()
+    docs.coalesce(1).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    same(queries.op4_line_quality(spark, str(tmp_path / "sf")), queries.OP4_SQL, str(tmp_path / "sf"))
+    got = quality.verdicts(docs).agg(F.sum("n_removed_words").alias("n")).first()
+    assert got.n > 2 * 57
+
+
 def test_null_text_is_no_text_of_its_host(spark):
     docs = spark.createDataFrame([(1, "x", "s"), (2, None, "s")], "doc_id long, text string, source string")
-    assert {r.doc_id: r.n_removed_words for r in quality.verdicts(docs, least_docs=0, share=0.5).collect()} == {1: 1, 2: 0}
+    assert {r.doc_id: r.n_removed_words for r in quality.verdicts(docs, least_docs=0, spread=0.5).collect()} == {1: 1, 2: 0}
 
 
 def test_empty_table_and_repeated_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert quality.verdicts(docs).count() == 0 and quality.clean(docs).count() == 0
     twice = spark.createDataFrame([(1, "x\nq", "s")] * 2 + [(None, "x", "s")], "doc_id long, text string, source string")
-    got = quality.verdicts(twice, least_docs=0, share=0.0).collect()
+    got = quality.verdicts(twice, least_docs=0, spread=0.0).collect()
     assert sorted((r.doc_id or 0, r.n_removed_words) for r in got) == [(0, 1), (1, 2), (1, 2)]
 
 

@@ -336,3 +336,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result = scratch.table(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
     scratch.drop(sketch, classes, firsts, members)
     return result
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the smallest id.
+
+    Here rows are told apart by id and text, so an id with several texts, or none, doesn't take unrelated texts with it:
+    of a repeated id the row with the least hash goes by the id, the others by numbers above all ids. Equal rows are one.
+    """
+    scratch, taken = Scratch(docs.sparkSession, "one-of-each"), "__number" + "_" * sum(c.startswith("__number") for c in docs.columns)
+    first = taken + "_first"
+    own, text = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    repeated = scratch.table(docs.groupBy(own.alias(taken)).agg(F.min(text).alias(first), F.count("*").alias("n")).where(f"n > 1 OR `{taken}` IS NULL").drop("n"))
+    n = repeated.count()
+    if n:
+        above = docs.agg(F.max(own)).first()[0] or 0
+        other = F.lit(above + 1) + F.pmod(F.xxhash64(own, F.col(text_col).cast("string")), F.lit(1 << 61))
+        joined = docs.join(broadcast_if_small(repeated, 32 * n), own.eqNullSafe(F.col(taken)), "left").drop(taken)
+        number = F.when(F.col(first).isNull(), own).when(own.isNotNull() & (text == F.col(first)), own).otherwise(other)
+        joined = scratch.table(joined.withColumn(taken, number))
+        docs = joined.where(F.col(first).isNull()).union(joined.where(F.col(first).isNotNull()).dropDuplicates([taken])).drop(first)
+    else:
+        docs = docs.withColumn(taken, own)
+    gone = near_duplicates(docs, taken, text_col).where("NOT kept").select(F.col("doc_id").alias(taken))
+    return docs.join(broadcast_if_small(gone, 16 * gone.count()), taken, "left_anti").drop(taken)

@@ -5,13 +5,16 @@ text are packed as hash and position into longs, sorted as primitives, and compa
 n words costs n log n and no shuffle.
 
 Lines are normalised (lower case, inner white space as one space, trimmed) and hashed to 64 bits. For each host the
-documents that hold a line are counted as distinct texts, so exact copies count once (else every line of a much copied
-text would be frequent, and all its copies would go before operator 1 could keep one): the pairs (line, text) are
-aggregated before the shuffle and dealt by line and text, then counted by line, and no line gathers in one task. A line
-is frequent in its host if more than ``least_docs`` texts and more than ``share`` of the host's texts hold it; beyond
-``SHARE_TEXTS`` texts the second limit grows with their square root only, since a template belongs to a part of a host
-that doesn't grow with the whole, while chance repeats of short lines still do. Frequent lines are removed, and a
-document that keeps less than ``kept_percent`` of its words is rejected as depleted.
+distinct documents that hold a line are counted: the pairs (line, document) are aggregated before the shuffle and dealt
+by line and document, then counted by line, and no line gathers in one task. A line is frequent in its host if more than
+``least_docs`` documents hold it, and the square of their number exceeds ``spread`` times the host's documents: a
+template belongs to a part of a host that doesn't grow with the whole, while chance repeats of short lines do, by their
+root. One rule holds at every size (20 documents of 160, 50 of 1,000, 223 of 20,000, 3,162 of 4 million). Frequent lines
+are removed, and a document that keeps less than ``kept_percent`` of its words is rejected as depleted.
+
+Copies are documents: every line of a text that is copied often enough is frequent, and all its copies are depleted.
+Where copies are to be told apart later (as in the pipeline, where operator 1 keeps one of them), ``per="texts"`` weighs
+each document by one over the number of its copies in the host: distinct texts are counted.
 
 Edge cases. Null text: no words, fails the base rules, no text of its host. Null host: the host ''. White-space lines are never counted or
 removed. Ties don't occur (limits are strict counts). Repeated rows get the same result, once each. Extra columns are
@@ -27,9 +30,9 @@ from tracewell.llm.shared import ASCII_SPACE, Scratch, broadcast_if_small, nativ
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-LEAST_DOCS, SHARE, KEPT_PERCENT = 20, 0.05, 50
-#: Up to so many texts of a host the share limit is in proportion to them.
-SHARE_TEXTS = 1000
+LEAST_DOCS, SPREAD, KEPT_PERCENT = 20, 2.5, 50
+#: What a line's holders are counted by.
+PER = {"documents": ("__id", "__text"), "texts": ("__text",)}
 
 
 def _has_word(line: Column) -> Column:
@@ -71,12 +74,12 @@ def hashed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(docs.select("__id", "__text", "__host", F.explode(line).alias("l")).select("__id", "__text", "__host", "l.*").where("h IS NOT NULL"))
 
 
-def frequent_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
+def frequent_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS, spread: float = SPREAD, per: str = "documents") -> DataFrame:
     """(__host, h) of the lines above the limits. ``docs``: __id, __host, text, __text."""
-    counts = lines.groupBy("__host", "h").agg(F.countDistinct("__text").alias("n"))
-    hosts = docs.groupBy("__host").agg(F.countDistinct(F.when(F.col("text").isNotNull(), F.col("__text"))).alias("texts"))
-    counted = F.when(F.col("texts") > SHARE_TEXTS, F.sqrt(F.lit(float(SHARE_TEXTS)) * F.col("texts"))).otherwise(F.col("texts"))
-    return scratch.table(counts.where(F.col("n") > least_docs).join(hosts, "__host").where(F.col("n") > F.lit(share) * counted).select("__host", "h"))
+    holder = F.struct(*PER[per])
+    counts = lines.groupBy("__host", "h").agg(F.countDistinct(holder).alias("n"))
+    hosts = docs.where("text IS NOT NULL").groupBy("__host").agg(F.countDistinct(holder).alias("docs"))
+    return scratch.table(counts.where(F.col("n") > least_docs).join(hosts, "__host").where(F.col("n").cast("double") * F.col("n") > F.lit(spread) * F.col("docs")).select("__host", "h"))
 
 
 def lost_lines(lines: DataFrame, frequent: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -88,9 +91,9 @@ def lost_lines(lines: DataFrame, frequent: DataFrame, scratch: Scratch) -> tuple
     return lost.withColumnsRenamed({"__id": "__lost_id", "__text": "__lost_text"}), size
 
 
-def _lost(docs: DataFrame, scratch: Scratch, least_docs: int, share: float) -> tuple[DataFrame, int]:
+def _lost(docs: DataFrame, scratch: Scratch, least_docs: int, spread: float, per: str) -> tuple[DataFrame, int]:
     lines = hashed_lines(docs, scratch)
-    lost = lost_lines(lines, frequent_lines(docs, lines, scratch, least_docs, share), scratch)
+    lost = lost_lines(lines, frequent_lines(docs, lines, scratch, least_docs, spread, per), scratch)
     scratch.drop(lines)
     return lost
 
@@ -103,19 +106,19 @@ def _kept(percent: int) -> Column:
     return ~F.col("base_failed") & (100 * (F.col("n_words") - F.coalesce("n_removed_words", F.lit(0))) >= percent * F.col("n_words"))
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, kept_percent: int = KEPT_PERCENT) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, spread: float = SPREAD, kept_percent: int = KEPT_PERCENT, per: str = "documents") -> DataFrame:
     """One row per document: its id, the base counts, n_removed_words, base_failed, kept."""
     scratch, plain = Scratch(docs.sparkSession, "quality"), _plain(docs, id_col, text_col, host_col)
-    lost, size = _lost(plain, scratch, least_docs, share)
+    lost, size = _lost(plain, scratch, least_docs, spread, per)
     metrics = base_metrics(plain, "__id", "__text").join(broadcast_if_small(lost, size), _same(lost), "left")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return metrics.select(F.col("__id").alias(id_col), *names, F.coalesce("n_removed_words", F.lit(0)).alias("n_removed_words"), "base_failed", _kept(kept_percent).alias("kept"))
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, kept_percent: int = KEPT_PERCENT) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, spread: float = SPREAD, kept_percent: int = KEPT_PERCENT, per: str = "documents") -> DataFrame:
     """The kept rows of ``docs``, frequent lines removed from their text; other columns unchanged."""
     scratch, plain = Scratch(docs.sparkSession, "quality"), _plain(docs, id_col, text_col, host_col)
-    lost, size = _lost(plain, scratch, least_docs, share)
+    lost, size = _lost(plain, scratch, least_docs, spread, per)
     row = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).withColumn("__text", F.xxhash64("text"))
     joined = base_metrics(row.select("__row", "__id", "__text", "text"), "__row", "__id", "__text").join(broadcast_if_small(lost, size), _same(lost), "left").where(_kept(kept_percent))
     left = F.array_join(F.filter(F.split(F.col(f"__row.{text_col}"), "\n"), lambda x, i: ~F.array_contains("at", i)), "\n")

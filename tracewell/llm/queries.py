@@ -63,10 +63,10 @@ w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]
 t AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1), range(0, 3) k(k) GROUP BY doc_id),
 m AS (SELECT doc_id, len(w) AS n_words, length(bare) AS word_chars, length(regexp_replace(bare, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM w),
-l AS (SELECT doc_id, host, md5(text) AS id, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+l AS (SELECT doc_id, host, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
   FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-h AS (SELECT host, count(DISTINCT md5(raw)) AS texts FROM d GROUP BY host),
-f AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT id) AS n FROM l GROUP BY ALL) JOIN h USING (host) WHERE n > {quality.LEAST_DOCS} AND n > CAST({quality.SHARE} AS DOUBLE) * texts),
+h AS (SELECT host, count(DISTINCT doc_id) AS docs FROM d WHERE raw IS NOT NULL GROUP BY host),
+f AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT doc_id) AS n FROM l GROUP BY ALL) JOIN h USING (host) WHERE n > {quality.LEAST_DOCS} AND n * n > {quality.SPREAD} * docs),
 g AS (SELECT doc_id, sum(words)::BIGINT AS n FROM l JOIN f USING (host, line) GROUP BY doc_id),
 b AS (SELECT m.*, coalesce(r.n, 0) AS n_repeat_words, coalesce(g.n, 0) AS n_removed_words, n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words AS base_failed FROM m LEFT JOIN r USING (doc_id) LEFT JOIN g USING (doc_id))
 SELECT *, NOT base_failed AND 100 * (n_words - n_removed_words) >= {quality.KEPT_PERCENT} * n_words AS kept FROM b
@@ -120,17 +120,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("probability", F.round("probability", 9))
 
 
-def _raking_sql() -> str:
+def _raking_sql(sweeps: int = 24) -> str:
+    """Goals by filling the smallest values first, then as many sweeps as any of the given tables needs to settle."""
     steps, now = [], "c0"
     for d, power in mixing.TEMPER.items():
-        steps.append(f"t_{d} AS MATERIALIZED (SELECT {d}, t / sum(t) OVER () AS target FROM (SELECT {d}, pow(sum(tokens)::DOUBLE, {power}) AS t FROM cells GROUP BY {d}))")
-    steps.append("c0 AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS weight FROM cells)")
-    for i in range(mixing.SWEEPS):
+        steps.append(f"""h_{d} AS (SELECT {d}, sum(tokens)::DOUBLE AS has, pow(sum(tokens)::DOUBLE, {power}) AS t FROM cells GROUP BY {d}),
+k_{d} AS (SELECT *, ({mixing.KEEP} * sum(has) OVER () - (sum(has) OVER (ORDER BY has, {d}) - has)) / nullif(sum(t) OVER (ORDER BY has DESC, {d} DESC), 0) AS scale FROM h_{d}),
+g_{d} AS MATERIALIZED (SELECT {d}, least(has, t * (SELECT min_by(scale, has) FROM k_{d} WHERE scale * t < has)) AS goal_{d} FROM k_{d})""")
+    joins = " ".join(f"JOIN g_{d} USING ({d})" for d in mixing.TEMPER)
+    steps.append(f"c0 AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS weight FROM cells {joins})")
+    for i in range(sweeps):
         for d in mixing.TEMPER:
             then = f"c{i}_{d}"
-            steps.append(f"{then} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, tokens, CASE WHEN held > 0 THEN weight * target / held ELSE weight END AS weight FROM {now} c JOIN (SELECT {d}, sum(tokens * weight) AS held FROM {now} GROUP BY {d}) USING ({d}) JOIN t_{d} USING ({d}))")
+            steps.append(f"{then} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN held > 0 THEN least(1.0, weight * goal_{d} / held) ELSE weight END AS weight) FROM (SELECT * EXCLUDE (held), sum(tokens * weight) OVER (PARTITION BY {d}) AS held FROM (SELECT *, 0 AS held FROM (SELECT source, lang, topic, tokens, goal_source, goal_lang, goal_topic, weight FROM {now}))))")
             now = then
-    steps.append(f"rates AS (SELECT source, lang, topic, least(1.0, weight / (SELECT max(weight) FROM {now} WHERE tokens > 0)) AS probability FROM {now})")
+    steps.append(f"rates AS (SELECT source, lang, topic, weight AS probability FROM {now})")
     return ",\n".join(steps)
 
 
