@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import mixing, near_dup, packing, quality, substring_dup
-from tracewell.llm.shared import Scratch, broadcast_if_small, released
+from tracewell.llm.shared import Scratch, released
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -17,14 +17,16 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: rejected documents go, frequent lines of their host leave the others."""
-    return _counted(quality.clean(docs))
+    """Operator 4: rejected documents go, frequent lines of their host leave the others.
+
+    Lines are counted by texts here, so that the copies of a text reach the next stage, which keeps one of them.
+    """
+    return _counted(quality.clean(docs, per="texts"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: the document with the smallest doc_id of each group of near-duplicates stays."""
-    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(broadcast_if_small(gone, 16 * gone.count()), "doc_id", "left_anti").select(docs.columns)
+    return near_dup.one_of_each(docs).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
