@@ -1,3 +1,4 @@
+import functools
 import hashlib
 from collections import Counter, defaultdict
 
@@ -12,13 +13,24 @@ from tracewell.llm import alignment, queries
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
+@functools.cache
+def of_a():
+    """Tokenizer A by its own library and file; the operator reads the same vocabulary as ranks."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out.encode_special_tokens = True
+    return out
+
+
 def whole(text):
     """(groups as pairs of id lists) of a whole text by both tokenizers and a walk over its bytes; None where it has no tokens."""
     al = alignment._aligner(alignment.vocabularies())
     if not text:
         return None
     raw = (" " + text).encode()
-    a, b = al.a.encode(" " + text, add_special_tokens=False).ids, al.b.encode(text)
+    a, b = of_a().encode(" " + text, add_special_tokens=False).ids, al.b.encode(text)
     x, y = [al.a_bytes[i] for i in a], [al.b_bytes[i] for i in b]
     if b"".join(x) != raw or b"".join(y) != raw:
         return None

@@ -27,7 +27,6 @@ columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -48,16 +47,10 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def vocabularies() -> tuple[str, str]:
+    """A's vocabulary as ranks of byte strings, which has the ids of its other form, and B's model."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-
-
-def byte_level() -> dict[str, int]:
-    """The bytes of byte-level BPE's letters: printable ones stand for themselves, the others for letters from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def piece_bytes(piece: str) -> bytes:
@@ -71,19 +64,20 @@ class Aligner:
     """Both tokenizers, and what they make of a chunk."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
+        import base64
+
+        import public_tokenizers
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        with open(a_path, "rb") as f:
+            ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
+        # without special tokens their strings are plain text
+        self.a = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        letters = byte_level()
-        vocab = self.a.get_vocab()
-        self.a_bytes, self.b_size = [b""] * (max(vocab.values()) + 1), self.b.get_piece_size()
-        for t, i in vocab.items():
-            if all(c in letters for c in t):
-                self.a_bytes[i] = bytes(map(letters.__getitem__, t))
+        self.a_bytes, self.b_size = [b""] * (max(ranks.values()) + 1), self.b.get_piece_size()
+        for t, i in ranks.items():
+            self.a_bytes[i] = t
         self.b_bytes = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b_size)]
         self.sizes = [np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes)]
         # an id with what follows it: within its side of a group, and at the end of that side
@@ -92,15 +86,20 @@ class Aligner:
     def aligned(self, chunks: list[str], texts: bool) -> list[tuple | None]:
         """(n_a, n_b, n_groups, links as numbers a * size of B + b, text of the groups if asked for) of a space and each chunk; None where tokens don't give it back."""
         raw = [(" " + c).encode() for c in chunks]
-        of = [[e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)], self.b.encode(chunks, num_threads=1)]
-        same = [all(b"".join(map(own.__getitem__, ids)) == r for own, ids in ((self.a_bytes, x), (self.b_bytes, y))) for x, y, r in zip(*of, raw, strict=True)]
-        if not all(same):
-            good = iter(self.aligned([c for c, s in zip(chunks, same, strict=True) if s], texts)) if any(same) else iter(())
-            return [next(good) if s else None for s in same]
-        n = [np.array(list(map(len, x)), np.int64) for x in of]
+        of = [[self.a(" " + c) for c in chunks], self.b.encode(chunks, num_threads=1)]
+        n = [np.fromiter(map(len, x), np.int64, len(x)) for x in of]
         ids = [np.fromiter(chain.from_iterable(x), np.int64, k.sum()) for x, k in zip(of, n, strict=True)]
+        whole = b"".join(raw)
+        if any(b"".join(map(own.__getitem__, x.tolist())) != whole for own, x in zip((self.a_bytes, self.b_bytes), ids, strict=True)):
+            same = [all(b"".join(map(own.__getitem__, x)) == r for own, x in ((self.a_bytes, y), (self.b_bytes, z))) for y, z, r in zip(*of, raw, strict=True)]
+            if not all(same):
+                good = iter(self.aligned([c for c, s in zip(chunks, same, strict=True) if s], texts)) if any(same) else iter(())
+                return [next(good) if s else None for s in same]
         ends = [np.cumsum(size[x]) for size, x in zip(self.sizes, ids, strict=True)]
-        last = [np.isin(x, y, kind="sort") for x, y in (ends, ends[::-1])]  # a token that ends where one of the other does
+        cuts = np.zeros(len(whole) + 1, np.int8)
+        for e in ends:
+            cuts[e] += 1
+        last = [cuts[e] == 2 for e in ends]  # a token that ends where one of the other does
         group = [np.cumsum(x) - x for x in last]
         in_group = [np.bincount(g) for g in group]
         first = [np.cumsum(k) - k for k in in_group]
