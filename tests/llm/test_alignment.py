@@ -88,15 +88,29 @@ def test_empty(spark):
 def test_chunks_are_aligned_alone(text):
     al = alignment._aligner(alignment.vocabularies())
     chunks = alignment._CUT.split(text) if text else []
-    found = al.aligned(chunks, True) if chunks else []
+    good, sizes, links, words = al.aligned(chunks, True) if chunks else (np.ones(0, bool), np.empty((0, 4), int), np.empty(0, int), [])
     groups = whole(text)
     if groups is None:
-        assert not chunks or None in found
+        assert not chunks or not good.all()
     else:
-        assert None not in found
-        assert ";".join(f[4] for f in found) == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
-        assert np.concatenate([f[3] for f in found]).tolist() == [a * al.b_size + b for x, y in groups for a in x for b in y]
-        assert [sum(f[k] for f in found) for k in range(3)] == [sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups)]
+        assert good.all()
+        assert "".join(words)[:-1] == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        assert links.tolist() == [a * al.b_size + b for x, y in groups for a in x for b in y]
+        assert sizes.sum(0).tolist() == [sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), len(links)]
+
+
+def test_chunks_when_full(monkeypatch):
+    """A cache of a few chunks gives what a large one does."""
+    monkeypatch.setattr(alignment, "CACHED", 3)
+    known, large = (alignment.Chunks(alignment._aligner(alignment.vocabularies()), True) for _ in range(2))
+    for k in range(6):
+        docs = [["a", f"b{k}", "a▁", "c"], ["a", "c", f"b{k // 2}"], []]
+        monkeypatch.setattr(alignment, "CACHED", 3)
+        at, cut = known(docs)
+        monkeypatch.setattr(alignment, "CACHED", 1000)
+        more, same = large(docs)
+        assert cut.tolist() == same.tolist() == [0, 0, 3, 3]
+        assert [known.words[i] for i in at] == [large.words[i] for i in more] and known.links_of(at)[0].tolist() == large.links_of(more)[0].tolist()
 
 
 @settings(deadline=None, max_examples=50)

@@ -41,8 +41,8 @@ from tracewell.llm.shared import BROADCAST_BYTES, TEXTS_AT_ONCE, Scratch, mix, t
 
 #: Keys of a segment, keys of a group that share a pilot, rows of a chunk of counts, dense vectors that are added at a time.
 SEGMENT_KEYS, GROUP_KEYS, CHUNK_ROWS, FAN_IN = 16_384, 4, 1 << 20, 16
-#: Chunks of text that are kept with their groups; twice as many are held at most.
-CACHED, MOST_PENDING = 150_000, 200_000
+#: Chunks of text that are kept with their groups, and chunks of the documents that are looked up together.
+CACHED, MOST_PENDING = 400_000, 200_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -80,21 +80,21 @@ class Aligner:
             self.a_bytes[i] = t
         self.b_bytes = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b_size)]
         self.sizes = [np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes)]
-        # an id with what follows it: within its side of a group, and at the end of that side
-        self.written = [[np.array([f"{i}{c}" for i in range(len(own))], object) for c in (",", end)] for own, end in ((self.a_bytes, "|"), (self.b_bytes, ";"))]
+        # an id with what follows it: at even places within its side of a group, at odd ones at the end of that side
+        self.written = [np.array([f"{i}{c}" for i in range(len(own)) for c in (",", end)], object) for own, end in ((self.a_bytes, "|"), (self.b_bytes, ";"))]
 
-    def aligned(self, chunks: list[str], texts: bool) -> list[tuple | None]:
-        """(n_a, n_b, n_groups, links as numbers a * size of B + b, text of the groups if asked for) of a space and each chunk; None where tokens don't give it back."""
+    def aligned(self, chunks: list[str], texts: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Of a space and each chunk: whether its tokens give it back; and of those that do, (n_a, n_b, n_groups, n_links),
+        the links as numbers a * size of B + b, all in a row, and the text of the groups if asked for."""
         raw = [(" " + c).encode() for c in chunks]
         of = [[self.a(" " + c) for c in chunks], self.b.encode(chunks, num_threads=1)]
         n = [np.fromiter(map(len, x), np.int64, len(x)) for x in of]
         ids = [np.fromiter(chain.from_iterable(x), np.int64, k.sum()) for x, k in zip(of, n, strict=True)]
         whole = b"".join(raw)
         if any(b"".join(map(own.__getitem__, x.tolist())) != whole for own, x in zip((self.a_bytes, self.b_bytes), ids, strict=True)):
-            same = [all(b"".join(map(own.__getitem__, x)) == r for own, x in ((self.a_bytes, y), (self.b_bytes, z))) for y, z, r in zip(*of, raw, strict=True)]
-            if not all(same):
-                good = iter(self.aligned([c for c, s in zip(chunks, same, strict=True) if s], texts)) if any(same) else iter(())
-                return [next(good) if s else None for s in same]
+            same = np.array([all(b"".join(map(own.__getitem__, x)) == r for own, x in ((self.a_bytes, y), (self.b_bytes, z))) for y, z, r in zip(*of, raw, strict=True)], bool)
+            if not same.all():
+                return same, *self.aligned([c for c, s in zip(chunks, same, strict=True) if s], texts)[1:]
         ends = [np.cumsum(size[x]) for size, x in zip(self.sizes, ids, strict=True)]
         cuts = np.zeros(len(whole) + 1, np.int8)
         for e in ends:
@@ -108,17 +108,16 @@ class Aligner:
         k = np.arange(len(g)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
         links = ids[0][first[0][g] + k // in_group[1][g]] * self.b_size + ids[1][first[1][g] + k % in_group[1][g]]
         chunk = np.repeat(np.arange(len(chunks)), n[0])[last[0]]  # of each group
-        groups = np.bincount(chunk, minlength=len(chunks))
-        cut = np.cumsum(np.bincount(chunk, pairs, len(chunks)).astype(np.int64)).tolist()
+        sizes = np.column_stack([*n, np.bincount(chunk, minlength=len(chunks)), np.bincount(chunk, pairs, len(chunks)).astype(np.int64)])
         words = [""] * len(chunks)
         if texts:  # A's ids of a group, then B's, then the next group's
             out = np.empty(len(ids[0]) + len(ids[1]), object)
             at = [np.arange(len(ids[0])) + first[1][group[0]], np.arange(len(ids[1])) + (first[0] + in_group[0])[group[1]]]
-            for x, where, end, (plain, closed) in zip(ids, at, last, self.written, strict=True):
-                out[where] = np.where(end, closed[x], plain[x])
-            till = np.cumsum(n[0] + n[1]).tolist()
-            words = ["".join(out[i:j].tolist())[:-1] for i, j in zip([0, *till], till)]
-        return list(zip(n[0].tolist(), n[1].tolist(), groups.tolist(), [links[i:j].copy() for i, j in zip([0, *cut], cut)], words, strict=True))
+            for x, where, end, written in zip(ids, at, last, self.written, strict=True):
+                out[where] = written[2 * x + end]
+            till, out = np.cumsum(n[0] + n[1]).tolist(), out.tolist()
+            words = ["".join(out[i:j]) for i, j in zip([0, *till], till)]
+        return np.ones(len(chunks), bool), sizes, links, words
 
 
 _ALIGNERS: dict = {}
@@ -131,26 +130,63 @@ def _aligner(paths: tuple[str, str]) -> Aligner:
 
 
 class Chunks:
-    """What is known of chunks. Two generations, so chunks in use survive and memory is bounded."""
-
-    def __init__(self, aligner: Aligner, texts: bool):
-        self.aligner, self.texts, self.young, self.old = aligner, texts, {}, {}
-
-    def __call__(self, wanted: set[str]) -> dict:
-        """What is known of the wanted chunks, at least."""
-        if len(self.young) > CACHED:
-            self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for c in wanted:
-            if c not in young:
-                if (found := old.get(c, 0)) != 0:
-                    young[c] = found
-                else:
-                    new.append(c)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            young.update(zip(part, self.aligner.aligned(part, self.texts), strict=True))
-        return young
+    """Numbers of chunks, and what is known of them in tables; -1 for a chunk that its tokens don't give back.
+
+    Emptied when full, so a task's memory stays bounded. ``more`` makes further columns of new chunks from their links.
+    """
+
+    def __init__(self, aligner: Aligner, texts: bool, more=None):
+        self.aligner, self.texts, self.more = aligner, texts, more
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at, self.words, self.n, self.n_links = {}, [], 0, 0
+        self.rows, self.links = np.empty((4096, 8), np.int64), np.empty(16384, np.int64)
+
+    def _room(self, table: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(table):
+            return table
+        grown = np.empty((max(n, 2 * len(table)), *table.shape[1:]), table.dtype)
+        grown[: len(table)] = table
+        return grown
+
+    def _learn(self, new: list[str]) -> None:
+        good, sizes, links, words = self.aligner.aligned(new, self.texts)
+        k, m = self.n, self.n_links
+        self.rows, self.links = self._room(self.rows, k + len(sizes)), self._room(self.links, m + len(links))
+        self.links[m : m + len(links)] = links
+        own = self.rows[k : k + len(sizes)]
+        own[:, :4], own[:, 4] = sizes, m + np.cumsum(sizes[:, 3]) - sizes[:, 3]  # and where a chunk's links begin
+        own[:, 5:] = 0
+        if self.more:
+            own[:, 5:] = self.more(links, np.repeat(np.arange(len(sizes)), sizes[:, 3]), len(sizes))
+        self.words += words
+        self.n, self.n_links = k + len(sizes), m + len(links)
+        self.at.update(zip(new, np.where(good, k + np.cumsum(good) - 1, -1).tolist(), strict=True))
+
+    def __call__(self, chunks: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all chunks of some documents, where each document's begin and the last one's end); a document with a chunk that doesn't come back has none."""
+        if self.n > CACHED:
+            self._clear()
+        flat = list(chain.from_iterable(chunks))
+        found = list(map(self.at.get, flat))
+        if None in found:
+            new = list({c for c, f in zip(flat, found, strict=True) if f is None})
+            for s in range(0, len(new), 8192):
+                self._learn(new[s : s + 8192])
+            found = list(map(self.at.__getitem__, flat))
+        out, n = np.array(found, np.int64), np.array(list(map(len, chunks)), np.int64)
+        if len(out) and out.min() < 0:
+            doc = np.repeat(np.arange(len(n)), n)
+            lost = np.zeros(len(n), bool)
+            lost[doc[out < 0]] = True
+            out, n = out[~lost[doc]], np.where(lost, 0, n)
+        return out, np.concatenate([[0], np.cumsum(n)])
+
+    def links_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(links of the chunks one after the other, how many each has)."""
+        n, start = self.rows[ids, 3], self.rows[ids, 4]
+        return self.links[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
 
 def _documents(ids: list, column: pa.Array) -> Iterator[tuple[list, list[list[str]]]]:
@@ -171,16 +207,6 @@ def _documents(ids: list, column: pa.Array) -> Iterator[tuple[list, list[list[st
         yield waiting, chunks
 
 
-def _found(known: Chunks, chunks: list[list[str]]) -> tuple[list[tuple], list[np.ndarray]]:
-    """(distinct chunks' values, each document's indexes into them); a document with a chunk that doesn't come back has none."""
-    place: dict[str, int] = {}
-    at = [np.array([place.setdefault(c, len(place)) for c in own], np.int64) for own in chunks]
-    table = known(set(place))
-    values = [table[c] for c in place]
-    bad = np.array([v is None for v in values], bool)
-    return values, [x if not bad[x].any() else x[:0] for x in at] if len(values) else at
-
-
 def pair_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None) -> DataFrame:
     """(pair, n, part): pairs linked in the documents of a part of a task, and in how many of these."""
     paths = paths or vocabularies()
@@ -199,15 +225,10 @@ def pair_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         for batch in batches:
             for _, chunks in _documents([None] * batch.num_rows, batch.column(0)):
-                values, at = _found(known, chunks)
-                links = [v[3] if v else np.empty(0, np.int64) for v in values]
-                sizes = np.array([len(x) for x in links], np.int64)
-                flat, starts = (np.concatenate(links) if links else np.empty(0, np.int64)), np.cumsum(sizes) - sizes
-                own = [np.unique(x) for x in at]  # a chunk counts once in a document, then a pair
-                doc, x = np.repeat(np.arange(len(own)), [len(o) for o in own]), np.concatenate(own) if own else np.empty(0, np.int64)
-                n = sizes[x]
-                doc = np.repeat(doc, n)
-                pair = flat[np.repeat(starts[x] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                ids, cut = known(chunks)
+                own = np.unique(np.repeat(np.arange(len(chunks)), np.diff(cut)) << 32 | ids)  # a chunk counts once in a document, then a pair
+                pair, n = known.links_of(own & 0xFFFFFFFF)
+                doc = np.repeat(own >> 32, n)
                 once = np.unique(doc << 40 | pair)
                 keys, c = np.unique(once & ((1 << 40) - 1), return_counts=True)
                 pairs.append(keys)
@@ -367,32 +388,31 @@ def aligned(docs: DataFrame, lookup, best, id_col: str = "doc_id", text_col: str
     paths = paths or vocabularies()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, top = Chunks(_aligner(paths), True), lookup.value, best.value
-        size, row = _aligner(paths).b_size, TaskContext.get().partitionId() << 33
+        table, top, aligner = lookup.value, best.value, _aligner(paths)
+        row = TaskContext.get().partitionId() << 33
+
+        def counted(links: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+            """n_best, count_sum and the number of links that ``table`` doesn't know, of each of n chunks."""
+            count = table(links)
+            there, total = count >= 0, np.zeros(n, np.int64)
+            np.add.at(total, owner, np.where(there, count, 0))
+            return np.column_stack([np.bincount(owner, there & (count == top[links // aligner.b_size]), n).astype(np.int64), total, np.bincount(owner, ~there, n).astype(np.int64)])
+
+        known = Chunks(aligner, True, counted)
         for batch in batches:
             for ids, chunks in _documents(batch.column(0).to_pylist(), batch.column(1)):
-                values, at = _found(known, chunks)
-                links = [v[3] if v else np.empty(0, np.int64) for v in values]
-                owner = np.repeat(np.arange(len(links)), [len(x) for x in links])
-                flat = np.concatenate(links) if links else np.empty(0, np.int64)
-                count = table(flat)
-                there = count >= 0
-                of_chunk = np.zeros((len(values) + 1, 6), np.int64)  # n_a, n_b, n_groups, n_links, n_best, count_sum
-                of_chunk[:-1, :4] = np.array([(v[0], v[1], v[2], len(v[3])) if v else (0, 0, 0, 0) for v in values], np.int64).reshape(-1, 4)
-                np.add.at(of_chunk[:, 4], owner, there & (count == top[flat // size]))
-                np.add.at(of_chunk[:, 5], owner, np.where(there, count, 0))
-                sums = np.array([of_chunk[x].sum(0) for x in at], np.int64).reshape(-1, 6)
-                texts = [v[4] if v else "" for v in values]
-                digests = [hashlib.sha256(";".join(map(texts.__getitem__, x.tolist())).encode()).hexdigest() if len(x) else "" for x in at]
-                rest = None
-                if not there.all():
-                    odd = {k: flat[(owner == k) & ~there] for k in np.unique(owner[~there]).tolist()}
-                    rest = []
-                    for x in at:
-                        found = [odd[k] for k in x.tolist() if k in odd]
-                        pair, times = np.unique(np.concatenate(found), return_counts=True) if found else ((), ())
-                        rest.append([{"pair": int(p), "times": int(t)} for p, t in zip(pair, times, strict=True)])
-                cells = [pa.array(ids, pa.int64()), *map(pa.array, sums.T), pa.array(digests, pa.string()), pa.array(np.arange(row, row + len(ids))), pa.array(rest or [None] * len(ids), _REST)]
+                at, cut = known(chunks)
+                sums = np.concatenate([np.zeros((1, 8), np.int64), np.cumsum(known.rows[at], axis=0)])
+                sums = sums[cut[1:]] - sums[cut[:-1]]
+                words = list(map(known.words.__getitem__, at.tolist()))
+                digests = [hashlib.sha256("".join(words[i:j])[:-1].encode()).hexdigest() if j > i else "" for i, j in zip(cut.tolist(), cut[1:].tolist())]
+                rest = [None] * len(ids)
+                for d in np.flatnonzero(sums[:, 7]).tolist():
+                    own = at[cut[d] : cut[d + 1]]
+                    links, _ = known.links_of(own[known.rows[own, 7] > 0])
+                    pair, times = np.unique(links[table(links) < 0], return_counts=True)
+                    rest[d] = [{"pair": p, "times": t} for p, t in zip(pair.tolist(), times.tolist(), strict=True)]
+                cells = [pa.array(ids, pa.int64()), *map(pa.array, sums[:, [0, 1, 2, 3, 5, 6]].T), pa.array(digests, pa.string()), pa.array(np.arange(row, row + len(ids))), pa.array(rest, _REST)]
                 row += len(ids)
                 yield pa.RecordBatch.from_arrays(cells, names=_ALIGNED)
 
