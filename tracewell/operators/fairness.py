@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def group_rates(rows: DataFrame, label: str, predicted: str, group: Column, keys
     sums = rows.groupBy(*keys, "group_value").agg(
         F.count("*").alias("n"), F.sum("y").alias("n_positive"), F.sum("p").alias("selected"), F.sum(F.col("y") * F.col("p")).alias("tp"), F.sum((F.col("y") == F.col("p")).cast("int")).alias("right")
     )
+    return _rates_of(sums, keys)
+
+
+def _rates_of(sums: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The five rates of counts n, n_positive, selected, tp and right."""
     rate = lambda a, b: F.try_divide(a, b).cast("double")
     return sums.select(
         *keys, "group_value", "n", "n_positive", rate(F.col("selected"), F.col("n")).alias("selection_rate"), rate(F.col("n_positive"), F.col("n")).alias("positive_label_rate"),
@@ -36,6 +43,25 @@ def group_rates(rows: DataFrame, label: str, predicted: str, group: Column, keys
     )
 
 
+def rate_curves(rows: DataFrame, label: str, score: str, group: Column, cutoffs: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """``group_rates`` of scores cut at each of ``cutoffs``, with the cutoff as a column.
+
+    Rows are counted once, by the highest cutoff that their score reaches; sums of these counts from above give the rates
+    at every cutoff. One shuffle of at most groups times cutoffs counts, however many cutoffs there are. A null score
+    reaches none.
+    """
+    cuts = sorted(set(map(float, cutoffs)))
+    reached = F.coalesce(reduce(lambda a, b: a + b, [(F.col(score) >= c).cast("int") for c in cuts]), F.lit(0))
+    counted = rows.select(*keys, group_of(group).alias("group_value"), binary(F.col(label), label).alias("y"), reached.alias("bin"))
+    counted = counted.groupBy(*keys, "group_value", "bin").agg(F.count("*").alias("c"), F.sum("y").alias("cy"))
+    held = counted.groupBy(*keys, "group_value").agg(F.sum("c").alias("n"), F.sum("cy").alias("n_positive"), F.collect_list(F.struct("bin", "c", "cy")).alias("bins"))  # at most a bin a cutoff
+    at = held.select(*keys, "group_value", "n", "n_positive", "bins", F.posexplode(F.array(*map(F.lit, cuts))).alias("k", "cutoff"))
+    above = lambda f: F.aggregate("bins", F.lit(0).cast("long"), lambda s, x: s + F.when(x.bin > F.col("k"), x[f]).otherwise(0))
+    sums = at.select(*keys, "cutoff", "group_value", "n", "n_positive", above("c").alias("selected"), above("cy").alias("tp"))
+    sums = sums.withColumn("right", F.col("n") - F.col("n_positive") - F.col("selected") + 2 * F.col("tp"))
+    return _rates_of(sums, (*keys, "cutoff"))
+
+
 def differences(rates: DataFrame, keys: tuple[str, ...] = (), min_group_n: int = MIN_GROUP_N) -> DataFrame:
     """Per key: largest less smallest rate over groups of at least ``min_group_n``, null below two such rates; eligible_n."""
     spread = lambda c: F.when(F.count(c) >= 2, F.max(c) - F.min(c))

@@ -15,7 +15,7 @@ from tracewell.functions import identity
 from tracewell.functions.scoring import MISSING
 from tracewell.schemas import CATEGORICAL, NUMERIC
 
-#: Rows are dealt by subject into buckets of BUCKET_ROWS or so, as many as the rows ask for; sums run within a bucket in
+#: Rows are dealt by model and subject into buckets of BUCKET_ROWS or so, as many as the rows ask for; sums run within a bucket in
 #: order, then over FAN_IN buckets at a time in order, so the bits of a fit don't depend on how Spark partitions the rows.
 BUCKET_ROWS, FAN_IN, C, TOLERANCE, MOST_STEPS = 20_000, 64, 1.0, 1e-6, 100
 
@@ -65,81 +65,132 @@ def encoded(columns: list[dict]) -> Column:
     return F.array(*map(one, columns))
 
 
-_SUMS = "bucket long, g binary, h binary"
+_SUMS = "model int, bucket long, f double, g binary, h binary"
 
 
 def _ordered_sums(parts: DataFrame, buckets: int) -> DataFrame:
-    """Sums of (bucket, g, h) over FAN_IN buckets at a time, in order, until at most FAN_IN are left."""
+    """Sums of (model, bucket, f, g, h) over FAN_IN buckets of a model at a time, in order, until one a model is left."""
 
     def add(t: pa.Table) -> pa.Table:
         t = t.sort_by("bucket")
-        total = [np.frombuffer(t.column(k)[0].as_py()).copy() for k in ("g", "h")]
+        f, total = t.column("f")[0].as_py(), [np.frombuffer(t.column(k)[0].as_py()).copy() for k in ("g", "h")]
         for i in range(1, t.num_rows):
+            f += t.column("f")[i].as_py()
             for s, k in zip(total, ("g", "h"), strict=True):
                 s += np.frombuffer(t.column(k)[i].as_py())
-        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py() // FAN_IN]), "g": pa.array([total[0].tobytes()], pa.binary()), "h": pa.array([total[1].tobytes()], pa.binary())})
+        cells = [t.column("model")[:1], pa.array([t.column("bucket")[0].as_py() // FAN_IN]), pa.array([f]), pa.array([total[0].tobytes()], pa.binary()), pa.array([total[1].tobytes()], pa.binary())]
+        return pa.table(cells, names=["model", "bucket", "f", "g", "h"])
 
-    while buckets > FAN_IN:
-        parts = parts.groupBy(F.floor(F.col("bucket") / FAN_IN)).applyInArrow(lambda t: add(t), _SUMS)
+    while buckets > 1:
+        parts = parts.groupBy("model", F.floor(F.col("bucket") / FAN_IN)).applyInArrow(lambda t: add(t), _SUMS)
         buckets = -(-buckets // FAN_IN)
     return parts
 
 
-def fit(rows: DataFrame, key: str = "subject_id", x: str = "x", y: str = "label", c: float = C, bucket_rows: int = BUCKET_ROWS) -> tuple[np.ndarray, int]:
-    """(intercept and coefficients, Newton steps) of the L2-penalised logistic regression over ``rows``.
-
-    Rows are shuffled and sorted once. Each step's gradient and Hessian (p * p numbers a bucket) are added up along a tree
-    of buckets, so the driver sees FAN_IN sums at most. No row, or a fit that doesn't settle, is an error.
+def _passes(data: DataFrame, at: dict[int, np.ndarray]) -> DataFrame:
+    """Objective, gradient and Hessian of every bucket at its model's weights; models that aren't asked for are passed over."""
+
+    def one(key: tuple[int, int], held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        w, y = at[key[0]], np.concatenate([y for _, y in held])
+        a = np.column_stack([np.ones(len(y)), np.concatenate([x for x, _ in held])])
+        with np.errstate(over="ignore"):
+            z = np.einsum("ij,j->i", a, w)
+            q = 1 / (1 + np.exp(-z))
+            f = float(np.sum(np.logaddexp(0, z) - y * z))
+        g = np.einsum("ij,i->j", a, q - y)
+        h = np.einsum("ij,ik->jk", a * (q * (1 - q))[:, None], a)
+        cells = [pa.array([key[0]], pa.int32()), pa.array([key[1]]), pa.array([f]), pa.array([g.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(cells, names=["model", "bucket", "f", "g", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            model, bucket, y = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy()
+            values, ends = b.column(2).flatten().to_numpy(), np.cumsum(b.column(2).value_lengths().to_numpy())
+            cuts = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (model[1:] != model[:-1])) + 1).tolist(), len(y)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if e > s and int(model[s]) in at:
+                    key = (int(model[s]), int(bucket[s]))
+                    if held and key != now:
+                        yield one(now, held)
+                        held = []
+                    now = key
+                    held.append((values[ends[s - 1] if s else 0 : ends[e - 1]].reshape(e - s, -1), y[s:e]))
+        if held:
+            yield one(now, held)
+
+    return data.mapInArrow(run, _SUMS)
+
+
+class _Newton:
+    """One model's steps: Newton's direction, halved until the penalised objective doesn't rise."""
+
+    def __init__(self, p: int, c: float):
+        self.penalty = np.full(p, 1 / c)
+        self.penalty[0] = 0
+        self.w, self.f, self.step, self.scale, self.steps = np.zeros(p), np.inf, np.zeros(p), 1.0, 0
+        self.done = False
+
+    @property
+    def at(self) -> np.ndarray:
+        return self.w + self.scale * self.step
+
+    def take(self, f: float, g: np.ndarray, h: np.ndarray) -> None:
+        """Objective, gradient and Hessian at ``at``."""
+        self.steps += 1
+        at = self.at
+        f = f + 0.5 * float(np.sum(self.penalty * at * at))
+        g, h = g + self.penalty * at, h + np.diag(self.penalty)
+        if not f <= self.f + 1e-12 * abs(self.f) and np.isfinite(self.f) and self.scale > 1e-9:
+            self.scale /= 2
+            return
+        self.w, self.f, self.scale = at, f, 1.0
+        try:
+            self.step = -np.linalg.solve(h, g)
+        except np.linalg.LinAlgError:
+            raise FitError("the fit's curvature vanishes; scale the columns or weaken the penalty's constant") from None
+        if np.abs(g).max() < TOLERANCE:
+            self.w, self.done = self.at, True
+
+
+def fit_many(rows: DataFrame, model: str, key: str = "subject_id", x: str = "x", y: str = "label", c: float | dict = C, bucket_rows: int = BUCKET_ROWS) -> dict[str, tuple[np.ndarray, int]]:
+    """(intercept and coefficients, passes) of the L2-penalised logistic regression over the rows of each ``model``.
+
+    All models share one shuffle: rows are dealt by model and subject, sorted once, and each pass over them takes a step
+    of every model that isn't settled. A bucket's gradient and Hessian (p * p numbers) are added up along a tree, so the
+    driver sees one sum a model, and the bits of a fit depend neither on partitions nor on the models beside it. A step
+    that would raise the objective is halved, so no start diverges. ``c`` may differ by model; models are as many as are
+    trained, and x may have another width in each. No row, or a fit that doesn't settle, is an error.
     """
-    n = rows.count()
-    if not n:
+    counts = {r[model]: r["n"] for r in rows.groupBy(model).agg(F.count("*").alias("n")).collect()}  # a row a model
+    if not counts:
         raise FitError("no rows to fit")
-    buckets = -(-n // bucket_rows)
-    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).cast("double").alias("y"))
-    data = dealt.repartition("bucket").sortWithinPartitions("bucket", "k", "y", "x").select("bucket", "x", "y").persist()
-    p = len(data.first().x) + 1
-    w = np.zeros(p)
-
-    def parts(at: np.ndarray):
-        def one(bucket: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            a = np.column_stack([np.ones(sum(len(y) for _, y in held)), np.concatenate([x for x, _ in held])])
-            q = 1 / (1 + np.exp(-np.einsum("ij,j->i", a, at)))
-            g = np.einsum("ij,i->j", a, q - np.concatenate([y for _, y in held]))
-            h = np.einsum("ij,ik->jk", a * (q * (1 - q))[:, None], a)
-            return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([g.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())], names=["bucket", "g", "h"])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, held = None, []
-            for b in batches:
-                bucket, y = b.column(0).to_numpy(), b.column(2).to_numpy()
-                x = b.column(1).flatten().to_numpy().reshape(len(y), p - 1)
-                cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(y)]
-                for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                    if e > s:
-                        if held and bucket[s] != now:
-                            yield one(now, held)
-                            held = []
-                        now = int(bucket[s])
-                        held.append((x[s:e], y[s:e]))
-            if held:
-                yield one(now, held)
-
-        return run
-
-    penalty = np.full(p, 1 / c)
-    penalty[0] = 0
+    names = sorted(counts, key=str)
+    table = rows.sparkSession.createDataFrame([(m, i, -(-counts[m] // bucket_rows)) for i, m in enumerate(names)], T.StructType([T.StructField("__m", rows.schema[model].dataType), T.StructField("__i", T.IntegerType()), T.StructField("__buckets", T.LongType())]))
+    known = rows.join(F.broadcast(table), F.col(model).eqNullSafe(F.col("__m")))  # a row a model
+    dealt = known.select(F.col("__i").alias("model"), F.pmod(F.xxhash64(key), F.col("__buckets")).alias("bucket"), F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.col(key).alias("k"))
+    data = dealt.repartition("model", "bucket").sortWithinPartitions("model", "bucket", "k", "y", "x").select("model", "bucket", "x", "y").persist()
     try:
-        for step in range(1, MOST_STEPS + 1):
-            g, h = penalty * w, np.diag(penalty)
-            for r in sorted(_ordered_sums(data.mapInArrow(parts(w), _SUMS), buckets).collect(), key=lambda r: r.bucket):
-                g = g + np.frombuffer(r.g)
-                h = h + np.frombuffer(r.h).reshape(p, p)
-            w = w - np.linalg.solve(h, g)
-            if np.abs(g).max() < TOLERANCE:
-                return w, step
+        widths = {r.model: r.p for r in data.groupBy("model").agg(F.max(F.size("x")).alias("p")).collect()}
+        fits = {i: _Newton(widths[i] + 1, float(c[m] if isinstance(c, dict) else c)) for i, m in enumerate(names)}
+        most = max(-(-n // bucket_rows) for n in counts.values())
+        for _ in range(MOST_STEPS):
+            asked = {i: f.at for i, f in fits.items() if not f.done}
+            if not asked:
+                break
+            for r in _ordered_sums(_passes(data, asked), most).collect():
+                p = len(asked[r.model])
+                fits[r.model].take(r.f, np.frombuffer(r.g), np.frombuffer(r.h).reshape(p, p))
     finally:
         data.unpersist()
-    raise FitError(f"no settled fit after {MOST_STEPS} steps")
+    if open_ones := [names[i] for i, f in fits.items() if not f.done]:
+        raise FitError(f"no settled fit of {open_ones} after {MOST_STEPS} steps")
+    return {m: (fits[i].w, fits[i].steps) for i, m in enumerate(names)}
+
+
+def fit(rows: DataFrame, key: str = "subject_id", x: str = "x", y: str = "label", c: float = C, bucket_rows: int = BUCKET_ROWS) -> tuple[np.ndarray, int]:
+    """(intercept and coefficients, passes) of one model; see ``fit_many``."""
+    return fit_many(rows.withColumn("__model", F.lit(0)), "__model", key, x, y, c, bucket_rows)[0]
 
 
 def linear_score(weights: list[float], intercept: float, x: str = "x") -> Column:
@@ -207,3 +258,18 @@ def auc(rows: DataFrame, score: str, label: str, keys: tuple[str, ...] = (), ran
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * mid).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("t"))
     pairs = F.col("p") * (F.col("t") - F.col("p"))
     return sums.select(*keys, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / F.lit(2.0), pairs.cast("double")).alias("auc"), F.col("p").alias("n_positive"), F.col("t").alias("n"))
+
+
+def background(rows: DataFrame, k: int, keys: tuple[str, ...] = (), key: str = "subject_id", seed: str = "background") -> DataFrame:
+    """The ``k`` rows of each key that a seeded hash of ``key`` puts first: the same ones over any partitioning.
+
+    Every task keeps k rows a key before the shuffle, so samples of many models are one job. Equal ids go by their rows.
+    """
+    order = [F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), *rows.columns]
+    own = "__at" + "_" * sum(c.startswith("__at") for c in rows.columns)
+    return rows.withColumn(own, F.row_number().over(W.partitionBy(*(keys or [F.lit(0)])).orderBy(*order))).where(F.col(own) <= k).drop(own)
+
+
+def background_means(sample: DataFrame, x: str = "x", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, pos, mean) of a sample's encoded rows: what attributions against it are counted from."""
+    return sample.select(*keys, F.posexplode(x).alias("pos", "v")).groupBy(*keys, "pos").agg(F.avg("v").alias("mean"))

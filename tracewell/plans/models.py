@@ -12,6 +12,7 @@ from tracewell.functions import identity, scoring
 from tracewell.operators import explain, fairness, fit
 from tracewell.operators.versions import Trail, TrailError
 from tracewell.schemas import CATEGORICAL, NUMERIC
+from tracewell.streaming import decisions
 
 # Fixed value: the name of the one training recipe.
 RECIPE = "baseline-logreg"
@@ -126,7 +127,8 @@ def decide(trail: Trail, model: str, requests: DataFrame, threshold: float = 0.5
     named = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in bad))) if bad else F.array().cast("array<string>")
     known = requests.withColumn("unknown_features", named)
     rejected = known.where(F.size("unknown_features") > 0)
-    rows = known.where(F.size("unknown_features") == 0).drop("unknown_features", *bad).withColumn("input_json", identity.canonical_json(*inputs))
+    rows = known.where(F.size("unknown_features") == 0).drop("unknown_features", *bad)
+    rows = rows.withColumn("input_json", identity.canonical_json(rows, *inputs))
     rows = rows.withColumn("prediction_id", identity.uuid5(identity.PREDICTION_NAMESPACE, identity.joined_key(model, identity.sha256(F.col("input_json")), F.col("request_key").cast("string"))))
     rows = scored(trail, model, rows).withColumns({"prediction_ts": F.current_timestamp(), "model_version_id": F.lit(model), "input_digest": identity.sha256(F.col("input_json")), "threshold": F.lit(threshold), "explainer_status": F.lit("complete"), "latency_ms": F.lit(None).cast("double"), "shap_ms": F.lit(None).cast("double")})
     rows = rows.withColumn("decision", scoring.decision(F.col("score"), threshold))
@@ -141,24 +143,26 @@ def decide(trail: Trail, model: str, requests: DataFrame, threshold: float = 0.5
 
 
 def record_decisions(trail: Trail, predictions: DataFrame, attributions: DataFrame) -> int:
-    """Appends what isn't there yet, attributions first: a prediction row is the sign that its explanation is complete."""
+    """Records what isn't there yet, attributions first: a prediction row is the sign that its explanation is complete.
+
+    An identity is recorded once, though a retry stamps another time; the index of identities is asked, not the history.
+    """
     checks = explain.reconcile(attributions, predictions.select("prediction_id", "score").join(attributions.groupBy("prediction_id").agg(F.first("base_value").alias("base_value")), "prediction_id", "left").withColumn("link", F.lit("logit")))
     if checks.where("verdict <> 'ok'").take(1):
         raise ProvenanceIntegrityError("attributions don't add up to their scores")
-    known = trail.read("audit.attributions").select("prediction_id", "feature_name")
-    trail.append("audit.attributions", attributions.join(known, ["prediction_id", "feature_name"], "left_anti"))
-    fresh = predictions.join(trail.read("audit.predictions").select("prediction_id"), "prediction_id", "left_anti").dropDuplicates(["prediction_id"]).persist()
-    n = fresh.count()
-    trail.append("audit.predictions", fresh)
-    fresh.unpersist()
-    return n
+    return decisions.record(trail, predictions.dropDuplicates(["prediction_id"]), attributions)
+
+
+def record_refusals(trail: Trail, rejected: DataFrame) -> int:
+    """Puts the requests that ``decide`` rejected into audit.rejects, each once; returns how many are new."""
+    line = F.to_json(F.struct(*(c for c in rejected.columns if c != "unknown_features")))
+    return decisions.refuse(trail, rejected, F.concat(F.lit("unknown features: "), F.array_join(F.array_sort("unknown_features"), ",")), line)
 
 
 def evaluate(trail: Trail, model: str, eval_uuid: str, attribute: str, threshold: float = 0.5, min_group_n: int = fairness.MIN_GROUP_N) -> DataFrame:
     """Metric rows of a checked model on a frozen version, recorded once; another value for one identity is an error."""
     rows = trail.materialize(eval_uuid)
-    if attribute not in rows.columns or attribute in ("subject_id", "as_of_ts", "ingest_batch_id", "source_row_digest", "split", "label", "commit_seq", "subject_bucket"):
-        raise TrailError(f"{attribute} is no attribute to compare groups by")
+    _comparable(rows, attribute)
     decided = scored(trail, model, rows).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
     tall = fairness.metric_rows(fairness.group_rates(decided, "label", "predicted", F.col(attribute)), (), min_group_n)
     tall = tall.withColumns({"model_version_id": F.lit(model), "eval_snapshot_uuid": F.lit(eval_uuid), "sensitive_attribute": F.lit(attribute), "decision_threshold": F.lit(threshold), "evaluated_at": F.current_timestamp()})
@@ -179,25 +183,94 @@ def recorded_differences(trail: Trail, attribute: str, threshold: float = 0.5, m
     return rows.select("model_version_id", "eval_snapshot_uuid", "metric_name", "metric_value")
 
 
-def scored_by_many(trail: Trail, rows: DataFrame) -> DataFrame:
-    """(subject_id, model_version_id, score) of ``rows`` under every checked active model, in one job.
+#: Models of a block of coefficients, and rows of a block that meets it.
+BLOCK_MODELS, BLOCK_ROWS = 256, 20_000
+
+
+def evaluate_curves(trail: Trail, models: list[str], eval_uuid: str, attributes: list[str], cutoffs: list[float]) -> DataFrame:
+    """(model_version_id, sensitive_attribute, cutoff, group_value, n, n_positive, rates) of models, attributes and cutoffs in one job."""
+    rows = trail.materialize(eval_uuid)
+    for a in attributes:
+        _comparable(rows, a)
+    scores = scored_by_many(trail, rows, models).join(rows.select("subject_id", "label", *attributes), "subject_id")
+    tall = scores.unpivot(["model_version_id", "label", "score"], attributes, "sensitive_attribute", "value")
+    return fairness.rate_curves(tall, "label", "score", F.col("value"), cutoffs, ("model_version_id", "sensitive_attribute"))
+
+
+def train_many(trail: Trail, data_uuid: str, hyperparams: list[dict], recipe: str = RECIPE) -> dict[str, object]:
+    """{canonical hyperparameters: weights} of refits of one version under many settings: one encoding, one shuffle, shared passes."""
+    if recipe not in RECIPES:
+        raise TrailError(f"no recipe {recipe}")
+    rows = trail.materialize(data_uuid)
+    columns = fit.encoding(rows)
+    texts = {json.dumps(h, sort_keys=True, separators=(",", ":")): float(h.get("C", fit.C)) for h in hyperparams}
+    every = rows.withColumn("x", fit.encoded(columns)).withColumn("__setting", F.explode(F.array(*map(F.lit, texts))))
+    return {t: w for t, (w, _) in fit.fit_many(every, "__setting", c=texts).items()}
+
+
+def _comparable(rows: DataFrame, attribute: str) -> None:
+    if attribute not in rows.columns or attribute in ("subject_id", "as_of_ts", "ingest_batch_id", "source_row_digest", "split", "label", "commit_seq", "subject_bucket"):
+        raise TrailError(f"{attribute} is no attribute to compare groups by")
+
+
+def scored_by_many(trail: Trail, rows: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """(subject_id, model_version_id, score) of ``rows`` under the checked active (or the named) models, in one job.
+
+    A model whose artifact isn't the recorded one is left out.
+    """
+    own = trail.current("audit.model_versions", "model_version_id")
+    own = own.where("status = 'active'") if models is None else own.where(F.col("model_version_id").isin(models))
+    coefficients = trail.read("audit.model_coefficients").join(own.select("model_version_id"), "model_version_id", "left_semi")
+    good = fit.model_verdicts(own, coefficients).where("verdict = 'ok'").select("model_version_id")
+    return blocked_scores(rows, coefficients.join(good, "model_version_id", "left_semi"))
+
+
+def blocked_scores(rows: DataFrame, coefficients: DataFrame, key: str = "subject_id", block_models: int = BLOCK_MODELS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, model_version_id, score) of rows under the models that ``coefficients`` gives, any number of both.
 
-    Encoded values aren't made: a row's inputs become (source, value) pairs that meet the models' coefficients by source.
-    The coefficients are as many as models times columns; a model whose artifact isn't the recorded one is left out.
+    Models are dealt into blocks, and so are rows; each pair of a block of rows and one of models meets in one task, which
+    multiplies two matrices: the rows' numbers and categories, and the models' coefficients for these. Nothing is broadcast
+    or held whole. A category that a model doesn't know, or a row doesn't have, adds nothing; a missing number is 0.
     """
-    own = trail.current("audit.model_versions", "model_version_id").where("status = 'active'")
-    coefficients = trail.read("audit.model_coefficients")
-    good = fit.model_verdicts(own, coefficients.join(own.select("model_version_id"), "model_version_id", "left_semi")).where("verdict = 'ok'").select("model_version_id")
-    coefficients = coefficients.join(F.broadcast(good), "model_version_id")  # a row a model
-    intercepts = coefficients.where("pos = -1").select("model_version_id", F.col("coefficient").alias("intercept"))
-    # the additions run in order of position, as for one model
-    table = coefficients.where("pos >= 0").groupBy("model_version_id").agg(F.array_sort(F.collect_list(F.struct("pos", "source_feature", "category", "coefficient", "centre", "scale"))).alias("c")).join(intercepts, "model_version_id")
-    inputs = [c for c in (*NUMERIC, *CATEGORICAL) if c in rows.columns]
-    number = F.create_map(*(x for c in inputs if c in NUMERIC for x in (F.lit(c), F.coalesce(F.col(c).cast("double"), F.lit(0.0)))))
-    word = F.create_map(*(x for c in inputs if c in CATEGORICAL for x in (F.lit(c), F.coalesce(F.col(c), F.lit(scoring.MISSING)))))
-    both = rows.select("subject_id", number.alias("num"), word.alias("cat")).crossJoin(F.broadcast(table))  # a row a model
-    value = lambda e: F.when(e.category.isNull(), (F.element_at("num", e.source_feature) - e.centre) / e.scale).when(F.element_at("cat", e.source_feature) == e.category, F.lit(1.0)).otherwise(F.lit(0.0))
-    return both.select("subject_id", "model_version_id", fit.probability(F.aggregate("c", F.col("intercept"), lambda s, e: s + value(e) * e.coefficient)).alias("score"))
+    import numpy as np
+    import pandas as pd
+
+    numeric, words = ([c for c in group if c in rows.columns] for group in (NUMERIC, CATEGORICAL))
+    n_models, n_rows = coefficients.select("model_version_id").distinct().count(), rows.count()
+    m_blocks, r_blocks = max(1, -(-n_models // block_models)), max(1, -(-n_rows // block_rows))
+    of_models = F.pmod(F.xxhash64("model_version_id"), F.lit(m_blocks))
+    left = rows.select(F.col(key).alias("__key"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric), *(F.coalesce(F.col(c), F.lit(scoring.MISSING)).alias(c) for c in words))
+    left = left.withColumn("__r", F.pmod(F.xxhash64("__key"), F.lit(r_blocks))).withColumn("__m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m_blocks - 1).cast("long"))))
+    right = coefficients.select("model_version_id", "pos", "source_feature", "category", "coefficient", "centre", "scale").withColumn("__m", of_models).withColumn("__r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r_blocks - 1).cast("long"))))
+
+    def scores(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ["__key", "model_version_id", "score"]
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: [] for n in names})
+        model, ids = pd.factorize(b["model_version_id"])
+        margin = np.zeros((len(a), len(ids)))
+        flat = (b["pos"] < 0).to_numpy()
+        np.add.at(margin, (slice(None), model[flat]), b["coefficient"].to_numpy()[flat])
+        for c in numeric:
+            own = ((b["source_feature"] == c) & b["category"].isna() & (b["pos"] >= 0)).to_numpy()
+            w = np.zeros(len(ids))
+            slope = b["coefficient"].to_numpy()[own] / b["scale"].to_numpy()[own]
+            np.add.at(w, model[own], slope)
+            np.add.at(margin, (slice(None), model[own]), -slope * b["centre"].to_numpy()[own])
+            margin += np.outer(a[c].to_numpy(), w)
+        for c in words:
+            own = ((b["source_feature"] == c) & b["category"].notna()).to_numpy()
+            value, known = pd.factorize(b["category"][own])
+            w = np.zeros((len(known) + 1, len(ids)))
+            np.add.at(w, (value, model[own]), b["coefficient"].to_numpy()[own])
+            margin += w[pd.Index(known).get_indexer(a[c])]  # -1, for an unknown one, is the row of zeros
+        with np.errstate(over="ignore"):
+            score = 1 / (1 + np.exp(-margin))
+        return pd.DataFrame({"__key": np.repeat(a["__key"].to_numpy(), len(ids)), "model_version_id": np.tile(np.asarray(ids), len(a)), "score": score.ravel()})
+
+    kind = rows.schema[key].dataType.simpleString()
+    out = left.groupBy("__r", "__m").cogroup(right.groupBy("__r", "__m")).applyInPandas(scores, f"__key {kind}, model_version_id string, score double")
+    return out.withColumnRenamed("__key", key)
 
 
 def compare(trail: Trail, baseline: str, candidate: str, attribute: str, eval_uuid: str | None = None, threshold: float = 0.5, min_group_n: int = fairness.MIN_GROUP_N, env_digest: str = "") -> DataFrame:

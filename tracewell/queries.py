@@ -118,6 +118,17 @@ SELECT metric_name, b - a > 0 AS regressed, CASE WHEN (bp - a) + (b - ap) = 0 AN
 """
 
 
+_CUTOFFS = range(100, 6001, 100)
+
+
+def rate_curves(spark, sf_dir):
+    """Rates of the score n_chars by language at 60 cutoffs, rows counted once (A4, F1)."""
+    return fairness.rate_curves(_decided(spark, sf_dir), "quality", "n_chars", F.col("lang"), list(_CUTOFFS))
+
+
+RATE_CURVES = f"SELECT lang AS group_value, cutoff, {_RATES} FROM (SELECT lang, cutoff::DOUBLE AS cutoff, quality AS y, CAST(n_chars >= cutoff AS INT) AS p FROM documents JOIN labels USING (doc_id), range({_CUTOFFS[0]}, {_CUTOFFS[-1] + 1}, {_CUTOFFS.step}) t(cutoff)) GROUP BY lang, cutoff"
+
+
 def subject_splits(spark, sf_dir):
     c = _read(spark, sf_dir, "customer").select(F.concat_ws(",", "c_mktsegment", "c_nationkey").alias("line"))
     rows = applications.with_occurrence(c, "line").withColumn("subject_id", identity.subject_id(F.col("line"), F.col("occurrence")))
@@ -143,36 +154,40 @@ _ORDER_JSON = "'{\"o_custkey\":' || o_custkey || ',\"o_orderkey\":' || o_orderke
 
 def version_summary(spark, sf_dir):
     """Each year as a version: its rows, their time range and digest."""
-    rows = _read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("version"), "o_orderdate", identity.row_digest(*_ORDER).alias("d"))
-    per = versions.content_digest(rows, F.col("d"), keys=("version",))
-    facts = rows.groupBy("version").agg(F.min("o_orderdate").cast("string").alias("first"), F.max("o_orderdate").cast("string").alias("last"))
-    return per.join(facts, "version")
+    rows = _read(spark, sf_dir, "orders").withColumn("version", F.year("o_orderdate"))
+    return versions.content_digest(rows, identity.row_digest(rows, *_ORDER), ("version",), F.min("o_orderdate").cast("string").alias("first"), F.max("o_orderdate").cast("string").alias("last"))
 
 
-VERSION_SUMMARY = f"""
-WITH r AS (SELECT year(o_orderdate) AS version, o_orderdate, sha256({_ORDER_JSON}) AS d FROM orders),
-g6 AS (SELECT version, substr(d, 1, 6) AS g, sha256(string_agg(d, chr(10) ORDER BY d)) AS digest, count(*) AS n, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM r GROUP BY ALL),
-g AS (SELECT version, substr(g, 1, 3) AS p, sha256(string_agg(g || ':' || digest, chr(10) ORDER BY g)) AS digest, sum(n) AS n, min(lo) AS lo, max(hi) AS hi FROM g6 GROUP BY ALL)
-SELECT version, sha256(string_agg(p || ':' || digest, chr(10) ORDER BY p)) AS content_digest, sum(n) AS row_count, strftime(min(lo), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(hi), '%Y-%m-%d %H:%M:%S') AS last FROM g GROUP BY 1
-"""
+def _sums_sql(keys: str, source: str, more: str = "") -> str:
+    """Lanes of row digests ``d`` of ``source`` summed by ``keys``, and the digest of these."""
+    half, n = versions.LANES // 2, versions.LANE_DIGITS
+    lanes = ", ".join(f"(sum(('0x' || substr({'d' if i < half else 'e'}, {1 + n * (i % half)}, {n}))::BIGINT) % {16**n})::VARCHAR" for i in range(versions.LANES))
+    return f"SELECT {keys}, sha256(count(*) || ':' || concat_ws(':', {lanes})) AS content_digest, count(*) AS row_count{more} FROM (SELECT *, sha256(d) AS e FROM {source}) GROUP BY {keys}"
+
+
+VERSION_SUMMARY = _sums_sql("version", f"(SELECT year(o_orderdate) AS version, o_orderdate, sha256({_ORDER_JSON}) AS d FROM orders)", ", strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS last")
 
 
 def row_digests(spark, sf_dir):
-    return _read(spark, sf_dir, "orders").select("o_orderkey", identity.row_digest(*_ORDER).alias("digest"))
+    """Digests of orders, whose dates get microseconds, and of their price as a decimal and as bytes."""
+    o = _read(spark, sf_dir, "orders").withColumn("at", F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 3 * 250_001))
+    o = o.withColumn("cents", F.round(F.col("o_totalprice"), 2).cast("decimal(18,2)")).withColumn("raw", F.col("o_orderstatus").cast("binary"))
+    return o.select("o_orderkey", identity.row_digest(o, *_ORDER).alias("digest"), identity.row_digest(o, "at", "o_orderkey").alias("exact_digest"), identity.row_digest(o, "cents", "raw").alias("typed_digest"))
 
 
-ROW_DIGESTS = f"SELECT o_orderkey, sha256({_ORDER_JSON}) AS digest FROM orders"
+ROW_DIGESTS = f"""SELECT o_orderkey, sha256({_ORDER_JSON}) AS digest, sha256('{{"at":"' || strftime(at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '.' || strftime(at, '%f') END || '+00:00","o_orderkey":' || o_orderkey || '}}') AS exact_digest,
+  sha256('{{"cents":"' || CAST(round(o_totalprice, 2) AS DECIMAL(18, 2)) || '","raw":"' || lower(hex(o_orderstatus)) || '"}}') AS typed_digest FROM (SELECT *, o_orderdate::TIMESTAMP + to_microseconds(o_orderkey % 3 * 250001) AS at FROM orders)"""
 
 
 def flat_digest(spark, sf_dir):
-    """The digest of each nation's customers; as a tree, since a nation's list grows with the table."""
-    return versions.content_digest(_read(spark, sf_dir, "customer"), identity.row_digest("c_custkey", "c_mktsegment"), keys=("c_nationkey",))
+    """The digest of each nation's customers, the sums of the first half's added to those of the second."""
+    c = _read(spark, sf_dir, "customer")
+    part = lambda k: versions.content_sums(c.where(F.col("c_custkey") % 2 == k), identity.row_digest(c, "c_custkey", "c_mktsegment"), ("c_nationkey",))
+    both = versions.added(part(0).union(part(1)), ("c_nationkey",))
+    return both.select("c_nationkey", versions.digest_of(F.col("n_rows"), F.col("lanes")).alias("content_digest"), F.col("n_rows").alias("row_count"))
 
 
-FLAT_DIGEST = """WITH r AS (SELECT c_nationkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}') AS d FROM customer),
-g6 AS (SELECT c_nationkey, substr(d, 1, 6) AS g, sha256(string_agg(d, chr(10) ORDER BY d)) AS digest, count(*) AS n FROM r GROUP BY ALL),
-g AS (SELECT c_nationkey, substr(g, 1, 3) AS p, sha256(string_agg(g || ':' || digest, chr(10) ORDER BY g)) AS digest, sum(n) AS n FROM g6 GROUP BY ALL)
-SELECT c_nationkey, sha256(string_agg(p || ':' || digest, chr(10) ORDER BY p)) AS content_digest, sum(n)::BIGINT AS row_count FROM g GROUP BY 1"""
+FLAT_DIGEST = _sums_sql("c_nationkey", """(SELECT c_nationkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}') AS d FROM customer)""")
 
 
 def current_state(spark, sf_dir):
@@ -429,25 +444,67 @@ def erased_table(spark, sf_dir):
 ERASED_TABLE = "SELECT c_custkey::VARCHAR AS subject_id, c_name AS row_digest FROM customer WHERE c_nationkey <> 3"
 
 
-def drained_decisions(spark, sf_dir):
-    """Events spooled as JSON lines, with torn ones between, drained as a stream and then replayed."""
+_DRAINED: dict[tuple, Trail] = {}
+
+
+def _drained(spark, sf_dir) -> Trail:
+    """Events spooled as JSON lines and drained; then repeats with another day, torn and wrong lines; then all of it replayed."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir, "events"))
+    if key in _DRAINED:
+        return _DRAINED[key]
     root = _root(spark)
     trail = Trail(spark, root)
     trail.bootstrap()
-    e = _read(spark, sf_dir, "events").where("ts IS NOT NULL AND value IS NOT NULL")
-    at = F.date_trunc("second", "ts").alias("prediction_ts")
-    p = e.select(F.col("event_id").cast("string").alias("prediction_id"), at, F.lit("m").alias("model_version_id"), F.col("user_id").cast("string").alias("subject_id"), F.lit("{}").alias("input_json"), F.lit("d").alias("input_digest"), F.col("value").alias("score"), F.lit(0.5).alias("threshold"), scoring.decision(F.col("value"), 0.5).alias("decision"), F.lit("complete").alias("explainer_status"), F.lit(1.0).alias("latency_ms"), F.lit(1.0).alias("shap_ms"))
-    a = p.select("prediction_id", "prediction_ts", "model_version_id", F.explode(F.array(F.lit("f1"), F.lit("f2"))).alias("feature_name"), F.lit("v").alias("feature_value_str"), F.lit(0.1).alias("shap_value"), F.lit(-0.7).alias("base_value"), F.lit(1).alias("abs_rank"), F.lit("linear").alias("explainer_type"))
-    lines = decisions.encoded_lines(p, a)
-    torn = lines.where("length(value) % 7 = 0").select(F.expr("substring(value, 1, 60)").alias("value"))
-    lines.union(torn).write.text(f"{root}/spool")
-    decisions.drain(trail, f"{root}/spool", f"{root}/ck1").awaitTermination()
-    decisions.drain(trail, f"{root}/spool", f"{root}/ck2").awaitTermination()  # a replay adds nothing
+    e = _read(spark, sf_dir, "events").where("ts IS NOT NULL AND value IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
+    made = lambda rows: rows.select(F.col("event_id").cast("string").alias("prediction_id"), F.col("ts").alias("prediction_ts"), F.lit("m").alias("model_version_id"), F.col("user_id").cast("string").alias("subject_id"), F.lit("{}").alias("input_json"), F.lit("d").alias("input_digest"), F.col("value").alias("score"), F.lit(0.5).alias("threshold"), scoring.decision(F.col("value"), 0.5).alias("decision"), F.lit("complete").alias("explainer_status"), F.lit(1.0).alias("latency_ms"), F.lit(1.0).alias("shap_ms"))
+
+    def spooled(p: DataFrame) -> DataFrame:
+        wrong = F.when(F.col("prediction_id").cast("long") % 13 == 5, 0.5).otherwise(0.0)
+        parts = F.explode(F.array(F.struct(F.lit("f1").alias("f"), (F.col("score") - 0.5 + wrong).alias("v")), F.struct(F.lit("f2").alias("f"), F.lit(0.25).alias("v"))))
+        a = p.select("prediction_id", "prediction_ts", "model_version_id", "score", parts.alias("x")).select("prediction_id", "prediction_ts", "model_version_id", F.col("x.f").alias("feature_name"), F.lit("v").alias("feature_value_str"), F.col("x.v").alias("shap_value"), F.lit(0.25).alias("base_value"), F.lit(1).alias("abs_rank"), F.lit("tree").alias("explainer_type"))
+        return decisions.encoded_lines(p, a)
+
+    spooled(made(e)).write.text(f"{root}/spool/first")
+    decisions.drain(trail, f"{root}/spool/*", f"{root}/ck1").awaitTermination()
+    late = spooled(made(e.where("event_id % 11 = 0").withColumn("ts", F.expr("ts + INTERVAL 1 DAY"))))
+    torn = spooled(made(e.where("event_id % 7 = 0"))).select(F.expr("substring(value, 1, 60)").alias("value"))
+    part = spooled(made(e.where("event_id % 17 = 0"))).select(F.regexp_replace("value", '"attributions":.*$', '"x":1}').alias("value"))
+    late.union(torn).union(part).write.text(f"{root}/spool/second")
+    decisions.drain(trail, f"{root}/spool/*", f"{root}/ck1").awaitTermination()
+    decisions.drain(trail, f"{root}/spool/*", f"{root}/ck2").awaitTermination()  # a replay adds nothing
+    _DRAINED[key] = trail
+    return trail
+
+
+def _stamp(spark, sf_dir, table: str) -> int:
+    """The size and time of a table's folder or file, so that what was built of it isn't taken for another."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength() * 31 + fs.getFileStatus(p).getModificationTime()
+
+
+def drained_decisions(spark, sf_dir):
+    """Every decision once and at its first time, though some came again with another day."""
+    trail = _drained(spark, sf_dir)
     n = trail.read("audit.attributions").groupBy("prediction_id").agg(F.count("*").alias("n_attributions"))
-    return trail.read("audit.predictions").select("prediction_id", "subject_id", "decision", F.round("score", 6).alias("score")).join(n, "prediction_id")
+    return trail.read("audit.predictions").select("prediction_id", "subject_id", "decision", F.round("score", 6).alias("score"), F.unix_micros("prediction_ts").alias("at")).join(n, "prediction_id")
+
+
+DRAINED_DECISIONS = "SELECT event_id::VARCHAR AS prediction_id, user_id::VARCHAR AS subject_id, CASE WHEN value >= 0.5 THEN 'approve' ELSE 'deny' END AS decision, round(value, 6) AS score, epoch_us(ts) AS at, 2 AS n_attributions FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND event_id % 13 <> 5"
+
+
+def refused_lines(spark, sf_dir):
+    """Lines that can't be recorded, each kept once with its reason, whatever was replayed."""
+    rows = _drained(spark, sf_dir).read("audit.rejects")
+    whose = F.regexp_extract("line", '"prediction_id":"([0-9]+)"', 1)
+    return rows.select("reason", F.when(F.col("reason") != "torn", whose).alias("prediction_id")).groupBy("reason", "prediction_id").agg(F.count("*").alias("n"))
+
 
+REFUSED_LINES = """WITH e AS (SELECT event_id FROM events WHERE ts IS NOT NULL AND value IS NOT NULL)
+SELECT 'not additive' AS reason, event_id::VARCHAR AS prediction_id, 1 + CAST(event_id % 11 = 0 AS INT) AS n FROM e WHERE event_id % 13 = 5
+UNION ALL SELECT 'incomplete', event_id::VARCHAR, 1 FROM e WHERE event_id % 17 = 0
+UNION ALL SELECT 'torn', NULL, count(DISTINCT substr('{"prediction":{"prediction_id":"' || event_id || '","prediction_ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00"', 1, 60)) FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND event_id % 7 = 0 HAVING count(*) > 0"""
 
-DRAINED_DECISIONS = "SELECT event_id::VARCHAR AS prediction_id, user_id::VARCHAR AS subject_id, CASE WHEN value >= 0.5 THEN 'approve' ELSE 'deny' END AS decision, round(value, 6) AS score, 2 AS n_attributions FROM events WHERE ts IS NOT NULL AND value IS NOT NULL"
 
 def explanation_reports(spark, sf_dir):
     """Reports of asked ids: some unknown, some of a model that isn't registered, some of an unrecorded version, some tampered with."""
@@ -492,9 +549,9 @@ def trail_inventory(spark, sf_dir):
     return trail.inventory()
 
 
-TRAIL_INVENTORY = f"""WITH p AS ({PARSED_APPLICATIONS}), c AS (SELECT count(*) AS n, count(*) FILTER (split = 'eval') AS e FROM p)
-SELECT 'features.credit_applications' AS table_identifier, n AS n_rows, 1 AS commits FROM c UNION ALL SELECT 'features.eval_holdout', e, 1 FROM c UNION ALL SELECT 'audit.data_snapshots', 2, 2 UNION ALL SELECT 'audit.commits', 4, 0
-UNION ALL SELECT unnest(['audit.model_versions', 'audit.model_coefficients', 'audit.training_membership', 'audit.predictions', 'audit.attributions', 'audit.fairness_evaluations', 'audit.fairness_decompositions', 'audit.erasure_requests', 'audit.snapshot_tombstones']), 0, 0"""
+TRAIL_INVENTORY = f"""WITH p AS ({PARSED_APPLICATIONS}), c AS (SELECT count(*) AS n, count(*) FILTER (split = 'eval') AS e, count(DISTINCT split) AS s FROM p)
+SELECT 'features.credit_applications' AS table_identifier, n AS n_rows, 1 AS commits FROM c UNION ALL SELECT 'features.eval_holdout', e, 1 FROM c UNION ALL SELECT 'audit.data_snapshots', 2, 2 UNION ALL SELECT 'audit.commits', 5, 0 UNION ALL SELECT 'audit.content_sums', s + 1, 0 FROM c
+UNION ALL SELECT unnest(['audit.model_versions', 'audit.model_coefficients', 'audit.training_membership', 'audit.predictions', 'audit.attributions', 'audit.fairness_evaluations', 'audit.fairness_decompositions', 'audit.erasure_requests', 'audit.snapshot_tombstones', 'audit.decision_ids', 'audit.rejects']), 0, 0"""
 
 
 def erasure_outcome(spark, sf_dir):
@@ -524,7 +581,7 @@ _QUERIES = {
     "version_summary": VERSION_SUMMARY, "row_digests": ROW_DIGESTS, "flat_digest": FLAT_DIGEST, "current_state": CURRENT_STATE, "top_attributions": TOP_ATTRIBUTIONS, "reconciliation": RECONCILIATION,
     "denial_drivers": DENIAL_DRIVERS, "described_attributions": DESCRIBED_ATTRIBUTIONS, "contaminations": CONTAMINATIONS, "contamination_rollup": CONTAMINATION_ROLLUP, "versions_with_subjects": VERSIONS_WITH_SUBJECTS, "pinned_models": PINNED_MODELS,
     "evaluation_conflicts": EVALUATION_CONFLICTS, "reusable_models": REUSABLE_MODELS, "comparison_refusals": COMPARISON_REFUSALS, "exact_auc": EXACT_AUC, "unknown_inputs": UNKNOWN_INPUTS, "encoded_rows": ENCODED_ROWS, "fitted_scores": None,
-    "model_digests": MODEL_DIGESTS, "parsed_applications": PARSED_APPLICATIONS, "erased_table": ERASED_TABLE, "drained_decisions": DRAINED_DECISIONS,
+    "model_digests": MODEL_DIGESTS, "parsed_applications": PARSED_APPLICATIONS, "erased_table": ERASED_TABLE, "drained_decisions": DRAINED_DECISIONS, "refused_lines": REFUSED_LINES, "rate_curves": RATE_CURVES,
     "explanation_reports": EXPLANATION_REPORTS, "trail_inventory": TRAIL_INVENTORY, "erasure_outcome": ERASURE_OUTCOME, "drifted_models": DRIFTED_MODELS,
 }
 

@@ -1,4 +1,4 @@
-"""The eleven tables of the audit trail. Column names and status words are fixed values that readers rely on."""
+"""The tables of the audit trail. Column names and status words are fixed values that readers rely on."""
 
 from __future__ import annotations
 
@@ -31,12 +31,16 @@ comparable boolean NOT NULL, computed_at timestamp NOT NULL, decision_threshold
 contaminated_model_count int, contaminated_model_ids array<string>, resolution_json string""",
     "audit.snapshot_tombstones": """data_snapshot_uuid string NOT NULL, version long NOT NULL, table_identifier string NOT NULL, expired_at timestamp NOT NULL, reason string NOT NULL, row_count_at_expiry long NOT NULL,
 content_digest string NOT NULL, schema_json string NOT NULL, pinned_model_version_ids array<string>, erasure_request_id string""",
-    "audit.commits": "table_identifier string NOT NULL, kind string NOT NULL, at timestamp NOT NULL",
+    "audit.content_sums": "table_identifier string NOT NULL, split string NOT NULL, n_rows long NOT NULL, lanes array<long> NOT NULL, min_as_of_ts timestamp, max_as_of_ts timestamp",
+    "audit.decision_ids": "prediction_id string NOT NULL, prediction_ts timestamp NOT NULL",
+    "audit.rejects": "reject_id string NOT NULL, reason string NOT NULL, line string NOT NULL, rejected_at timestamp NOT NULL",
+    "audit.commits": "table_identifier string NOT NULL, kind string NOT NULL, at timestamp NOT NULL, buckets array<int>",
 }
 
-#: Every stored row also carries the commit that wrote it; subject tables carry their bucket.
-COMMIT, BUCKET = "commit_seq", "subject_bucket"
-_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType())}
+#: Every stored row also carries the commit that wrote it. Subject and identity tables carry their bucket; subject tables,
+#: and the sums of their content, the generation that wrote the file, which is a commit, too.
+COMMIT, BUCKET, GENERATION = "commit_seq", "subject_bucket", "generation"
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType()), "array<int>": T.ArrayType(T.IntegerType()), "array<long>": T.ArrayType(T.LongType())}
 
 
 def _schema(columns: str) -> T.StructType:
@@ -46,6 +50,8 @@ def _schema(columns: str) -> T.StructType:
 
 SCHEMAS: dict[str, T.StructType] = {name: _schema(columns) for name, columns in _COLUMNS.items()}
 SUBJECT_TABLES = ("features.credit_applications", "features.eval_holdout", "audit.training_membership")
+GENERATION_TABLES = (*SUBJECT_TABLES, "audit.content_sums")
+ID_TABLES = {"audit.decision_ids": "prediction_id", "audit.rejects": "reject_id"}
 DAY_TABLES = {"audit.predictions": "prediction_ts", "audit.attributions": "prediction_ts"}
 
 NUMERIC = ("age", "fnlwgt", "education_num", "capital_gain", "capital_loss", "hours_per_week")

@@ -38,7 +38,7 @@ def parse(lines: DataFrame, batch_id: str) -> DataFrame:
     fields = [scoring.clean(F.col("f")[i]).cast(types[name]).alias(name) for i, name in enumerate(RAW_FIELDS[:-1])]
     rows = numbered.select(identity.subject_id(F.col("line"), F.col("occurrence")).alias("subject_id"), *fields, scoring.income_label(F.col("f")[len(RAW_FIELDS) - 1]).alias("label"))
     rows = rows.withColumns({"as_of_ts": identity.event_time(F.col("subject_id")), "split": identity.split_of(F.col("subject_id")), "ingest_batch_id": F.lit(batch_id)})
-    return rows.withColumn("source_row_digest", identity.row_digest(*CONTENT))
+    return rows.withColumn("source_row_digest", identity.row_digest(rows, *CONTENT))
 
 
 def read_text(spark: SparkSession, path: str, batch_id: str) -> DataFrame:

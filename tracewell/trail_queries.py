@@ -16,12 +16,12 @@ from tracewell.operators import contamination, fit, versions
 from tracewell.operators.versions import SnapshotTombstonedError, Trail
 from tracewell.plans import erasure, models
 from tracewell.plans.ingest import ingest
-from tracewell.queries import PARSED_APPLICATIONS, _customer_lines, _decided, _ingested, _read, _root
+from tracewell.queries import PARSED_APPLICATIONS, _customer_lines, _decided, _ingested, _read, _root, _stamp
 from tracewell.sources import applications
 from tracewell.streaming import decisions
 
 APPLICATIONS, HOLDOUT = "features.credit_applications", "features.eval_holdout"
-_BUILT: dict[tuple[str, str], dict] = {}
+_BUILT: dict[tuple, dict] = {}
 _P = f"p AS MATERIALIZED ({PARSED_APPLICATIONS})"
 #: Columns of an encoded application: six numbers, and the categories that the customers' lines have.
 _WIDTH = "(SELECT 6 + count(DISTINCT coalesce(workclass, '?')) + 5 + count(DISTINCT sex) + count(DISTINCT c_nationkey) FROM p JOIN customer ON c_custkey = fnlwgt WHERE split = 'train')"
@@ -29,7 +29,7 @@ _WIDTH = "(SELECT 6 + count(DISTINCT coalesce(workclass, '?')) + 5 + count(DISTI
 
 def _trained(spark: SparkSession, sf_dir: str) -> dict:
     """A trail with customers ingested and a model trained on them; decisions recorded for the evaluation subjects."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir, "customer"))
     if key not in _BUILT:
         trail, first, _ = _ingested(spark, sf_dir)
         model = models.train(trail, first["train_snapshot"], first["eval_snapshot"], env_digest="e", code_git_sha="c")
@@ -38,6 +38,7 @@ def _trained(spark: SparkSession, sf_dir: str) -> dict:
         odd = asked.withColumn("shoe_size", F.when(F.col("sex") == "Male", F.lit(44)))
         p, a, rejected = models.decide(trail, model, odd)
         models.record_decisions(trail, p, a)
+        models.record_refusals(trail, rejected)
         again = models.record_decisions(trail, *models.decide(trail, model, odd)[:2])  # a retried batch
         _BUILT[key] = {"trail": trail, "first": first, "model": model, "rejected": rejected, "again": again}
     return _BUILT[key]
@@ -185,15 +186,21 @@ def fitted_length(spark, sf_dir):
     return rows.withColumn("x", fit.encoded(columns)).select("subject_id", "label", F.round(fit.probability(fit.linear_score([float(w[1])], w[0])), 7).alias("score"))
 
 
-def _newton_sql() -> str:
-    """Newton's steps for an intercept and one penalised coefficient, from the two-by-two inverse."""
-    steps = ["w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+def _newton_sql(by: str = "") -> str:
+    """Newton's steps for an intercept and one penalised coefficient, from the two-by-two inverse; ``by``: for each value of a column."""
+    k, join = (f"{by}, ", f"JOIN w{{i}} USING ({by})") if by else ("", ", w{i}")
+    steps = [f"w0 AS (SELECT DISTINCT {k}0.0::DOUBLE AS a, 0.0::DOUBLE AS b{' FROM d' if by else ''})"]
     for i in range(12):
-        steps.append(f"g{i} AS MATERIALIZED (SELECT a, b, sum(q - y) AS ga, b + sum((q - y) * x) AS gb, sum(q * (1 - q)) AS haa, sum(q * (1 - q) * x) AS hab, 1 + sum(q * (1 - q) * x * x) AS hbb FROM (SELECT x, y, a, b, 1 / (1 + exp(-(a + b * x))) AS q FROM d, w{i}) GROUP BY a, b)")
-        steps.append(f"w{i + 1} AS MATERIALIZED (SELECT a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM g{i})")
+        steps.append(f"g{i} AS MATERIALIZED (SELECT {k}a, b, sum(q - y) AS ga, b + sum((q - y) * x) AS gb, sum(q * (1 - q)) AS haa, sum(q * (1 - q) * x) AS hab, 1 + sum(q * (1 - q) * x * x) AS hbb FROM (SELECT {k}x, y, a, b, 1 / (1 + exp(-(a + b * x))) AS q FROM d {join.format(i=i)}) GROUP BY {k}a, b)")
+        steps.append(f"w{i + 1} AS MATERIALIZED (SELECT {k}a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM g{i})")
     return ",\n".join(steps)
 
 
+FITTED_MODELS = f"""WITH r AS (SELECT doc_id, n_chars, quality AS y FROM documents JOIN labels USING (doc_id)), s AS (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM r),
+d AS MATERIALIZED (SELECT doc_id, y, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS model, (n_chars - m) / s AS x FROM r, s),
+{_newton_sql("model")}
+SELECT doc_id::VARCHAR AS subject_id, model, round(1 / (1 + exp(-(a + b * x))), 7) AS score FROM d JOIN w12 USING (model)"""
+
 FITTED_LENGTH = f"""WITH r AS (SELECT doc_id, n_chars, quality AS y FROM documents JOIN labels USING (doc_id)), s AS (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM r),
 d AS MATERIALIZED (SELECT doc_id, y, (n_chars - m) / s AS x FROM r, s),
 {_newton_sql()}
@@ -320,15 +327,93 @@ def pending_decisions(spark, sf_dir):
     before = decisions.pending(spark, trail, spool)
     decisions.drain(trail, spool, f"{root}/ck").awaitTermination()
     counts = [("pending before", before), ("pending after", decisions.pending(spark, trail, spool))]
+    lines.where(key % 3 == 0).select(F.regexp_replace("value", '"prediction_id":"', '"prediction_id":"9').alias("value")).write.text(f"{root}/spool/c")
+    counts.append(("pending in new files", decisions.pending(spark, trail, spool, f"{root}/ck")))
     came = trail.read("audit.predictions").agg(F.countDistinct("prediction_id").alias("n")).select(F.lit("decisions").alias("what"), "n")
-    every = trail.read("audit.predictions").union(trail.read("audit.predictions").limit(0)).agg(F.count("*").alias("n")).select(F.lit("prediction rows").alias("what"), "n")
+    every = trail.read("audit.predictions").agg(F.count("*").alias("n")).select(F.lit("prediction rows").alias("what"), "n")
     return spark.createDataFrame(counts, "what string, n long").union(came).union(every)
 
 
-PENDING_DECISIONS = "SELECT unnest(['pending before', 'pending after', 'decisions', 'prediction rows']) AS what, unnest([count(*), 0, count(*), count(*)]) AS n FROM orders WHERE o_orderdate IS NOT NULL"
+PENDING_DECISIONS = "SELECT unnest(['pending before', 'pending after', 'pending in new files', 'decisions', 'prediction rows']) AS what, unnest([count(*), 0, count(*) FILTER (o_orderkey % 3 = 0), count(*), count(*)]) AS n FROM orders WHERE o_orderdate IS NOT NULL"
+
+
+def fitted_models(spark, sf_dir):
+    """Fits of document quality on length for even and odd documents in one job, and every labelled document's score under its own (M2, M7)."""
+    rows = _decided(spark, sf_dir).select(F.col("doc_id").cast("string").alias("subject_id"), "n_chars", F.col("quality").alias("label"), F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("model"))
+    data = rows.withColumn("x", fit.encoded(fit.encoding(rows, ("n_chars",), ())))
+    out = None
+    for name, (w, _) in fit.fit_many(data, "model").items():
+        one = data.where(F.col("model") == name).select("subject_id", "model", F.round(fit.probability(fit.linear_score([float(w[1])], w[0])), 7).alias("score"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def blocked_scores(spark, sf_dir):
+    """Every applicant's score under a model for each nation, as products of blocks of rows and models (M3)."""
+    rows = applications.parse(_customer_lines(spark, sf_dir), "b")
+    n = _read(spark, sf_dir, "nation").select(F.concat(F.lit("m"), "n_nationkey").alias("model_version_id"), F.col("n_nationkey").alias("n"))
+    entry = lambda pos, source, category, c, centre=0.0, scale=1.0: F.struct(F.lit(pos).alias("pos"), F.lit(source).alias("source_feature"), F.lit(category).cast("string").alias("category"), c.cast("double").alias("coefficient"), F.lit(centre).alias("centre"), F.lit(scale).alias("scale"))
+    k = F.col("n")
+    made = [entry(-1, "intercept", None, (k % 7 - 3) / 8), entry(0, "fnlwgt", None, (k % 5 - 2) / 4, 1000.0, 2000.0), entry(1, "sex", "Male", (k % 3) / 2), entry(2, "sex", "Female", -(k % 3) / 4), entry(3, "workclass", "BUILDING", (k % 2) / 2), entry(4, "workclass", "__missing__", (k % 4) / 4), entry(5, "workclass", "unheard", k + 100)]
+    coefficients = n.select("model_version_id", F.explode(F.array(*made)).alias("e")).select("model_version_id", "e.*")
+    return models.blocked_scores(rows, coefficients, block_models=8, block_rows=2000).withColumn("score", F.round("score", 9))
+
+
+BLOCKED_SCORES = f"""WITH {_P}, n AS (SELECT n_nationkey AS n FROM nation)
+SELECT subject_id, 'm' || n AS model_version_id, round(1 / (1 + exp(-((n % 7 - 3) / 8.0 + (n % 5 - 2) / 4.0 * (fnlwgt - 1000) / 2000.0 + CASE sex WHEN 'Male' THEN (n % 3) / 2.0 ELSE -(n % 3) / 4.0 END + CASE WHEN workclass = 'BUILDING' THEN (n % 2) / 2.0 WHEN workclass IS NULL THEN (n % 4) / 4.0 ELSE 0 END)::DOUBLE)), 9) AS score FROM p, n"""
+
+
+def model_curves(spark, sf_dir):
+    """Rates of the trained model by sex and nation at 30 cutoffs agree with its rates cut at each alone (F1, A4)."""
+    t = _trained(spark, sf_dir)
+    trail, version, cuts = t["trail"], t["first"]["eval_snapshot"], [k / 31 for k in range(1, 31)]
+    curves = models.evaluate_curves(trail, [t["model"]], version, ["sex", "native_country"], cuts)
+    return curves.groupBy("sensitive_attribute", "group_value").agg(F.count("*").alias("cutoffs"), F.max("n").alias("n"), F.max("n_positive").alias("n_positive"), F.round(F.max("positive_label_rate"), 9).alias("label_rate"))
+
+
+MODEL_CURVES = f"""WITH {_P}, e AS (SELECT p.*, c_nationkey::VARCHAR AS nation FROM p JOIN customer ON c_custkey = fnlwgt WHERE split = 'eval'), g AS (SELECT 'sex' AS a, sex AS v, label FROM e UNION ALL SELECT 'native_country', nation, label FROM e)
+SELECT a AS sensitive_attribute, v AS group_value, 30 AS cutoffs, count(*) AS n, sum(label) AS n_positive, round(avg(label), 9) AS label_rate FROM g GROUP BY a, v"""
+
+
+def background_sample(spark, sf_dir):
+    """Twenty events of each type by a seeded hash, and the mean of their values, as a model's background."""
+    e = _read(spark, sf_dir, "events").select("event_type", "event_id", "user_id")
+    return fit.background(e, 20, ("event_type",), "event_id")
+
+
+BACKGROUND_SAMPLE = "SELECT event_type, event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('background:' || event_id), event_id) <= 20"
+
+
+def broken_erasure(spark, sf_dir):
+    """What a reader sees of each split while customers of two nations are erased: rows staged, put in place, files removed."""
+    trail, first, rows = _ingested(spark, sf_dir)
+    gone = rows.where("native_country IN ('3', '7')").select("subject_id")
+    out = []
+
+    def seen(step: str) -> None:
+        reader = Trail(spark, trail.root)
+        stored = trail.raw(APPLICATIONS).groupBy("split").agg(F.count("*").alias("k")).collect()
+        live = {r.split: r.k for r in reader.read(APPLICATIONS).groupBy("split").agg(F.count("*").alias("k")).collect()}
+        out.extend((step, r.split, live.get(r.split, 0), r.k) for r in stored)
+
+    seen("before")
+    staged = erasure.stage_removal(trail, APPLICATIONS, gone)
+    seen("staged")
+    erasure.publish_removal(trail, APPLICATIONS, staged)
+    later = trail.capture(APPLICATIONS, "train")
+    whole = trail.materialize(later, verify=True).count()
+    seen("in place")
+    trail.vacuum(APPLICATIONS)
+    seen("removed")
+    out.append(("captured", "train", whole, trail.materialize(later, verify=True).count()))
+    return spark.createDataFrame(out, "step string, split string, live long, stored long").withColumn("stored", F.when(F.col("step").isin("before", "removed", "captured"), F.col("stored")))
+
+
+BROKEN_ERASURE = f"""WITH {_P}, g AS (SELECT split, c_nationkey IN (3, 7) AS gone FROM p JOIN customer ON c_custkey = fnlwgt), c AS (SELECT split, count(*) AS n, count(*) FILTER (NOT gone) AS k FROM g GROUP BY 1)
+SELECT 'before' AS step, split, n AS live, n AS stored FROM c UNION ALL SELECT 'staged', split, n, NULL FROM c UNION ALL SELECT 'in place', split, k, NULL FROM c UNION ALL SELECT 'removed', split, k, k FROM c WHERE k > 0 UNION ALL SELECT 'captured', split, k, k FROM c WHERE split = 'train'"""
 
 QUERIES = {
     "registered_members": REGISTERED_MEMBERS, "recorded_decisions": RECORDED_DECISIONS, "reproduced_model": REPRODUCED_MODEL, "scored_by_models": SCORED_BY_MODELS, "captured_versions": CAPTURED_VERSIONS, "as_of_rows": AS_OF_ROWS, "new_subjects": NEW_SUBJECTS,
     "recorded_facts": RECORDED_FACTS, "model_quality": MODEL_QUALITY, "config_digests": CONFIG_DIGESTS, "fitted_length": FITTED_LENGTH, "evaluated_groups": EVALUATED_GROUPS, "erased_models": ERASED_MODELS, "recovered_erasure": RECOVERED_ERASURE,
-    "subject_reports": SUBJECT_REPORTS, "pending_decisions": PENDING_DECISIONS,
+    "subject_reports": SUBJECT_REPORTS, "pending_decisions": PENDING_DECISIONS, "fitted_models": FITTED_MODELS, "blocked_scores": BLOCKED_SCORES, "model_curves": MODEL_CURVES, "background_sample": BACKGROUND_SAMPLE, "broken_erasure": BROKEN_ERASURE,
 }
