@@ -43,7 +43,14 @@ from tracewell.llm.shared import BROADCAST_BYTES, TEXTS_AT_ONCE, Scratch, mix, t
 SEGMENT_KEYS, GROUP_KEYS, CHUNK_ROWS, FAN_IN = 16_384, 4, 1 << 20, 16
 #: Chunks of text that are kept with their groups, and chunks of the documents that are looked up together.
 CACHED, MOST_PENDING = 400_000, 200_000
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT, _TWO = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
+
+
+def chunks_of(text: str) -> list[str]:
+    """A text cut at single spaces between characters that aren't white space."""
+    if text[0] == " " or text[-1] == " " or _TWO.search(text):
+        return _CUT.split(text)
+    return text.split(" ")
 
 
 def vocabularies() -> tuple[str, str]:
@@ -194,7 +201,7 @@ def _documents(ids: list, column: pa.Array) -> Iterator[tuple[list, list[list[st
     waiting, chunks, n = [], [], 0
     for doc, raw in zip(ids, text_bytes(column), strict=True):
         try:
-            own = _CUT.split(raw.decode()) if raw else []
+            own = chunks_of(raw.decode()) if raw else []
         except UnicodeDecodeError:
             own = []
         waiting.append(doc)
@@ -394,9 +401,11 @@ def aligned(docs: DataFrame, lookup, best, id_col: str = "doc_id", text_col: str
         def counted(links: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
             """n_best, count_sum and the number of links that ``table`` doesn't know, of each of n chunks."""
             count = table(links)
-            there, total = count >= 0, np.zeros(n, np.int64)
-            np.add.at(total, owner, np.where(there, count, 0))
-            return np.column_stack([np.bincount(owner, there & (count == top[links // aligner.b_size]), n).astype(np.int64), total, np.bincount(owner, ~there, n).astype(np.int64)])
+            there = count >= 0
+            columns = (there & (count == top[links // aligner.b_size]), np.where(there, count, 0), ~there)
+            sums = [np.concatenate([[0], np.cumsum(c, dtype=np.int64)]) for c in columns]
+            ends = np.cumsum(np.bincount(owner, minlength=n))
+            return np.column_stack([s[ends] - s[np.concatenate([[0], ends[:-1]])] for s in sums])
 
         known = Chunks(aligner, True, counted)
         for batch in batches:
