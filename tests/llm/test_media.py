@@ -100,3 +100,33 @@ def test_bad_files(spark):
     count = lambda i: (sum(r.id == i and r.error is None for r in rows), sum(r.id == i and r.error is not None for r in rows))
     assert [count(i) for i in range(1, 7)] == [(0, 1), (0, 1), (0, 1), (2, 0), (1, 1), (0, 1)]
     assert media.tiff_pages(files.limit(0), keep=("id",)).count() == 0
+
+
+def test_pages_leave_by_bytes(spark):
+    """Many small files of large pages: no more than a page over PAGES_BYTES waits in a task."""
+    import pyarrow as pa
+
+    page = np.zeros((512, 4096), np.uint8)
+    file = media.write_tiff([page, page + 1])
+    df = spark.createDataFrame([(i, bytearray(file)) for i in range(12)], "k long, media binary")
+    assert media.tiff_pages(df, keep=("k",)).where("error IS NULL").groupBy("k").count().where("count = 2").count() == 12
+    taken = {}
+
+    def catch(run, schema):
+        taken["run"] = run
+        raise StopIteration
+
+    class Files:
+        schema = df.select("k", "media").schema
+
+        def select(self, *_):
+            return self
+
+    Files.mapInArrow = lambda self, run, schema: catch(run, schema)
+    try:
+        media.tiff_pages(Files(), keep=("k",))
+    except StopIteration:
+        pass
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array([file] * 12, pa.binary())], names=["k", "__media"])
+    sizes = [sum(len(x) for x in out.column(6).to_pylist()) for out in taken["run"](iter([batch]))]
+    assert sum(sizes) == 24 * page.size and max(sizes) <= media.PAGES_BYTES + page.size

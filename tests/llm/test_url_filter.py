@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tests.helpers import same
 from tracewell.llm import queries, url_filter
 
@@ -76,3 +78,22 @@ def test_shrinkage(spark):
 
 def test_empty(spark):
     assert run(spark, []) == [] and run(spark, ["x://a.b/"], rules=spark.createDataFrame([], "rule_host string, rule_path string, verdict string"))[0][3] == "allow"
+
+
+def test_sites(spark):
+    """User, port and final dots don't part a site's outcomes; addresses with a common end aren't pooled."""
+    rows = spark.createDataFrame([(h,) for h in ("me@a.example.com:8080", "a.example.com.", "10.0.0.1:80", "8.9.0.1", "[2001:db8::1]:443", "example.co.uk.:1", "")], "host string").withColumn("host", url_filter.site_of(F.col("host")))
+    got = {(r.host, r.suffix, r.domain) for r in url_filter.rolled_up(rows).collect()}
+    assert got == {("a.example.com", "com", "example.com"), ("10.0.0.1",) * 3, ("8.9.0.1",) * 3, ("[2001:db8::1]",) * 3, ("example.co.uk", "co.uk", "example.co.uk"), ("", "", "")}
+    urls = [f"x://10.0.0.1:{i}/" for i in range(40)] + [f"x://8.9.0.1/{i}" for i in range(5)] + [f"x://u{i}@good.net./" for i in range(40)]
+    found = run(spark, urls, [(i, i < 40) for i in range(85)])
+    assert {f[3] for f in found[:40]} == {"block"} and {f[3] for f in found[40:]} == {"allow"} and found[3][0] == "10.0.0.1:3"
+
+
+def test_sql_with_ports_and_addresses(spark, tmp_path):
+    hosts = [("u@bad.net:81", 1), ("bad.net.", 1), ("bad.net", 1), ("10.1.2.3:8", 1), ("9.9.2.3", 0), ("ok.co.uk", 0), ("[::1]:9", 0)]
+    pages = [(i, f"http://{h}/p{i}", "") for i, (h, _) in enumerate(hosts * 12)]
+    labels = [(i, 1, b) for i, (_, b) in enumerate(hosts * 12)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    same(queries.op6_url_filter(spark, str(tmp_path)), queries.OP6_SQL, str(tmp_path))

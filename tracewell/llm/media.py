@@ -187,6 +187,10 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, tiled: bool
     return bytes(out)
 
 
+#: Decoded bytes of the pages that leave a task together; one page may be more.
+PAGES_BYTES = 8 << 20
+
+
 def read_tiff(data: bytes) -> Iterator[tuple[np.ndarray, int]]:
     """(samples as rows x columns x samples a pixel, compression) of each page."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
@@ -273,29 +277,40 @@ def tiff_pages(files: DataFrame, media_col: str = "media", keep: tuple[str, ...]
     some = files.select(*keep, F.col(media_col).alias("__media"))
     names = [*keep, *own.fieldNames()]
 
-    def decoded(data: bytes | None) -> list[tuple]:
-        rows: list[tuple] = []
+    def decoded(data: bytes | None) -> Iterator[tuple]:
+        """A file's pages one after the other, then its error if it has one."""
+        n = 0
         try:
             if data is None:
                 raise ValueError("no data")
             for page, compression in read_tiff(data):
-                rows.append((len(rows), page.shape[1], page.shape[0], page.shape[2], compression, page.tobytes(), feature_of(page), None))
-            if not rows:
+                yield n, page.shape[1], page.shape[0], page.shape[2], compression, page.tobytes(), feature_of(page), None
+                n += 1
+            if not n:
                 raise ValueError("no page")
         except (ValueError, KeyError, IndexError, TypeError, ArithmeticError, struct.error, zlib.error, MemoryError) as e:
-            rows.append((None,) * 7 + (f"{type(e).__name__}: {e}",))
-        return rows
+            yield (None,) * 7 + (f"{type(e).__name__}: {e}",)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32()] * 5 + [pa.binary(), pa.string(), pa.string()]
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                per = [decoded(x) for x in part.column(len(keep)).to_pylist()]
-                took = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in per]))
-                made = list(zip(*(r for x in per for r in x), strict=True))
-                if made:
-                    columns = [part.column(i).take(took) for i in range(len(keep))] + [pa.array(c, t) for c, t in zip(made, types, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+            took, rows, size = [], [], 0
+
+            def made() -> pa.RecordBatch:
+                columns = [b.column(i).take(pa.array(took)) for i in range(len(keep))] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                took.clear()
+                rows.clear()
+                return pa.RecordBatch.from_arrays(columns, names=names)
+
+            for at in range(b.num_rows):
+                for row in decoded(b.column(len(keep))[at].as_py()):
+                    took.append(at)
+                    rows.append(row)
+                    size += len(row[5] or b"")
+                    if size > PAGES_BYTES or len(rows) >= 500:  # pages wait until they are so many bytes, not files
+                        yield made()
+                        size = 0
+            if rows:
+                yield made()
 
     return some.mapInArrow(run, T.StructType([*(some.schema[k] for k in keep), *own.fields]))

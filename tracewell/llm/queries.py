@@ -93,15 +93,17 @@ def _level(name: str, keys: str, source: str) -> str:
 {name} AS MATERIALIZED (SELECT {keys}, s * m + bad AS a, s * (1 - m) + n - bad AS b FROM (SELECT *, 1 / (rho / (1 - rho) + 1 / k) AS s FROM {name}_in, {name}_rho))"""
 
 
+_ADDRESS = url_filter.ADDRESS
 _TWO = ", ".join(f"'{x}'" for x in url_filter.SUFFIXES)
 _RULES = ", ".join(str(x) for x in url_filter.RULES)
 OP6_SQL = rf"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 o AS (SELECT doc_id AS page_id, CAST(toxic = 1 OR quality = 0 AS BIGINT) AS bad FROM labels WHERE (toxic = 1 OR quality = 0) IS NOT NULL),
-hh AS (SELECT host, count(o.page_id) AS n, coalesce(sum(bad), 0) AS bad FROM u LEFT JOIN o USING (page_id) GROUP BY host),
+st AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') AS site FROM u),
+hh AS (SELECT site AS host, count(o.page_id) AS n, coalesce(sum(bad), 0) AS bad FROM st LEFT JOIN o USING (page_id) GROUP BY site),
 h2 AS (SELECT *, string_split(host, '.') AS p FROM hh),
 h3 AS (SELECT host, n, bad, array_to_string(p[-2:], '.') AS two, array_to_string(p[-3:], '.') AS three, p[-1] AS one FROM h2),
-h AS (SELECT host, n, bad, CASE WHEN two IN ({_TWO}) THEN two ELSE one END AS suffix, CASE WHEN two IN ({_TWO}) THEN three ELSE two END AS domain FROM h3),
+h AS (SELECT host, n, bad, CASE WHEN regexp_matches(host, '{_ADDRESS}') THEN host WHEN two IN ({_TWO}) THEN two ELSE one END AS suffix, CASE WHEN regexp_matches(host, '{_ADDRESS}') THEN host WHEN two IN ({_TWO}) THEN three ELSE two END AS domain FROM h3),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 t AS (SELECT (coalesce(sum(bad), 0) + {url_filter.PRIOR} * 0.5) / (coalesce(sum(n), 0) + {url_filter.PRIOR}) AS m, coalesce(sum(n), 0) + {url_filter.PRIOR} AS k FROM d),
 {_level("ls", "suffix", "SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m, any_value(k) AS k FROM d, t GROUP BY suffix")},
@@ -111,7 +113,7 @@ v AS (SELECT host, a / (a + b) - {url_filter.Z} * sqrt(a * b / (pow(a + b, 2) *
 x(rh, rp, verdict) AS (VALUES {_RULES}),
 f AS (SELECT page_id, rh || rp AS rule, verdict FROM u JOIN x ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
   QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, rh || rp DESC) = 1)
-SELECT u.page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN worse THEN 'block' ELSE 'allow' END) AS verdict FROM u JOIN v USING (host) LEFT JOIN f USING (page_id)
+SELECT u.page_id, u.host, path, f.rule, coalesce(f.verdict, CASE WHEN worse THEN 'block' ELSE 'allow' END) AS verdict FROM st u JOIN v ON v.host = site LEFT JOIN f USING (page_id)
 """
 
 

@@ -10,6 +10,9 @@ Rules come first. A rule (host, path) fits its host and all subdomains, for path
 that fit, the longest decides. Rules are looked up for distinct hosts, by equality on the host's suffixes; only a
 host's own few rules go to its pages, with its verdict, in one join that adaptive execution may split.
 
+Reputation is kept by site: hosts that differ in user, port or final dots only are one, and an address (10.0.0.1) belongs to
+no domain. Rules look at the host as it stands in the url.
+
 Edge cases. Null url or none with "://": host and path empty, no rule unless one has an empty host, verdict by the
 overall record. Ties between rules of one length: the one that sorts last. Repeated rows give one row each; a page id
 with several labels counts each. Null labels don't count. Extra columns are ignored. Empty tables give empty results;
@@ -41,12 +44,21 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 2)
 
 
+#: Numbers and dots, or brackets, as addresses have them.
+ADDRESS = "^([0-9]{1,3}([.][0-9]{1,3}){3}|\\[.*\\])$"
+
+
+def site_of(host: Column) -> Column:
+    """What a host's reputation is kept under: without user, port and final dots."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), "[.]+$", "")
+
+
 def rolled_up(hosts: DataFrame, suffixes: list[str] | DataFrame = SUFFIXES) -> DataFrame:
     """``hosts`` (host and any columns) with suffix and domain, by rules for public suffixes.
 
     A rule is a suffix (``co.uk``), a wildcard for one more label (``*.ck``) or an exception to one (``!www.ck``, whose
     suffix is ck). The exception wins, else the longest; without a rule the suffix is the last label. The domain has one
-    label more, or is the host where that has none more.
+    label more, or is the host where that has none more. An address is its own suffix and domain.
     """
     spark = hosts.sparkSession
     rules = suffixes if isinstance(suffixes, DataFrame) else spark.createDataFrame([(x,) for x in suffixes], "suffix_rule string")
@@ -64,7 +76,8 @@ def rolled_up(hosts: DataFrame, suffixes: list[str] | DataFrame = SUFFIXES) -> D
     labels = F.coalesce(F.col("best.labels"), F.lit(1))
     out = hosts.join(fit, "host", "left")
     last = lambda n: F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n), ".")
-    return out.withColumn("suffix", last(labels)).withColumn("domain", last(labels + 1)).drop("best")
+    address = F.col("host").rlike(ADDRESS)
+    return out.withColumn("suffix", F.when(address, F.col("host")).otherwise(last(labels))).withColumn("domain", F.when(address, F.col("host")).otherwise(last(labels + 1))).drop("best")
 
 
 def _shrunk(groups: DataFrame) -> DataFrame:
@@ -98,8 +111,9 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "url-filter")
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     outcomes = labels.select("page_id", F.col("bad").cast("long").alias("bad")).where("bad IS NOT NULL")
-    counts = urls.select("page_id", "host").join(outcomes, "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    hosts = scratch.table(urls.select("host").distinct().join(counts, "host", "left").fillna(0, ["n", "bad"]))
+    counts = urls.select("page_id", site_of(F.col("host")).alias("site")).join(outcomes, "page_id").groupBy("site").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    hosts = scratch.table(urls.select("host").distinct().withColumn("site", site_of(F.col("host"))))
+    sites = scratch.table(hosts.select("site").distinct().join(counts, "site", "left").fillna(0, ["n", "bad"]).withColumnRenamed("site", "host"))
 
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(rules, "rule_host string, rule_path string, verdict string")
@@ -109,7 +123,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]
     fitting = above.join(rules.dropDuplicates(), "rule_host").groupBy("host").agg(F.collect_list(rule).alias("rules"))
 
     rate, sd = F.expr("a / (a + b)"), F.expr("sqrt(a * b / (pow(a + b, 2) * (a + b + 1)))")
-    known = reputations(hosts, scratch, suffixes).select("host", rate.alias("bad_rate"), (rate - z * sd).alias("lower_bound")).join(fitting, "host", "left")
+    known = hosts.join(reputations(sites, scratch, suffixes).withColumnRenamed("host", "site"), "site").select("host", rate.alias("bad_rate"), (rate - z * sd).alias("lower_bound")).join(fitting, "host", "left")
     known = scratch.table(known)
     size = known.agg(F.sum(F.length("host") + 32 + 128 * F.size(F.coalesce("rules", F.array())))).first()[0] or 0
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r.prefix)))
