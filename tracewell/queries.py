@@ -175,8 +175,8 @@ def row_digests(spark, sf_dir):
     return o.select("o_orderkey", identity.row_digest(o, *_ORDER).alias("digest"), identity.row_digest(o, "at", "o_orderkey").alias("exact_digest"), identity.row_digest(o, "cents", "raw").alias("typed_digest"))
 
 
-ROW_DIGESTS = f"""SELECT o_orderkey, sha256({_ORDER_JSON}) AS digest, sha256('{{"at":"' || strftime(at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '.' || strftime(at, '%f') END || '+00:00","o_orderkey":' || o_orderkey || '}}') AS exact_digest,
-  sha256('{{"cents":"' || CAST(round(o_totalprice, 2) AS DECIMAL(18, 2)) || '","raw":"' || lower(hex(o_orderstatus)) || '"}}') AS typed_digest FROM (SELECT *, o_orderdate::TIMESTAMP + to_microseconds(o_orderkey % 3 * 250001) AS at FROM orders)"""
+ROW_DIGESTS = f"""SELECT o_orderkey, sha256({_ORDER_JSON}) AS digest, sha256('{{"at":"' || strftime(tm, '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '.' || strftime(tm, '%f') END || '+00:00","o_orderkey":' || o_orderkey || '}}') AS exact_digest,
+  sha256('{{"cents":"' || CAST(round(o_totalprice, 2) AS DECIMAL(18, 2)) || '","raw":"' || lower(hex(o_orderstatus)) || '"}}') AS typed_digest FROM (SELECT *, o_orderdate::TIMESTAMP + to_microseconds(o_orderkey % 3 * 250001) AS tm FROM orders)"""
 
 
 def flat_digest(spark, sf_dir):

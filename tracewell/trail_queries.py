@@ -327,7 +327,7 @@ def pending_decisions(spark, sf_dir):
     before = decisions.pending(spark, trail, spool)
     decisions.drain(trail, spool, f"{root}/ck").awaitTermination()
     counts = [("pending before", before), ("pending after", decisions.pending(spark, trail, spool))]
-    lines.where(key % 3 == 0).select(F.regexp_replace("value", '"prediction_id":"', '"prediction_id":"9').alias("value")).write.text(f"{root}/spool/c")
+    lines.where(key % 3 == 0).select(F.regexp_replace("value", '"prediction_id":"', '"prediction_id":"x').alias("value")).write.text(f"{root}/spool/c")
     counts.append(("pending in new files", decisions.pending(spark, trail, spool, f"{root}/ck")))
     came = trail.read("audit.predictions").agg(F.countDistinct("prediction_id").alias("n")).select(F.lit("decisions").alias("what"), "n")
     every = trail.read("audit.predictions").agg(F.count("*").alias("n")).select(F.lit("prediction rows").alias("what"), "n")
