@@ -4,6 +4,7 @@ import pytest
 
 from tests.helpers import same
 from tracewell.llm import near_dup, queries
+from tracewell.llm.shared import Scratch, released
 
 
 def brute(texts):
@@ -86,6 +87,25 @@ def test_bucket_of_many_short_texts(spark):
     assert sorted((min(r), max(r)) for r in links) == [(d, d + n - 5) for d in range(5)]
 
 
+@pytest.mark.parametrize(("label", "alike"), [("id", "id div 4"), ("IF(id % 500 = 0, id, -1L)", "id % 5")])
+def test_rows_by_shingle_grow_with_the_members(spark, label, alike):
+    """Four times the members of one bucket make four times the rows: four alike, or a fifth of all alike of one label but for a few."""
+    counts = []
+    for n in (5_000, 20_000):
+        docs = spark.range(n).repartition(8).selectExpr("id AS doc_id", f"{label} AS label", f"concat(id % 7, ' one two three four five six seven eight nine ten a ', {alike}, ' b c d e f g') AS text")
+        with released():
+            rows = near_dup.rare_shingles(docs.select("doc_id", "label"), docs.select("doc_id", "text"), 75, Scratch(spark, "rows"))
+            counts.append((rows.count(), near_dup.dealt_by_shingle(rows, most=500).count()))
+    (few, sent), (many, most) = counts
+    assert 0 < sent and abs(many / few - 4) < 0.1 and most <= 4.4 * sent
+
+
+def test_members_of_a_large_bucket_meet_by_shingle(spark, monkeypatch):
+    """Chains, repeated ids and long texts in buckets beyond the limit: the components of brute force."""
+    monkeypatch.setattr(near_dup.unresolved_links, "__defaults__", (3000, 8))
+    test_brute_force_with_chains_and_edge_cases(spark)
+
+
 def test_posterior_limits():
     least = near_dup.least_matches(0.75, 1e-6)
     assert list(least) == list(range(16, 129, 16))

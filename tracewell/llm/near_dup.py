@@ -17,8 +17,11 @@ documents are linked when 100 * |A & B| >= 75 * |A | B|. The steps:
    of different labels, drops pairs by step 3's test, leaves a pair to the first bucket that it shares, and verifies the
    rest exactly, most similar first; a link joins two labels within the task, and later pairs within one label are
    skipped. With many members only those are compared that have one of their rarest shingles in common, as linked sets
-   must.
-   So what leaves a task is a forest of links, less than one a member, whatever the number of pairs.
+   must. So what leaves a task is a forest of links, less than one a member, whatever the number of pairs.
+   A bucket of more than MEMBERS members isn't dealt into pairs of blocks. The members of all such buckets make a row for
+   each of their rarest shingles instead, a quarter of a set or so, and only those meet that share one and differ in
+   label. Among those of a shingle, members of its commonest label aren't paired with each other. So rows grow with the
+   shingles of the members, not with the square of their number.
 5. Connected components of the labels, by alternating large-star and small-star steps on a written edge table.
 
 Edge cases. Null text, empty text or white space only: an empty set, n_shingles 0, its own component. Fewer than
@@ -36,7 +39,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.shared import Scratch, WordHashes, broadcast_if_small, mix, text_bytes
@@ -45,6 +48,7 @@ SHINGLE, BANDS, ROWS, STEP = 5, 32, 4, 16
 HASHES = BANDS * ROWS
 #: Shingles and members of a block in step 4; a task holds two blocks at a time, about 8 MB of sets, as much text and 16 MB
 #: of signatures. Up to ALL_PAIRS members are compared each with each, more through an index.
+#: A bucket of more than MEMBERS goes by its members' rarest shingles.
 BLOCK, MEMBERS, ALL_PAIRS = 500_000, 16_000, 1500
 _rng = np.random.default_rng(20240611)
 _MULT = (_rng.integers(1, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -239,8 +243,11 @@ class _Index:
         return y[(self.sizes[y] < self.sizes[x]) | ((self.sizes[y] == self.sizes[x]) & (y < x))]
 
 
-def _forest(own: np.ndarray, i: int, j: int, band: int, ids: np.ndarray, labels: np.ndarray, sigs: np.ndarray, texts: list[bytes], least: dict[int, int], percent: int) -> list[tuple[int, int]]:
-    """Links between blocks i and j (or within i) that join different labels, each joining two that were apart."""
+def _forest(own: np.ndarray, i: int, j: int, band: int | None, ids: np.ndarray, labels: np.ndarray, sigs: np.ndarray, texts: list[bytes], least: dict[int, int], percent: int, rank: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between blocks i and j (or within i) that join different labels, each joining two that were apart.
+
+    With a band, only pairs that share no earlier one; with ranks, only pairs whose ranks go as i and j do.
+    """
     hashes, sets, up = WordHashes(), {}, {}
 
     def root(x: int) -> int:
@@ -260,10 +267,11 @@ def _forest(own: np.ndarray, i: int, j: int, band: int, ids: np.ndarray, labels:
     for x in left.tolist() if index is None else range(len(own)):
         y = index(x) if index is not None else right[right > x] if i == j else right
         y = y[(labels[y] != labels[x]) & ((own[y] != own[x]) | (i == j))]
+        y = y if rank is None else y[(rank[y] > rank[x]) == (own[y] > own[x])]
         if not len(y):
             continue
         y = y[_survive(np.broadcast_to(sigs[x], (len(y), HASHES)), sigs[y], least)]
-        y = y[(bands[y] == bands[x]).all(axis=2).argmax(axis=1) == band]
+        y = y[(bands[y] == bands[x]).all(axis=2).argmax(axis=1) == band] if rank is None else y
         for z in y[np.argsort(-(sigs[y] == sigs[x]).sum(axis=1), kind="stable")].tolist():
             p, q = root(int(labels[x])), root(int(labels[z]))
             if p != q:
@@ -275,26 +283,101 @@ def _forest(own: np.ndarray, i: int, j: int, band: int, ids: np.ndarray, labels:
     return links
 
 
+def rare_shingles(members: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(token, doc_id, label, n, held): the rarest shingles of each member (doc_id, label) that others have too.
+
+    Of a set of n a member asks for its first n - ceil(s n) + 1 shingles by frequency and is held under the first
+    n - ceil(2 s n / (1 + s)) + 1: of two sets linked at similarity s the larger asks for a shingle that holds the smaller.
+    """
+    names = "doc_id long, label long, part long, n long, token long"
+    out = pa.schema([(c.split()[0], pa.int64()) for c in names.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            rows, count = [], 0
+            for doc, label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2)), strict=True):
+                shingles = shingle_set(_words(text), hashes).view(np.int64)
+                part = xxhash.xxh3_64_intdigest(text) >> 1
+                for at in range(0, len(shingles), 100_000):
+                    some = shingles[at : at + 100_000]
+                    rows.append(np.vstack([np.broadcast_to(np.array([[doc], [label], [part], [len(shingles)]]), (4, len(some))), some]))
+                    count += len(some)
+                    if count >= 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.hstack(rows)], schema=out)
+                        rows, count = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.hstack(rows)], schema=out)
+
+    every = scratch.table(texts.join(members, "doc_id").select("doc_id", "label", "text").mapInArrow(run, names))
+    common = every.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    # Rows of one doc_id with other texts are sets of their own; equal rows have equal ranks.
+    rank = F.dense_rank().over(Window.partitionBy("doc_id", "part").orderBy(F.coalesce("f", F.lit(1)), "token"))
+    ranked = every.join(common, "token", "left").withColumn("rank", rank).where("f > 1")
+    first = lambda up, down: F.expr(f"n - ({up} * n + {down} - 1) div {down} + 1")
+    return ranked.where(F.col("rank") <= first(percent, 100)).select("token", "doc_id", "label", "n", (F.col("rank") <= first(2 * percent, 100 + percent)).alias("held"))
+
+
+def dealt_by_shingle(rows: DataFrame, block: int = BLOCK, most: int = MEMBERS) -> DataFrame:
+    """(token, way, i, j, own, doc_id, label, n): who of ``rare_shingles`` meets whom; own 0 meets own 1 of the same key.
+
+    Pairs of different labels have a member outside the token's commonest label. Way a: held members outside it meet all
+    larger ones; way b: members outside it meet held smaller ones of it. Each side is dealt into blocks of bounded shingles and members, so if
+    nearly all have one label, or few are held, one side is a single block and the other is sent once.
+    """
+    labels = rows.groupBy("token", "label").agg(F.count("*").alias("n"), F.sum("n").alias("s"), F.count_if("held").alias("h"), F.sum(F.when(F.col("held"), F.col("n")).otherwise(0)).alias("hs"))
+    groups = labels.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("n", "s", "h", "hs")), F.max(F.struct("n", "label", "s", "h", "hs")).alias("top"))
+    groups = groups.where("n > top.n AND h > 0")
+    size = lambda n, s: F.greatest(F.lit(1), F.ceil(F.expr(n) / most), F.ceil(F.expr(s) / block)).cast("int")
+    groups = groups.select("token", F.col("top.label").alias("top"), F.expr("h > top.h").alias("a"), F.expr("top.h > 0").alias("b"), size("h - top.h", "hs - top.hs").alias("a0"), size("n", "s").alias("a1"), size("n - top.n", "s - top.s").alias("b0"), size("top.h", "top.hs").alias("b1"))
+
+    def place(way: str, own: int, where: str):
+        return F.when(F.expr(where), F.struct(F.lit(way).alias("way"), F.lit(own).alias("own"), F.col(f"{way}{own}").alias("mine"), F.col(f"{way}{1 - own}").alias("others")))
+
+    places = F.array(place("a", 0, "held AND label <> top"), place("a", 1, "a"), place("b", 0, "b AND label <> top"), place("b", 1, "held AND label = top"))
+    placed = rows.join(groups, "token").select("token", "doc_id", "label", "n", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p")).select("token", "doc_id", "label", "n", "p.*")
+    placed = placed.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.col("mine")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    i, j = F.when(F.col("own") == 0, F.col("at")).otherwise(F.col("other")), F.when(F.col("own") == 0, F.col("other")).otherwise(F.col("at"))
+    return placed.select("token", "way", i.alias("i"), j.alias("j"), "own", "doc_id", "label", "n")
+
+
 def unresolved_links(members: DataFrame, sketch: DataFrame, texts: DataFrame, least: dict[int, int], percent: int, block: int = BLOCK, most: int = MEMBERS) -> DataFrame:
     """Links (a, b) that join the labels of the members (bucket, band, doc_id, label) of each bucket with several.
 
-    A bucket of s shingles and n members is dealt into ceil(s / block) or ceil(n / most) blocks; each member goes to every
-    pair of blocks that has its own, and one task has one pair of blocks.
+    A bucket of s shingles and at most ``most`` members is dealt into ceil(s / block) blocks; each member goes to every pair
+    of blocks that has its own, and one task has one pair of blocks. The members of larger buckets meet by their rarest
+    shingles; a pair of them is linked if it is, whether or not it shares a bucket.
     """
-    rows = members.join(sketch.select("doc_id", "n_shingles", "sig"), "doc_id")
-    sizes = rows.groupBy("bucket").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    sizes = sizes.where("lo <> hi").select("bucket", F.greatest(F.ceil(F.col("s") / block), F.ceil(F.col("n") / most)).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "band", "doc_id", "label", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(texts, "doc_id")
+    scratch = Scratch(members.sparkSession, "near-dup-open")
+    sized = members.join(sketch.select("doc_id", "n_shingles"), "doc_id")
+    sizes = sized.groupBy("bucket").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    sizes = scratch.table(sizes.where("lo <> hi").select("bucket", "n", F.ceil(F.col("s") / block).cast("int").alias("blocks")))
+    sigs = sketch.select("doc_id", "sig")
 
     def compare(key, t):
         t = t.sort_by("doc_id")
         column = lambda c: t.column(c).to_numpy()
-        links = _forest(column("own"), key[1].as_py(), key[2].as_py(), t.column("band")[0].as_py(), column("doc_id"), column("label"), _signatures(t.column("sig")), list(text_bytes(t.column("text"))), least, percent)
+        i, j, band, rank = key[1].as_py(), key[2].as_py(), None, None
+        if "way" in t.column_names:
+            # By set size, then id: side 0 has the smaller of a pair in way a, the larger in way b.
+            i, j, rank = 0, 1, np.argsort(np.lexsort((column("doc_id"), column("n"))))
+            rank = rank if key[1].as_py() == "a" else -rank
+        else:
+            band = t.column("band")[0].as_py()
+        links = _forest(column("own"), i, j, band, column("doc_id"), column("label"), _signatures(t.column("sig")), list(text_bytes(t.column("text"))), least, percent, rank)
         return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+    dealt = members.join(sizes.where(F.col("n") <= most), "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "band", "doc_id", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    links = dealt.join(sigs, "doc_id").join(texts, "doc_id").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+    large = sizes.where(F.col("n") > most)
+    if large.take(1):
+        within = scratch.table(members.join(large, "bucket", "left_semi").select("doc_id", "label").distinct())
+        rows = scratch.table(rare_shingles(within, texts, percent, scratch))
+        by_shingle = dealt_by_shingle(rows, block, most).join(sigs, "doc_id").join(texts, "doc_id")
+        links = links.union(by_shingle.groupBy("token", "way", "i", "j").applyInArrow(compare, "a long, b long"))
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, miss: float = 1e-6) -> DataFrame:
