@@ -495,3 +495,44 @@ def test_streamed_history_is_read_by_day(spark, trail):
 
     plan = decisions.on_days(trail, "audit.predictions", [datetime.date(2024, 1, 2)])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan or "PartitionFilters: [day" in plan.replace("isnotnull", "")
+
+
+def one_day(spark, n):
+    p, a = some_decisions(spark, n)
+    return (x.withColumn("prediction_ts", F.lit("2024-03-01 12:00:00").cast("timestamp")) for x in (p, a))
+
+
+def test_a_day_of_any_size_is_dealt_into_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(decisions, "SLICE", 100)
+    t = Trail(spark, str(tmp_path / "t"), buckets=3)
+    t.bootstrap()
+    p, a = one_day(spark, 1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it would join slices as small as these
+    try:
+        assert decisions.record(t, p, a) == 1000 and decisions.record(t, p, a) == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for table, n in (("audit.predictions", 1000), ("audit.attributions", 2000)):
+        files = t.read(table).groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("n")).collect()
+        assert sum(r.n for r in files) == n and len(files) > 2 and max(r.n for r in files) < n
+    pairs = t.read("audit.attributions").select("prediction_id", "feature_name")
+    assert pairs.distinct().count() == 2000
+
+
+def test_parts_carry_their_decision_without_a_shuffle(spark, trail, model, first):
+    asked = trail.materialize(first["eval_snapshot"]).select(F.col("subject_id").alias("request_key"), "subject_id", *versions.input_columns())
+    _, a, _ = models.decide(trail, model, asked)
+    assert "SortMergeJoin" not in (plan := a._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(prediction_id" not in plan
+
+
+def test_means_are_counted_from_their_sources(trail, first):
+    rows = trail.materialize(first["train_snapshot"])
+    columns = fit.encoding(rows)
+    assert models._means(rows, columns) == pytest.approx([r.m for r in rows.select(F.posexplode(fit.encoded(columns)).alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m")).orderBy("pos").collect()], abs=1e-9)
+
+
+def test_ends_are_trimmed_of_all_white_space(spark):
+    odd = [chr(i) for i in range(0x3100)]
+    rows = spark.createDataFrame([(f"{c}{d}a{c} b{d}{c}",) for c in odd for d in ("", " ", "\t")], "v string")
+    assert [r[0] for r in rows.where(scoring.strip(F.col("v")) != F.regexp_replace("v", "(?U)^[\\s\\x1C-\\x1F]+|[\\s\\x1C-\\x1F]+$", "")).collect()] == []
+    assert "regexp_replace" not in str(scoring.strip(F.col("v")))
