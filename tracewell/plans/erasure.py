@@ -41,8 +41,15 @@ class Staged:
 
 def stage_removal(trail: Trail, table: str, subjects: DataFrame) -> Staged | None:
     """Writes the buckets that hold the subjects, without them, as a new generation; nothing to remove, nothing written."""
+    wanted = subjects.select("subject_id").distinct().withColumn("gone", F.lit(1)).persist()  # ids alone, asked for four times
+    try:
+        return _staged(trail, table, wanted)
+    finally:
+        wanted.unpersist()
+
+
+def _staged(trail: Trail, table: str, wanted: DataFrame) -> Staged | None:
     n = trail.next_commit(table)
-    wanted = subjects.select("subject_id").distinct().withColumn("gone", F.lit(1))
     held = trail.in_buckets(table, trail.buckets_of(wanted))
     counts = held.join(wanted, "subject_id", "left_semi").groupBy(BUCKET).agg(F.count("*").alias("n")).collect()  # a row a bucket
     if not counts:
@@ -113,7 +120,14 @@ def log_request(trail: Trail, subjects: DataFrame) -> DataFrame:
 
     resolution_json says which versions hold the subject; of a request that goes on, those found before and now.
     """
-    wanted = subjects.select("subject_id").distinct()
+    wanted = subjects.select("subject_id").distinct().persist()  # ids alone, asked for eight times below
+    try:
+        return _logged(trail, wanted)
+    finally:
+        wanted.unpersist()
+
+
+def _logged(trail: Trail, wanted: DataFrame) -> DataFrame:
     open_ones = trail.current("audit.erasure_requests", "request_id").where("status <> 'completed'").drop(COMMIT).join(wanted, "subject_id", "left_semi")
     fresh = wanted.join(open_ones.select("subject_id"), "subject_id", "left_anti")
     key = identity.joined_key(uuid.uuid4().hex, F.col("subject_id"))
@@ -127,8 +141,9 @@ def log_request(trail: Trail, subjects: DataFrame) -> DataFrame:
     rows = open_ones.unionByName(new, allowMissingColumns=True).join(_sets(held_by(trail, wanted), "data_snapshot_uuid", "found"), "subject_id", "left")
     before = F.from_json("resolution_json", _PLAN)["snapshots_tombstoned"]
     plan = F.to_json(F.struct(_union(before, F.col("found")).alias("snapshots_tombstoned")))
-    trail.append("audit.erasure_requests", rows.withColumn("resolution_json", plan).withColumn("status", F.lit("in_progress")))
-    return trail.current("audit.erasure_requests", "request_id").where("status = 'in_progress'").join(wanted, "subject_id", "left_semi").drop(COMMIT)
+    n = trail.append("audit.erasure_requests", rows.withColumn("resolution_json", plan).withColumn("status", F.lit("in_progress")))
+    # a subject in question has an open request, and this commit wrote the state of each of those
+    return trail.current("audit.erasure_requests", "request_id").where(F.col("status") == "in_progress").where(F.col(COMMIT) == F.lit(n)).drop(COMMIT)
 
 
 def planned(requests: DataFrame) -> DataFrame:
