@@ -536,3 +536,17 @@ def test_ends_are_trimmed_of_all_white_space(spark):
     rows = spark.createDataFrame([(f"{c}{d}a{c} b{d}{c}",) for c in odd for d in ("", " ", "\t")], "v string")
     assert [r[0] for r in rows.where(scoring.strip(F.col("v")) != F.regexp_replace("v", "(?U)^[\\s\\x1C-\\x1F]+|[\\s\\x1C-\\x1F]+$", "")).collect()] == []
     assert "regexp_replace" not in str(scoring.strip(F.col("v")))
+
+
+def test_an_erasure_works_out_its_subjects_once(spark, tmp_path):
+    t = Trail(spark, str(tmp_path / "t"), buckets=2)
+    t.bootstrap()
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    subjects = spark.range(10, numPartitions=1).select(F.concat(F.lit("s"), "id").alias("subject_id")).mapInArrow(count, "subject_id string")
+    assert erasure.log_request(t, subjects).count() == 10 and seen.value == 10
