@@ -550,3 +550,22 @@ def test_an_erasure_works_out_its_subjects_once(spark, tmp_path):
 
     subjects = spark.range(10, numPartitions=1).select(F.concat(F.lit("s"), "id").alias("subject_id")).mapInArrow(count, "subject_id string")
     assert erasure.log_request(t, subjects).count() == 10 and seen.value == 10
+
+
+def test_a_raw_line_is_stripped_once(spark):
+    plan = applications.parse(frame(spark, lines(3)).repartition(2), "b")._jdf.queryExecution().optimizedPlan().toString()
+    flat = plan.replace("\n", " ").split("Filter ")
+    assert len(flat) > 1 and not any("(trim(" in x.split("+- ")[0] for x in flat[1:])
+
+
+def test_batches_parse_their_own_lines_only(spark, monkeypatch):
+    """A line is parsed in one of three batches, and has the identity that it has among all lines."""
+    from tests.helpers import DATA
+    from tracewell import queries, trail_queries
+
+    every, parse, read = {r[0] for r in queries.parsed_applications(spark, DATA).select("subject_id").collect()}, applications.parse, []
+    monkeypatch.setattr(trail_queries.applications, "parse", lambda rows, batch: (read.append(rows.count()), parse(rows, batch))[1])
+    monkeypatch.setattr(trail_queries, "ingest", lambda trail, rows: [r.subject_id for r in rows.select("subject_id").collect()])
+    _, made = trail_queries._batches(spark, DATA)
+    assert len(read) == 3 and sum(read) == spark.read.parquet(f"{DATA}/customer.parquet").count()
+    assert sum(map(len, made)) == len(every) and {i for one in made for i in one} == every
