@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 from hypothesis import example, given, settings
@@ -36,6 +37,50 @@ def test_words_are_encoded_alone(text):
     assert own == encoder().encode(text, add_special_tokens=False).ids
 
 
+def ids_by_text(texts, own):
+    return [np.frombuffer(x, "<u4").tolist() for x in own([t.encode() for t in texts])]
+
+
+@cache
+def both():
+    return packing.TextEncoder(packing.vocabulary()), encoder()
+
+
+MARKS = " \n\t\u0085\u00a0\x1c'sStTdDmMlLrRvVeE12\u00b2\u00bd.,!_\u00e9\u00c9\u00df\u00d7\u00aa\u00b5\u00ad"
+
+
+@example(["it's 'S 'll've!'s ''s 5's's' 'res 'lx 'r'", "", " ", "'", "x'", "'v", "'ll"])
+@example(["<|endoftext|>a", "\u0130 \u03a3", "a.b", "\u201cit\u2019s\u201d"])
+@settings(deadline=None)
+@given(st.lists(st.one_of(st.text(MARKS, max_size=30), st.text(st.characters(max_codepoint=255), max_size=30), st.text(max_size=10)), max_size=6))
+def test_texts_are_encoded_together(texts):
+    own, enc = both()
+    assert ids_by_text(texts, own) == [e.ids for e in enc.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_every_token_and_pair_of_characters():
+    """Merges by rank give what the vocabulary's own merges give, whatever the word."""
+    own, enc = both()
+    rng = np.random.default_rng(0)
+    tokens = [t for t in enc.get_vocab() if t.isascii() and "<|" not in t]
+    words = [t.removesuffix("</w>") for t in tokens]
+    joined = list(map("".join, rng.choice(np.array(words), (20_000, 4)).tolist()))
+    repeated = ["".join(rng.choice(list("aeth"), n)) for n in (*range(1, 60), 99, 100, 101, 499, 500, 501, 3000)]
+    latin = [chr(x) + chr(y) for x in range(256) for y in range(256)] + [f"a{chr(x)}a {chr(x)}'s" for x in range(256)]
+    texts = [*words, *joined, *repeated, *latin]
+    assert ids_by_text(texts, own) == [e.ids for e in enc.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_latin_texts_need_no_cache_of_words():
+    """Their new words cost no more than known ones: nothing is looked up or learned by word."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join("".join(rng.choice(["er", "th", "\u00e9", "an"], 6)) + "." for _ in range(50)) for _ in range(20)]
+    own, enc = packing.TextEncoder(packing.vocabulary()), both()[1]
+    assert ids_by_text(texts, own) == [e.ids for e in enc.encode_batch_fast(texts, add_special_tokens=False)]
+    assert not own.words.words.young and not own.words.parts.young
+    assert ids_by_text(["\u03a9mega"], own) == [enc.encode("\u03a9mega", add_special_tokens=False).ids] and own.words.words.young
+
+
 def check(pieces, ids_of):
     by_doc, by_sequence = {}, {}
     for p in pieces:

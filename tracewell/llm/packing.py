@@ -6,8 +6,10 @@ first sequence with room, found by a tournament tree over the free room of the g
 A group is a bounded number of rows, whatever the documents' sources, lengths or repeated ids, and groups are
 independent.
 
-The vocabulary's pieces never span white space, so a text is encoded word by word behind bounded caches of words and
-of their parts.
+The vocabulary's pieces never span white space. Texts of Latin-1 characters, of which lower case and classes follow from
+a table, are cut into pieces by array operations, several texts at once, and the vocabulary's merges are applied in one
+call a text. Other texts, and those that may hold a special token, are encoded word by word behind bounded caches of
+words and of their parts.
 
 Edge cases. Null or empty text: the end id alone. A text longer than ``limit``: full pieces and a rest. Ties in length
 are placed in order of doc_id and start. Repeated rows are packed once each. Bytes that aren't UTF-8 are encoded as
@@ -16,9 +18,13 @@ U+FFFD. Extra columns of documents are dropped by ``token_pieces``; ``pack`` kee
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +35,8 @@ from pyspark.sql import types as T
 from tracewell.llm.shared import broadcast_if_small, text_bytes
 
 LIMIT, GROUP_SIZE, END_ID = 4096, 4096, 2
-#: Words that are looked up together.
-CHUNK = 30_000
+#: Bytes of text that are encoded together.
+CHUNK = 1 << 19
 
 
 def vocabulary() -> str:
@@ -41,26 +47,50 @@ def vocabulary() -> str:
 
 #: A word that the vocabulary cuts into its letters, in lower case, and the marks after them: ASCII and Latin-1.
 _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
-#: A mark that the vocabulary cuts off its word.
-_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+#: Latin-1 characters in lower case, white space as a space, and their classes as the vocabulary's pattern has them.
+_LOWER = bytes(32 if chr(x) in "\t\n\x0b\x0c\r\x85\xa0" else ord(chr(x).lower()) for x in range(256))
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_CLASS = np.array([_SPACE if x == 32 else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(x))[0], _OTHER) for x in _LOWER], np.uint8)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a text that have the text's ids, one after the other.
+def latin(text: bytes) -> bytes | None:
+    """A text in Latin-1; None if it has other characters, or may hold a special token, which lower case could make or break."""
+    if b"<|" in text:
+        return None
+    try:
+        return text if text.isascii() else text.decode().encode("latin-1")
+    except UnicodeError:
+        return None
+
 
-    Latin-1 letters have one form and a lower case that doesn't depend on their place, so such texts are brought to
-    fewer different words; not if they may hold a special token, which lower case could make or break.
+def spaced(texts: list[bytes]) -> list[str]:
+    """Latin-1 texts in lower case with a space after each of their pieces.
+
+    Pieces are English endings after an apostrophe (``'s``, ``'re``), runs of letters, single numbers, and runs of what
+    is neither of these nor white space. Latin-1 letters have one form and a lower case that doesn't depend on their place.
     """
-    try:
-        plain = text.decode()
-        if b"<|" not in text:
-            plain.encode("latin-1")
-            text = _MARK.sub(rb" \1", plain.lower().encode())
-    except UnicodeDecodeError:
-        text = text.decode("utf-8", "replace").encode()
-    except UnicodeEncodeError:
-        pass
-    return text.split()
+    flat = np.frombuffer(b" ".join([*texts, b""]).translate(_LOWER), np.uint8)
+    kind = _CLASS[flat]
+    left, right = kind[:-1], kind[1:]
+    cut = ((left != right) | (left == _NUMBER)) & (left != _SPACE) & (right != _SPACE)
+    at = np.flatnonzero(flat == ord("'"))
+    at = at[kind[at - 1] != _OTHER]  # the last byte is a space, so the first one has a byte before it
+    x, y = flat[at + 1], flat[np.minimum(at + 2, len(flat) - 1)]
+    long = (((x == ord("r")) | (x == ord("v"))) & (y == ord("e"))) | ((x == ord("l")) & (y == ord("l")))
+    size = np.where(long, 2, np.isin(x, np.frombuffer(b"stmd", np.uint8)))
+    at, size = at[size > 0], size[size > 0]
+    cut[at] = False
+    cut[at + size] = kind[at + size + 1] != _SPACE
+    cuts = np.flatnonzero(cut) + 1
+    ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    ends = (ends + np.searchsorted(cuts, ends)).tolist()
+    out = np.insert(flat, cuts, 32).tobytes().decode("latin-1")
+    return [out[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words of any text that have the text's ids, one after the other."""
+    return text.decode("utf-8", "replace").encode().split()
 
 
 class _Cache:
@@ -98,6 +128,26 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+_RANKED: dict = {}
+
+
+def _ranked(path: str):
+    """The vocabulary's merges over pieces that end in a space, which stands for its end mark."""
+    if path not in _RANKED:
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, merged = model["vocab"], [model["vocab"][a + b] for a, b in model["merges"]]
+        if any(a >= b for a, b in zip(merged[:-1], merged[1:])) or len(vocab) - len(merged) != 512 or min(merged) < 512:
+            raise ValueError(f"the ids of {path} aren't numbered by its merges")
+        shown = [x for x in range(256) if 33 <= x <= 126 or 161 <= x <= 172 or x >= 174]  # bytes that stand for themselves in byte-level tokens
+        byte = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(sorted({*range(256)} - {*shown}))}
+        ranks = {bytes(map(byte.__getitem__, t.removesuffix("</w>"))) + b" " * t.endswith("</w>"): i for t, i in vocab.items()}
+        _RANKED[path] = tiktoken.Encoding("own", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+    return _RANKED[path]
+
+
 class WordEncoder:
     """Ids of words as little-endian 32-bit bytes. Words are looked up first, then the letters and marks of plain ones."""
 
@@ -137,34 +187,50 @@ class WordEncoder:
         return found
 
 
+class TextEncoder:
+    """Ids of texts as little-endian 32-bit bytes; best with several texts at once."""
+
+    def __init__(self, path: str):
+        self.path, self.merge = path, _ranked(path).encode_to_numpy
+
+    @cached_property
+    def words(self) -> WordEncoder:
+        return WordEncoder(self.path)
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        forms = [latin(t) for t in texts]
+        found = (self.merge(t).astype("<u4", copy=False).tobytes() for t in spaced([x for x in forms if x is not None]))
+        odd = [words_of(t) for t, x in zip(texts, forms, strict=True) if x is None]
+        words = iter(self.words([w for own in odd for w in own]) if odd else ())
+        others = (b"".join(islice(words, len(own))) for own in odd)
+        return [next(others if x is None else found) for x in forms]
+
+
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): ids as little-endian 32-bit bytes."""
     path = path or vocabulary()
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = TextEncoder(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
-            ids, waiting, words = b.column(0).to_pylist(), [], []
+            ids, texts, size = iter(b.column(0).to_pylist()), [], 0
 
             def encoded() -> pa.RecordBatch:
-                found, at, rows = encode(words), 0, []
-                for doc, n_words in waiting:
-                    raw = b"".join(found[at : at + n_words]) + end
-                    at += n_words
+                rows = []
+                for doc, raw in zip(islice(ids, len(texts)), encode(texts), strict=True):
+                    raw += end
                     n = len(raw) // 4
                     rows += [(doc, s, min(limit, n - s), n, raw[4 * s : 4 * (s + limit)]) for s in range(0, n, limit)]
-                waiting.clear()
-                words.clear()
                 return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-            for doc, text in zip(ids, text_bytes(b.column(1)), strict=True):
-                own = words_of(text)
-                words += own
-                waiting.append((doc, len(own)))
-                if len(words) > CHUNK:
+            for text in text_bytes(b.column(1)):
+                texts.append(text)
+                size += len(text)
+                if size > CHUNK:
                     yield encoded()
-            if waiting:
+                    texts, size = [], 0
+            if texts:
                 yield encoded()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
