@@ -569,3 +569,53 @@ def test_batches_parse_their_own_lines_only(spark, monkeypatch):
     _, made = trail_queries._batches(spark, DATA)
     assert len(read) == 3 and sum(read) == spark.read.parquet(f"{DATA}/customer.parquet").count()
     assert sum(map(len, made)) == len(every) and {i for one in made for i in one} == every
+
+
+def spooled(spark, folder, first, n):
+    p, a = some_decisions(spark, n)
+    decisions.encoded_lines(p, a).where(F.regexp_extract("value", '"prediction_id":"p([0-9]+)"', 1).cast("int") >= first).write.text(str(folder))
+
+
+@pytest.mark.parametrize("chosen", [False, True])
+def test_the_stream_keeps_its_keys_on_disk(spark, tmp_path, chosen):
+    """In RocksDB with bounded memory, unless the session or the checkpoint has a store of its own; the session's settings stay."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    settings = lambda: {k: spark.conf.get(k, None) for k in decisions.STATE}
+    assert set(settings().values()) == {None} and "true" in decisions.STATE.values()
+    t = Trail(spark, str(tmp_path / "t"), buckets=2)
+    t.bootstrap()
+    spooled(spark, tmp_path / "spool" / "1", 0, 30)
+    if chosen:
+        spark.conf.set(provider, spark.conf.get(provider))
+    seen = []
+    try:
+        for folder in ("2", None):
+            before = settings()
+            q = decisions.drain(t, str(tmp_path / "spool" / "*"), str(tmp_path / "ck"))
+            q.awaitTermination()
+            assert settings() == before
+            seen += [s for p in q.recentProgress for s in p["stateOperators"]]
+            spark.conf.unset(provider)  # a checkpoint that began with another store keeps it
+            if folder:
+                spooled(spark, tmp_path / "spool" / folder, 20, 40)
+    finally:
+        spark.conf.unset(provider)
+    assert all(any(m.startswith("rocksdb") for m in s["customMetrics"]) != chosen for s in seen)
+    assert max(s["numRowsTotal"] for s in seen) == 40 == sum(s["numRowsUpdated"] for s in seen)  # ten of the second folder are repeats
+    assert t.read("audit.predictions").count() == 40 == t.read("audit.predictions").select("prediction_id").distinct().count()
+
+
+def test_the_history_is_never_broadcast(spark, tmp_path, monkeypatch):
+    """Its files can be small and hold millions of keys."""
+    t = Trail(spark, str(tmp_path / "t"), buckets=2)
+    t.bootstrap()
+    p, a = some_decisions(spark, 50)
+    bad = spark.range(9).select(F.lit("r").alias("reason"), F.col("id").cast("string").alias("value"))
+    assert decisions.record(t, p, a) == 50 and decisions.refuse(t, bad) == 9
+    plans, persist, append = [], type(p).persist, Trail.append
+    keep = lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(type(p), "persist", lambda rows, *x: (keep(rows), persist(rows, *x))[1])
+    monkeypatch.setattr(Trail, "append", lambda self, table, rows, *x: (keep(rows), append(self, table, rows, *x))[1])
+    assert decisions.record(t, p, a) == 0 and decisions.refuse(t, bad) == 0
+    joins = [x for plan in plans for x in plan.splitlines() if "LeftAnti" in x]
+    assert len(joins) == 2 and all("SortMergeJoin" in x for x in joins)
